@@ -89,3 +89,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def small(batches, column: int = 1, limit: int = 8 << 20):
+    """Slice Arrow batches so that one slice's values of a binary column hold about `limit` bytes or are one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            before = size[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(size, before + limit, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
+def id_type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def partition_id() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()

@@ -1,8 +1,12 @@
 """The corpus operators' queries by name, and DuckDB twins where SQL can express them."""
 
+from kindred.llm.packing import op1_packing
 from kindred.llm.simhash import op7_simhash
+from kindred.llm.tokenfiles import op6_token_files
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
