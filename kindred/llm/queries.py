@@ -1,12 +1,19 @@
 """The corpus operators' queries by name, and DuckDB twins where SQL can express them."""
 
+from kindred.llm.classifier import op9_quality_classifier
 from kindred.llm.packing import op1_packing
+from kindred.llm.rules import ORACLE as RULES_SQL
+from kindred.llm.rules import op4_quality_rules
 from kindred.llm.simhash import op7_simhash
 from kindred.llm.tokenfiles import op6_token_files
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_quality_rules": op4_quality_rules,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
+    "op9_quality_classifier": op9_quality_classifier,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": RULES_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
