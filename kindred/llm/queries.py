@@ -5,6 +5,7 @@ from kindred.llm.packing import op1_packing
 from kindred.llm.rules import ORACLE as RULES_SQL
 from kindred.llm.rules import op4_quality_rules
 from kindred.llm.simhash import op7_simhash
+from kindred.llm.suffixes import op10_suffix_dedup
 from kindred.llm.tokenfiles import op6_token_files
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": RULES_SQL,
