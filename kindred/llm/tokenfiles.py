@@ -26,7 +26,7 @@ def opened(path: str, mode: str):
         return store.open_input_file(at)
     if store.type_name == "local":
         store.create_dir(at.rsplit("/", 1)[0], recursive=True)
-    return store.open_output_stream(at, buffer_size=1 << 20)
+    return store.open_output_stream(at, compression=None, buffer_size=1 << 20)
 
 
 def token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END) -> DataFrame:
