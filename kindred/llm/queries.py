@@ -1,19 +1,23 @@
 """The corpus operators' queries by name, and DuckDB twins where SQL can express them."""
 
 from kindred.llm.classifier import op9_quality_classifier
+from kindred.llm.decontaminate import op2_decontamination
 from kindred.llm.packing import op1_packing
 from kindred.llm.rules import ORACLE as RULES_SQL
 from kindred.llm.rules import op4_quality_rules
 from kindred.llm.simhash import op7_simhash
 from kindred.llm.sitetree import op8_site_tree
 from kindred.llm.suffixes import op10_suffix_dedup
+from kindred.llm.tokencounts import op5_token_counts
 from kindred.llm.tokenfiles import op6_token_files
 from kindred.llm.warc import op3_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_decontamination": op2_decontamination,
     "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,
+    "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op8_site_tree": op8_site_tree,
@@ -21,6 +25,7 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": op2_decontamination,
     "op3_warc": op3_warc,
     "op4_quality_rules": RULES_SQL,
 }
