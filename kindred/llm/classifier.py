@@ -125,6 +125,14 @@ def score(docs: DataFrame, model: Ensemble, id_col: str = "doc_id", text_col: st
     return f.select("id", model.score().alias("score"))
 
 
+def accepted(docs: DataFrame, model: Ensemble, text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of `docs`, whole, whose score is at least `cutoff`."""
+    f = with_features(docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text")), "_text", ("_row",))
+    # The row number keeps the filter from being pushed below the statistics, which it would then compute once for each mention.
+    scored = f.select("_row", model.score().alias("_score"), F.monotonically_increasing_id().alias("_n"))
+    return scored.where((F.col("_score") >= cutoff) & (F.col("_n") >= 0)).select("_row.*")
+
+
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by a model fitted on labelled rows that aren't held out."""
     docs = table(spark, sf_dir, "documents")

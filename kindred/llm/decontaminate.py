@@ -20,8 +20,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kindred.llm.common import id_type, small, table
 
@@ -153,30 +155,48 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     nothing; null ids stay; repeated documents and items give a row each; empty tables give no rows; other columns are ignored.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    it = items.where(F.col(item_text).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text).cast("binary").alias("t"))
-    size = it.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-size // ITEMS)  # blocks by hash of the text, each within a small factor of ITEMS
     kinds = (id_type(docs, id_col), id_type(items, item_col))
     schema = f"id {kinds[0]}, item {kinds[1]}, start_word long, n_words long, similarity double"
     out = docs.sparkSession.createDataFrame([], schema)
-    for k in range(n):
-        rows = it.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect()  # about ITEMS bytes
-        block = docs.sparkSession.sparkContext.broadcast([(i, r["item"], bytes(r["t"])) for i, r in enumerate(rows)])
+    for block in _blocks(items, item_col, item_text):
 
         def run(batches: Iterable[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            names = {i: key for i, key, _ in block.value}
-            bench = Benchmark([(i, t) for i, _, t in block.value])
+            bench = Benchmark([(i, t) for i, (_, t) in enumerate(block.value)])
             for b in small(batches):
                 found = [(r, *m) for r, t in enumerate(b.column(1)) for m in bench.matches(t.as_py())]
                 r, i, at, size, sim = zip(*found) if found else [()] * 5
-                cols = [pa.array([b.column(0)[x].as_py() for x in r], b.schema.field(0).type), pa.array([names[x] for x in i], pa.int64() if kinds[1] == "bigint" else None), pa.array(at, pa.int64()), pa.array(size, pa.int64()), pa.array(sim, pa.float64())]
+                ids, names = b.column(0).take(pa.array(r, pa.int64())), pa.array([k for k, _ in block.value], to_arrow_type(item_type))
+                cols = [ids, names.take(pa.array(i, pa.int64())), pa.array(at, pa.int64()), pa.array(size, pa.int64()), pa.array(sim, pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "item", "start_word", "n_words", "similarity"])
 
-        found = src.mapInArrow(run, schema)
-        out = found if k == 0 else out.union(found)
+        item_type = items.schema[item_col].dataType
+        out = out.union(src.mapInArrow(run, schema))
     return out
 
 
+def _blocks(items: DataFrame, item_col: str, item_text: str) -> Iterator[Broadcast]:
+    """The benchmark as broadcast lists of (item, text) of about ITEMS bytes each, by hash of the text."""
+    it = items.where(F.col(item_text).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text).cast("binary").alias("t"))
+    n = -(-(it.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // ITEMS)
+    for k in range(n):
+        rows = it.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect()
+        yield items.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["t"])) for r in rows])
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of `docs`, whole, that match no benchmark item as contaminated() has it. Nothing is exchanged; null texts stay."""
+    at = docs.columns.index(text_col)
+    for block in _blocks(items, item_col, item_text):
+
+        def run(batches: Iterable[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            bench = Benchmark([(i, t) for i, (_, t) in enumerate(block.value)])
+            for b in small(batches, at):
+                yield b.filter(pa.array([t.as_py() is None or not bench.matches(t.as_py().encode("utf-8", "replace")) for t in b.column(at)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     """Documents that contain benchmark items, with the place and similarity of each."""
     out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

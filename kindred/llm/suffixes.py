@@ -447,7 +447,7 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts and their repeated starts to (key, kept, spans)."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for b in small(batches, 2):
-        kept, spans = [], []
+        kept, text, spans = [], [], []
         for lane, t, found in zip(b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
             t, merged = t.as_py(), []
             for lo, hi in sorted((x["lo"] & (1 << 48) - 1, x["hi"] & (1 << 48) - 1) for x in found or () if x["lo"] >> 48 == lane):
@@ -457,8 +457,9 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     merged.append([lo, hi + LENGTH])
             edges = [0, *(e for s in merged for e in s), len(t)]
             kept.append(b"".join(t[i:j] for i, j in zip(edges[::2], edges[1::2])))
+            text.append(kept[-1].decode("utf-8", "ignore"))
             spans.append([{"start": i, "end": j} for i, j in merged])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["key", "kept", "spans"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(text, pa.string()), pa.array(spans, kind)], names=["key", "kept", "text", "spans"])
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", derive: dict[str, Column] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -467,22 +468,22 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A string of LENGTH bytes repeats if it also starts anywhere else in the input, in the same row or another;
     strings don't cross rows. `spans` are the maximal removed runs (start, end). Null texts are empty ones, rows
     of equal text of at least LENGTH bytes are removed whole, shorter texts are kept, and null or repeated ids are
-    of no account. `derive` names columns to compute from kept and spans where they lie; they then stand in place
-    of both, which needn't move. Columns other than the id, the text and `keep` are ignored.
+    of no account. `derive` names columns to compute from kept, spans and text (what is left, without the halves of
+    cut characters) where they lie; they then stand in place of kept and spans, which needn't move. Columns other than the id, the text and `keep` are ignored.
     """
     t = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     size = F.octet_length(t).cast("long")
     rows = docs.select(F.col(id_col).alias("id"), *keep, size.alias("n_bytes"), F.unhex(F.sha2(t, 256)).alias("key"), F.when(size < LENGTH, t).otherwise(F.lit(b"")).alias("kept"))
     texts = distinct_texts(docs, text_col)
     spans = written(repeated_starts(texts), "repeats")
-    cut = texts.join(spans.hint("shuffle_hash"), "uid", "left").select("key", "lane", "t", "spans").mapInArrow(_cut, "key binary, kept binary, spans array<struct<start:bigint,end:bigint>>")
+    cut = texts.join(spans.hint("shuffle_hash"), "uid", "left").select("key", "lane", "t", "spans").mapInArrow(_cut, "key binary, kept binary, text string, spans array<struct<start:bigint,end:bigint>>")
     extra = derive or {"kept": F.col("kept"), "spans": F.col("spans")}
     cut = cut.select("key", *(c.alias(f"_{n}") for n, c in extra.items()))
     copies = rows.where(F.col("n_bytes") >= LENGTH).groupBy("key").agg(F.count("*").alias("copies"))
     own = cut.join(copies.where("copies = 1").select("key"), "key")  # texts that occur once
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
-    rest = rows.withColumn("spans", F.when(F.col("n_bytes") < LENGTH, none).otherwise(whole))  # right for short texts and copies
+    rest = rows.withColumn("text", F.col("kept").cast("string")).withColumn("spans", F.when(F.col("n_bytes") < LENGTH, none).otherwise(whole))  # right for short texts and copies
     rest = rest.select("id", *keep, "n_bytes", "key", *(c.alias(n) for n, c in extra.items()))
     out = rest.join(own.withColumn("_found", F.lit(True)), "key", "left")
     return out.select("id", *keep, "n_bytes", *(F.when(F.col("_found"), F.col(f"_{n}")).otherwise(F.col(n)).alias(n) for n in extra))
