@@ -1,0 +1 @@
+"""Nothing streams here: a run is a batch, and runs become incremental by the cache of embeddings (kindred.sources.embeddings)."""
