@@ -16,6 +16,7 @@ from kindred.functions import frontmatter, text
 from kindred.operators import merge, report
 from kindred.plans.graph import Graph
 from kindred.sources import corpus, embeddings, sinks
+from kindred.sources.shared import written
 
 
 def parser() -> argparse.ArgumentParser:
@@ -40,18 +41,19 @@ def embedded(spark: SparkSession, papers: DataFrame, cfg: Settings, provider: em
     """(vectors, cache lookup, tokens): vectors from the cache, and for misses from the provider, which are then cached."""
     some = papers if limit is None else papers.where(F.col("idx") < limit)
     read = text.extract(some.join(corpus.notes(spark, cfg.reports_dir + "/*/*.md").withColumnRenamed("path", "file_path"), "file_path", "left"), "text")
-    inputs = embeddings.hashed_inputs(read.select("idx", text.embed_input(F.col("title"), F.col("body")).alias("input"))).persist()
+    inputs = embeddings.hashed_inputs(read.select("idx", text.embed_input(F.col("title"), F.col("body")).alias("input")))
+    inputs = written(inputs, "inputs")
     cache = embeddings.load_cache(spark, cfg.embed_cache)
-    found = embeddings.lookup(inputs, cache).persist()
+    found = written(embeddings.lookup(inputs, cache), "lookup")
     todo, tokens = embeddings.misses(inputs, cache), 0
     if not todo.isEmpty():
         if provider is None:
             raise ValueError("some texts aren't in the cache: set OPENAI_API_KEY")
-        got = embeddings.embed(todo.coalesce(1), provider).persist()
+        got = written(embeddings.embed(todo.coalesce(1), provider), "embedded")
         tokens = got.agg(F.sum("tokens")).first()[0] or 0
         cache = cache.union(got.where("vec is not null").select("hash", "vec"))
-        found.count()
-        embeddings.save_cache(cache.persist(), cfg.embed_cache)
+        cache = written(cache, "cache")
+        embeddings.save_cache(cache, cfg.embed_cache)
     return inputs.select("idx", "hash").join(cache, "hash").select("idx", "vec"), found, tokens
 
 
@@ -60,7 +62,7 @@ def run(spark: SparkSession, cfg: Settings, provider: embeddings.Provider | None
     cfg.ensure_cache_dir()
     table = lambda name, schema: corpus.read_table(spark, cfg.db_path, name, schema)
     papers = corpus.scan(table("papers", corpus.PAPERS), cfg)
-    papers = corpus.live(papers, corpus.listing(spark, cfg.reports_dir + "/*/*.md")).persist()
+    papers = written(corpus.live(papers, corpus.listing(spark, cfg.reports_dir + "/*/*.md")), "papers")
     protected, links = report.protected_idx(papers, cfg.protected), corpus.link_targets(papers, cfg.reports_rel)
     vecs, found, tokens = embedded(spark, papers, cfg, provider, limit)
     g = Graph(corpus.corpus_tags(papers, table("tags", corpus.TAGS)), corpus.corpus_authors(papers, table("authors", corpus.AUTHORS)), vecs, papers.count(), cfg.limits)
@@ -89,7 +91,8 @@ def run(spark: SparkSession, cfg: Settings, provider: embeddings.Provider | None
     if apply:
         own = papers.join(protected, "idx", "left_anti")
         texts = own.join(corpus.notes(spark, cfg.reports_dir + "/*/*.md", strict=True).withColumnRenamed("path", "file_path"), "file_path")
-        new = frontmatter.rewrite(texts.join(merge.note_targets(own, writers, links), "idx"), "text", "targets").select("file_path", "new_text", "changed").persist()
+        new = frontmatter.rewrite(texts.join(merge.note_targets(own, writers, links), "idx"), "text", "targets")
+        new = written(new.select("file_path", "new_text", "changed"), "notes")
         say(f"files changed: {new.where('changed').count()}, protected skipped: {protected.count()}")  # all is read before any is written
         sinks.write_notes(new)
     return g.final

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 
 from kindred.config import Thresholds
 from kindred.operators import merge, terms, vectors
+from kindred.sources.shared import written
 
 
 @dataclass
 class Graph:
     """Relations of (idx, tag), (idx, name) and (idx, vec) over n notes, and what follows from them.
 
-    What several steps read is persisted once; a lost part is made again from its sources.
+    What several steps read is written once to the shared folder, which also keeps each plan short.
     """
 
     tags: DataFrame
@@ -31,15 +32,15 @@ class Graph:
 
     @cached_property
     def weights(self) -> DataFrame:
-        return terms.term_weights(self.terms, self.n).persist()
+        return written(terms.term_weights(self.terms, self.n), "weights")
 
     @cached_property
     def a_edges(self) -> DataFrame:
-        return terms.a_edges(self.weights, self.limits).persist()
+        return written(terms.a_edges(self.weights, self.limits), "a-edges")
 
     @cached_property
     def b_edges(self) -> DataFrame:
-        return vectors.b_edges(self.vecs, self.limits, self.limit_embed).persist()
+        return written(vectors.b_edges(self.vecs, self.limits, self.limit_embed), "b-edges")
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -47,7 +48,7 @@ class Graph:
 
     @cached_property
     def decisions(self) -> DataFrame:
-        return merge.decide(self.pairs, self.vecs, self.limits).persist()
+        return written(merge.decide(self.pairs, self.vecs, self.limits), "decisions")
 
     @cached_property
     def top(self) -> DataFrame:
@@ -59,4 +60,4 @@ class Graph:
 
     @cached_property
     def final(self) -> DataFrame:
-        return merge.final_graph(self.capped).persist()
+        return written(merge.final_graph(self.capped), "graph")

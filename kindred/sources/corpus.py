@@ -75,7 +75,7 @@ def notes(spark: SparkSession, paths: str | list[str], strict: bool = False) ->
     """(path, text) of note files. Bytes that aren't UTF-8 are replaced, or raise if `strict`."""
     raw = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
     if strict:
-        return raw.select("path", F.decode("content", F.lit("utf-8")).alias("text"))
+        return raw.select("path", F.decode("content", "utf-8").alias("text"))
     return raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
