@@ -1,8 +1,8 @@
 """A token file format coded with static range asymmetric numeral systems (rANS).
 
-A 32-bit-state coder with 16-bit words codes each id as its high part and, in the context of that,
-its low byte, under frequency tables shared by all files. Blocks of 2^18 ids are independent; within
-one, up to 512 states are interleaved, so that numpy advances them together. A file holds
+A coder with 64-bit states and 32-bit words codes ids under one frequency table that all files share.
+Blocks of 2^19 ids are independent; within one, up to 2048 states are interleaved, so that numpy
+advances them together. A file holds
 
     magic, length and JSON of the header (zlib), blocks, footer (zlib), length of the footer, magic
 
@@ -19,13 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 
-MAGIC = b"KRANS\x00\x01\n"
-BITS, BLOCK, LANES = 12, 1 << 18, 512
+MAGIC = b"KRANS\x00\x02\n"
+BITS, BLOCK, LANES = 20, 1 << 19, 2048
 _ONE = 1 << BITS
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
-    """Frequencies that sum to 2^12, at least 1 for what occurs; all zero if nothing does."""
+    """Frequencies that sum to 2^BITS, at least 1 for what occurs; all zero if nothing does."""
     total = int(counts.sum())
     if not total:
         return np.zeros(len(counts), np.int64)
@@ -41,65 +41,52 @@ def quantise(counts: np.ndarray) -> np.ndarray:
 
 
 class Tables:
-    """Frequencies, cumulative frequencies and decoding tables made from counts by id."""
+    """Frequencies, cumulative frequencies and the decoding table made from counts by id."""
 
     def __init__(self, counts: np.ndarray):
-        n = max(1, -(-len(counts) // 256))
-        if n > _ONE:
-            raise ValueError(f"ids must be below {_ONE * 256}")
-        grid = np.zeros(n * 256, np.int64)
-        grid[: len(counts)] = counts
-        grid = grid.reshape(n, 256)
-        self.fh, self.fl = quantise(grid.sum(axis=1)), np.array([quantise(r) for r in grid])
-        self.ch, self.cl = np.cumsum(self.fh) - self.fh, np.cumsum(self.fl, axis=1) - self.fl
-        self.lh = np.repeat(np.arange(n), self.fh)
-        self.ll = np.zeros((n, _ONE), np.uint8)
-        for i in np.flatnonzero(self.fl.sum(axis=1)):
-            self.ll[i] = np.repeat(np.arange(256), self.fl[i])
-        self.crc = zlib.crc32(self.fl.astype("<u2").tobytes(), zlib.crc32(self.fh.astype("<u2").tobytes()))
+        if len(counts) > _ONE:
+            raise ValueError(f"ids must be below {_ONE}")
+        f = quantise(counts.astype(np.int64))
+        self.symbol = np.repeat(np.arange(len(f), dtype=np.uint16 if len(f) <= 1 << 16 else np.uint32), f)
+        self.f, self.c = f.astype(np.uint64), (np.cumsum(f) - f).astype(np.uint64)
+        self.crc = zlib.crc32(f.astype("<u4").tobytes())
 
     def encode(self, ids: np.ndarray) -> bytes:
         n = len(ids)
         lanes = max(1, min(LANES, n // 64))
-        hi, lo = ids >> 8, ids & 255
-        coded = ((self.fl[hi, lo], self.cl[hi, lo]), (self.fh[hi], self.ch[hi]))
-        x, words = np.full(lanes, 1 << 16, np.int64), []
+        fs, cs = self.f[ids], self.c[ids]
+        limits, bits, word = fs << np.uint64(63 - BITS), np.uint64(BITS), np.uint64(32)
+        x, words = np.full(lanes, 1 << 31, np.uint64), []
         for at in range((n - 1) // lanes * lanes, -1, -lanes):
             end = min(n, at + lanes)
             y = x[: end - at]
-            for fs, cs in coded:
-                f = fs[at:end]
-                full = y >= f << 20
-                if full.any():
-                    words.append((y[full] & 0xFFFF).astype("<u2"))
-                    y = np.where(full, y >> 16, y)
-                q = y // f
-                y = (q << BITS) + (y - q * f) + cs[at:end]
-            x[: end - at] = y
-        return struct.pack("<H", lanes) + x.astype("<u4").tobytes() + b"".join(w.tobytes() for w in reversed(words))
+            full = np.flatnonzero(y >= limits[at:end])
+            if len(full):
+                words.append(y[full].astype("<u4"))
+                y[full] >>= word
+            f = fs[at:end]
+            q = y // f
+            x[: end - at] = (q << bits) + (y - q * f) + cs[at:end]
+        return struct.pack("<H", lanes) + x.astype("<u8").tobytes() + b"".join(w.tobytes() for w in reversed(words))
 
     def decode(self, data: bytes, n: int) -> np.ndarray:
         (lanes,) = struct.unpack_from("<H", data)
-        x = np.frombuffer(data, "<u4", lanes, 2).astype(np.int64)
-        words, at_word = np.frombuffer(data, "<u2", offset=2 + 4 * lanes).astype(np.int64), 0
+        x = np.frombuffer(data, "<u8", lanes, 2).astype(np.uint64)
+        words, at_word = np.frombuffer(data, "<u4", offset=2 + 8 * lanes).astype(np.uint64), 0
+        bits, mask, low, word = np.uint64(BITS), np.uint64(_ONE - 1), np.uint64(1 << 31), np.uint64(32)
         out = np.empty(n, np.int64)
         for at in range(0, n, lanes):
             end = min(n, at + lanes)
             y = x[: end - at]
-            slot = y & _ONE - 1
-            hi = self.lh[slot]
-            y = self.fh[hi] * (y >> BITS) + slot - self.ch[hi]
-            for part in range(2):
-                if part:
-                    slot = y & _ONE - 1
-                    lo = self.ll[hi, slot]
-                    y = self.fl[hi, lo] * (y >> BITS) + slot - self.cl[hi, lo]
-                low = np.flatnonzero(y < 1 << 16)
-                if len(low):
-                    y[low] = y[low] << 16 | words[at_word : at_word + len(low)]
-                    at_word += len(low)
+            slot = y & mask
+            s = self.symbol[slot]
+            y = self.f[s] * (y >> bits) + (slot - self.c[s])
+            less = np.flatnonzero(y < low)
+            if len(less):
+                y[less] = y[less] << word | words[at_word : at_word + len(less)]
+                at_word += len(less)
             x[: end - at] = y
-            out[at:end] = hi << 8 | lo
+            out[at:end] = s
         return out
 
 

@@ -55,8 +55,11 @@ def id_counts(ids: DataFrame) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for b in small(batches, 0):
-            joined = np.concatenate([np.empty(0, np.int64), *(unpacked(x.as_py()) for x in b.column(0))])
-            got = np.bincount(joined, minlength=len(total))
+            ids = b.column(0).to_pylist()
+            two = np.frombuffer(b"".join(x[1:] for x in ids if x[:1] == b"\x02"), "<u2")
+            four = np.frombuffer(b"".join(x[1:] for x in ids if x[:1] == b"\x04"), "<u4")
+            got = np.bincount(four, minlength=len(total))
+            got += np.bincount(two, minlength=len(got))
             total = np.pad(total, (0, len(got) - len(total))) + got
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["sym", "n"])
@@ -91,7 +94,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
             f.close()
             yield pa.RecordBatch.from_arrays([pa.array([partition_id()], pa.int32()), pa.array([path]), pa.array([len(w.docs)], pa.int64()), pa.array([w.total], pa.int64())], names=["part", "path", "n_docs", "n_tokens"])
 
-    ordered = ids.repartitionByRange(partitions(docs.sparkSession), "id", "ids").sortWithinPartitions("id", "ids")
+    ordered = ids.repartitionByRange(partitions(docs.sparkSession), "id").sortWithinPartitions("id", "ids")
     files = written(ordered.mapInArrow(run, "part int, path string, n_docs long, n_tokens long"), "manifest")
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return written(files.withColumn("start", before), "manifest")  # a row for each file

@@ -17,7 +17,7 @@ from array import array
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries of one generation of a memo; two generations are kept.
-MEMO = 250_000
+MEMO = 400_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SIMPLE = re.compile(rf"[\n !-&(-~{_LETTER}]+")
 _BYTE_PIECES = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s+(?!\S)|\s+")
@@ -64,17 +64,21 @@ class Encoder:
             self.kind, self.pieces = "word", _WORD_PIECES
         if spec["model"].get("type") != "BPE" or spec["model"].get("dropout"):
             self.kind = None
+        self.simple = False  # whether the text at hand has only simple characters
         self.chunks, self.first, self.known = (_Memo(f, {}) for f in (self._chunk, self._ids, self._piece))
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(self.alphabet)
+        if piece.isascii() and piece[-1] > " ":
+            shown = "\u0120" + piece[1:] if piece[0] == " " else piece
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.alphabet)
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _ids(self, chunk: str) -> bytes:
-        if not _SIMPLE.fullmatch(chunk):
+        if not self.simple and not _SIMPLE.fullmatch(chunk):
             return self._whole(chunk) if chunk else b""
         return b"".join(map(self.known.__getitem__, self.pieces.findall(chunk.lower() if self.kind == "word" else chunk)))
 
@@ -88,6 +92,7 @@ class Encoder:
             if len(memo := getattr(self, name)) > MEMO:
                 memo.old = {}
                 setattr(self, name, _Memo(memo.make, memo))
+        self.simple = _SIMPLE.fullmatch(text) is not None
         if self.kind == "word":
             return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
         if self.kind == "byte" and not _JOINED.search(text):
