@@ -84,7 +84,8 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     a = at[s]
     new = np.flatnonzero(np.concatenate([[True], (np.diff(a) != 0) | (np.diff(s) != 1)])) if len(s) else s
     last = np.concatenate([new[1:], [len(s)]])[: len(new)] - 1
-    return np.searchsorted(starts, s[new], "right") - 1, a[new], s[new], s[last], h[a[new]]
+    # Anchors' hashes are small, as they are minima; an odd factor spreads them over all 64 bits again.
+    return np.searchsorted(starts, s[new], "right") - 1, a[new], s[new], s[last], h[a[new]] * np.uint64(_MULT)
 
 
 def _grouped(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
