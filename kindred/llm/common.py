@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +38,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths handed out while a scope is open; see noted().
+_open: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in _open:
+        scope.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def noted() -> Iterator[list[str]]:
+    """The scratch paths handed out meanwhile, for their owner to drop once its result is written."""
+    scope: list[str] = []
+    _open.append(scope)
+    try:
+        yield scope
+    finally:
+        _open.remove(scope)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

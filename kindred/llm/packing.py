@@ -22,6 +22,8 @@ from kindred.llm.tokens import encoder, vocabulary
 
 CAPACITY = 4096
 END = 1
+#: Rows (chunk, length) up to which the counts of the chunks before are broadcast; beyond, they are joined.
+TABLE = 2_000_000
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -104,26 +106,38 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     from a piece's ids where it lies; they then stand in place of ids, which needn't move.
     """
     cut = written(pieces(docs, tokenizer, id_col, text_col, end_id, capacity), "pieces")
-    hist = cut.groupBy("chunk", "length").count()
+    hist = written(cut.groupBy("chunk", "length").count(), "lengths")
     counts = {r["length"]: r["n"] for r in hist.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
     slots = np.array(sorted(plan(counts, capacity)), np.int64).reshape(-1, 5)
     before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     extra = {"ids": F.col("ids")} if derive is None else derive
-    kept = cut.select("chunk", "length", "nth", "id", "piece", "start", *(c.alias(n) for n, c in extra.items()))
-    ranked = kept.join(hist.select("chunk", "length", before.alias("before")), ["chunk", "length"])
-    ranked = ranked.select("id", "piece", "start", "length", *extra, (F.col("before") + F.col("nth")).alias("rank"))
+    kept = cut.select("id", "piece", "start", "length", *(c.alias(n) for n, c in extra.items()), "nth", "chunk")
+    base = hist.select("chunk", "length", before.alias("before"))
+    rows = base.limit(TABLE + 1).count()
+    table: tuple[np.ndarray, ...] | None = None
+    if rows <= TABLE:  # at most 24 bytes a row: carried to the pieces, which then needn't move
+        got = base.toPandas().sort_values(["chunk", "length"])
+        table = (got["chunk"].to_numpy(np.int64) << 32 | got["length"].to_numpy(np.int64), got["before"].to_numpy(np.int64))
+        ranked = kept.withColumn("before", F.lit(0).cast("long"))
+    else:
+        ranked = kept.join(base, ["chunk", "length"]).select(*kept.columns, "before")
+    shared = docs.sparkSession.sparkContext.broadcast((slots.T, table))
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        length, first, per, seq, off = slots.T
+        (length, first, per, seq, off), table = shared.value
         keys = length << 44 | first
         for b in batches:
-            n, rank = b.column(3).to_numpy(), b.column(b.num_columns - 1).to_numpy()
+            n = b.column(3).to_numpy()
+            nth, chunk, rank = (c.to_numpy() for c in b.columns[-3:])
+            if table is not None:
+                rank = table[1][np.searchsorted(table[0], chunk.astype(np.int64) << 32 | n)] if len(n) else rank
+            rank = rank + nth
             at = np.searchsorted(keys, n << 44 | rank, "right") - 1
             k = rank - first[at]
-            cols = [*b.columns[:-1], pa.array(seq[at] + k // per[at]), pa.array(off[at] + k % per[at] * n)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], "sequence", "offset"])
+            cols = [*b.columns[:-3], pa.array(seq[at] + k // per[at]), pa.array(off[at] + k % per[at] * n)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-3], "sequence", "offset"])
 
-    schema = T.StructType([*ranked.schema.fields[:-1], T.StructField("sequence", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([*kept.schema.fields[:-2], T.StructField("sequence", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.mapInArrow(place, schema)
 
 
