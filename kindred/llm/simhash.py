@@ -168,12 +168,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fp.join(named.select("fp", "root").join(roots, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of `docs`, whole, that are the first (smallest id) of their near-duplicate group.
-
-    Of rows that share an id, one stays. Rows without an id name no group and stay.
-    """
-    found = written(near_duplicates(docs, id_col, text_col, **kw), "groups")
+def firsts(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of `docs` whose id names their group in `found` (id, component), one an id, and those without an id."""
     first = found.where("id = component").groupBy("id").agg(F.count("*").alias("_n"))
     named = docs.join(first.select(F.col("id").alias(id_col), "_n"), id_col)
     if first.where("_n > 1").isEmpty():
@@ -183,6 +179,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return kept.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """The rows of `docs`, whole, that are the first (smallest id) of their near-duplicate group.
+
+    Of rows that share an id, one stays. Rows without an id name no group and stay.
+    """
+    return firsts(docs, written(near_duplicates(docs, id_col, text_col, **kw), "groups"), id_col)
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: doc_id, fingerprint (16 hex digits), component_id."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
