@@ -37,21 +37,23 @@ _WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|sidebar|side-bar|footer|masthead|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|replies|pagination|pager|widget)(?:$|[\s_-])",
     re.I,
 )
+#: A class of these says something of the page's layout, not what the element is: has-sidebar, no-nav.
+_MODIFIER = re.compile(r"(?:has|no|with|without)[_-]", re.I)
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "none", "main", "children", "parent")
+    __slots__ = ("tag", "path", "none", "word", "main", "children", "parent")
 
     def __init__(self, tag: str, path: str, none: bool, parent: Node | None):
-        self.tag, self.path, self.none, self.parent, self.children = tag, path, none, parent, []
+        self.tag, self.path, self.none, self.word, self.parent, self.children = tag, path, none, False, parent, []
 
 
 def parse(text: str) -> Node:
     """The page as a tree; children are nodes or strings. Unclosed elements end where HTML lets them or at their parent's end."""
     root = node = Node("", "", False, None)
-    at, end = 0, len(text)
+    at, end, worded = 0, len(text), False
     while at < end:
         m = _TOKEN.search(text, at)
         if m is None:
@@ -80,16 +82,19 @@ def parse(text: str) -> Node:
                 else:
                     up = up.parent
         attrs = m[3]
-        name, none = tag, tag in _NONE
+        name, none, word = tag, tag in _NONE, False
         if attrs:
             for a in _ATTRIBUTE.finditer(attrs):
                 kind, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                 if kind == "class":
                     name = f"{tag}.{'.'.join(sorted(value.split()))}"
-                none = none or kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "role" and value.lower() in _ROLES or kind in ("class", "id") and tag not in ("html", "body", "article", "main") and _WORDS.search(value) is not None
+                none = none or kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "role" and value.lower() in _ROLES
+                word = word or kind in ("class", "id") and tag not in ("html", "body", "article", "main") and any(_WORDS.search(v) and not _MODIFIER.match(v) for v in value.split())
         if tag == "header" and not any(n.tag in ("article", "main") for n in _up(node)):
             none = True
         new = Node(tag, f"{node.path}/{name}", none, node)
+        new.word = word and not none
+        worded = worded or new.word
         node.children.append(new)
         if tag in _VOID or attrs and attrs.endswith("/") and tag not in _BLOCK:
             continue
@@ -98,9 +103,28 @@ def parse(text: str) -> Node:
             at = close.end() if close else end
             continue
         node = new
+    if worded:
+        _judge_words(root)
     return root
 
 
+def _judge_words(root: Node) -> None:
+    """Branches that words of class or id name lose their importance, except those with an article, a main or most of the page's text."""
+    order, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo += [c for c in n.children if isinstance(c, Node) and not c.none]
+    held: dict[int, tuple[int, bool]] = {}
+    for n in reversed(order):  # children first
+        inner = [held[id(c)] for c in n.children if isinstance(c, Node) and not c.none]
+        size = sum(x[0] for x in inner) + sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+        held[id(n)] = size, n.tag in ("article", "main") or any(x[1] for x in inner)
+    for n in order:
+        size, article = held[id(n)]
+        n.none = n.none or n.word and not article and 2 * size <= held[id(root)][0]
+
+
 def _up(node: Node | None) -> Iterator[Node]:
     while node is not None:
         yield node
