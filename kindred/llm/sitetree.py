@@ -146,7 +146,7 @@ def _walk(node: Node, low: frozenset[str] | set[str], inside: bool = False) -> I
 def styles(root: Node) -> list[tuple[str, int, int]]:
     """(path, kind, code) for each path on the page: hashes of its branches' presentation (0) and content (1).
 
-    A branch that holds an article counts always: it gives (path, 2, 0). Branches without importance give none.
+    A branch that holds an article, and html and body, count always: they give (path, 2, 0). Branches without importance give none.
     """
     order: list[Node] = []
     todo = [root]
@@ -164,7 +164,7 @@ def styles(root: Node) -> list[tuple[str, int, int]]:
         else:
             inner = [(c, branch[id(c)]) for c in n.children if isinstance(c, Node) and not c.none]
             texts = [c.strip() if isinstance(c, str) else str(branch[id(c)][2]) for c in n.children if isinstance(c, str) or not c.none]
-            branch[id(n)] = (any(b[0] for _, b in inner), code([f"{c.tag}{b[1]}" for c, b in inner]), code(texts))
+            branch[id(n)] = (n.tag in ("html", "body") or any(b[0] for _, b in inner), code([f"{c.tag}{b[1]}" for c, b in inner]), code(texts))
         found.setdefault(n.path, []).append(branch[id(n)])
     out = []
     for path, same in found.items():
@@ -176,7 +176,10 @@ def styles(root: Node) -> list[tuple[str, int, int]]:
 
 
 def main_text(root: Node, low: frozenset[str] | set[str] = frozenset()) -> str:
-    """The blocks of the page's articles, else of its main element, else of its body, without branches of no or low importance."""
+    """The blocks of the page's articles, else of its main element, else of its body, without branches of no or low importance.
+
+    Branches of low importance stay on a page that would have no text without them.
+    """
     kept = list(_walk(root, low))
     tops = [n for n in kept if n.tag == "article" and not any(u.tag == "article" for u in _up(n.parent))]
     tops = tops or [n for n in kept if n.tag == "main"][:1] or [root]
@@ -206,6 +209,8 @@ def main_text(root: Node, low: frozenset[str] | set[str] = frozenset()) -> str:
                     todo.append((None, inside))
                 todo += [(c, inside) for c in reversed(n.children)]
         end()
+    if low and not blocks:
+        return main_text(root)
     return "\n".join(blocks)
 
 
@@ -216,19 +221,21 @@ def _host(url_col: str):
 def low_nodes(pages: DataFrame, support: int = SUPPORT, low: float = LOW) -> DataFrame:
     """(host, paths): each host's nodes of low importance, from columns host and html of all pages.
 
-    Equal (host, path, hash) rows are counted before they move, so a host's size shows only in its counts.
+    Pages of a host with the same payload count once. Its size shows only in the number of different rows.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             rows = []
             for host, data in zip(b.column(0).to_pylist(), b.column(1)):
-                rows += [(host, *x) for x in styles(parse(data.as_py().decode("utf-8", "replace")))]
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["host", "path", "kind", "code"])
-
-    seen = pages.where("html is not null and host <> ''").select("host", F.col("html").cast("binary").alias("html")).mapInArrow(run, "host string, path string, kind int, code long")
-    c = seen.groupBy("host", "path", "kind", "code").count()
+                page = data.as_py()
+                key = xxhash.xxh64_intdigest(page) - (1 << 63)
+                rows += [(host, *x, key) for x in styles(parse(page.decode("utf-8", "replace")))]
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "path", "kind", "code", "page"])
+
+    seen = pages.where("html is not null and host <> ''").select("host", F.col("html").cast("binary").alias("html")).mapInArrow(run, "host string, path string, kind int, code long, page long")
+    c = seen.distinct().groupBy("host", "path", "kind", "code").count()
     e = c.groupBy("host", "path", "kind").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.log("count")).alias("s"))
     entropy = F.when(F.col("kind") == 2, F.lit(1.0)).otherwise((F.log("n") - F.col("s") / F.col("n")) / F.log(F.greatest("n", F.lit(2))))
     each = e.groupBy("host", "path").agg(F.max(entropy).alias("importance"), F.max("n").alias("n"))
@@ -239,8 +246,8 @@ def low_nodes(pages: DataFrame, support: int = SUPPORT, low: float = LOW) -> Dat
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) of every row; text is "" where a page has none.
 
-    Null html is an empty page, a null or odd url has no host and no tree of its own. Repeated rows stay and count
-    as pages of the host; an empty table gives no rows; other columns are ignored.
+    Null html is an empty page, a null or odd url has no host and no tree of its own. Repeated rows stay, but
+    copies count as one page of the host; an empty table gives no rows; other columns are ignored.
     """
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", _host("url"))
     low = written(low_nodes(src), "low-nodes")

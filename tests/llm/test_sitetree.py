@@ -12,3 +12,16 @@ def test_layout_words_keep_the_page():
         assert text(f"<body><div class='{c}'><article>own text</article></div></body>") == "own text"
         assert text(f"<body><div id=a class='{c}'><p>own text of the page</p></div><div class='share-box'>share</div></body>") == "own text of the page"
     assert text("<body><div class='main-nav'>x</div><p>own text</p><div class='wrap sidebar'>y</div></body>") == "own text"
+
+
+def test_copies_count_once(spark):
+    copy = "<html><body><div>Site name</div><p>copied text</p></body></html>"
+    rows = [(i, f"http://h/{i}", copy) for i in range(90)] + [(100 + i, f"http://h/{i}", f"<html><body><div>Site name</div><p>own {i}</p></body></html>") for i in range(10)]
+    got = {r["id"]: r["text"] for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "copied text" for i in range(90)} | {100 + i: f"own {i}" for i in range(10)}
+
+
+def test_no_page_loses_all_its_text():
+    tree = sitetree.parse("<html><body><div>only</div></body></html>")
+    assert sitetree.main_text(tree, {"/html/body/div"}) == "only"
+    assert {s for s in sitetree.styles(tree) if s[0] in ("/html", "/html/body")} == {("/html", 2, 0), ("/html/body", 2, 0)}
