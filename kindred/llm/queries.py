@@ -10,6 +10,7 @@ from kindred.llm.sitetree import op8_site_tree
 from kindred.llm.suffixes import op10_suffix_dedup
 from kindred.llm.tokencounts import op5_token_counts
 from kindred.llm.tokenfiles import op6_token_files
+from kindred.llm.warc import ORACLE as WARC_SQL
 from kindred.llm.warc import op3_warc
 
 QUERIES = {
@@ -25,7 +26,6 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
-    "op2_decontamination": op2_decontamination,
-    "op3_warc": op3_warc,
+    "op3_warc": WARC_SQL,
     "op4_quality_rules": RULES_SQL,
 }

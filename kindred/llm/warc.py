@@ -170,3 +170,13 @@ def op3_warc(spark, sf_dir: str) -> DataFrame:
     """All pages written as WARC archives and read back."""
     out = read_warc(write_warc(table(spark, sf_dir, "pages"), scratch(spark, "warc")))
     return out.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+#: DuckDB twin.
+ORACLE = f"""
+WITH sized AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS low FROM pages),
+named AS (SELECT *, CASE WHEN payload_bytes >= {LEAST} AND low IS DISTINCT FROM page_id THEN low END AS refers_to FROM sized)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM named
+"""
