@@ -78,21 +78,25 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, chunk = encoder(tokenizer).encode, np.zeros(capacity + 1, np.int64), partition_id()
-        tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+        seen, chunk = np.zeros(capacity + 1, np.int64), partition_id()
         for b in small(batches):
-            out: list[list] = [[] for _ in range(6)]
-            for key, text in zip(b.column(0), b.column(1)):
-                ids = encode((text.as_py() or b"").decode("utf-8", "replace")) + tail
-                for k in range(0, len(ids), 4 * capacity):
-                    part = ids[k : k + 4 * capacity]
-                    n = len(part) // 4
-                    for c, v in zip(out, (key, k // (4 * capacity), k // 4, n, part, seen[n])):
-                        c.append(v)
-                    seen[n] += 1
-            kinds = (b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-            cols = [pa.array([x.as_py() for x in c] if i == 0 else c, t) for i, (c, t) in enumerate(zip(out, kinds))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(out[0]), chunk, np.int32))], names=["id", "piece", "start", "length", "ids", "nth", "chunk"])
+            ids, ends = encoder(tokenizer).encode_batch(b.column(1), end_id)
+            size = np.diff(ends)
+            per = -(-size // capacity)
+            row = np.repeat(np.arange(b.num_rows), per)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+            n = np.minimum(capacity, size[row] - piece * capacity)
+            order = np.argsort(n, kind="stable")  # pieces of one length side by side, numbered there
+            first = np.searchsorted(n[order], n[order])
+            nth = np.empty(len(n), np.int64)
+            nth[order] = np.arange(len(n)) - first
+            nth += seen[n]
+            seen += np.bincount(n, minlength=capacity + 1)
+            at = np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int32 if 4 * len(ids) < 1 << 31 else np.int64)
+            kind = pa.binary() if at.dtype == np.int32 else pa.large_binary()
+            data = pa.Array.from_buffers(kind, len(n), [None, pa.py_buffer(at), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
+            cols = [b.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(piece * capacity), pa.array(n), data, pa.array(nth), pa.array(np.full(len(n), chunk, np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "piece", "start", "length", "ids", "nth", "chunk"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     return src.mapInArrow(run, f"id {id_type(docs, id_col)}, piece int, start long, length long, ids binary, nth long, chunk int")

@@ -133,7 +133,7 @@ class Writer:
 
 
 class Reader:
-    """Reads a file with random access: blocks(first, last) decode alone; documents() streams them in order."""
+    """Reads a file with random access: block() decodes one alone; documents() streams those of some blocks in order."""
 
     def __init__(self, f):
         self.f = f
@@ -164,21 +164,38 @@ class Reader:
     def block(self, i: int) -> np.ndarray:
         at, size, _, n, crc = self.blocks[i].tolist()
         self.f.seek(at)
-        ids = self.t.decode(self.f.read(size), n)
-        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        try:
+            ids = self.t.decode(self.f.read(size), n)
+            good = zlib.crc32(ids.astype("<u4").tobytes()) == crc
+        except (IndexError, ValueError, struct.error):
+            good = False
+        if not good:
             raise ValueError(f"block {i} is damaged")
         return ids
 
-    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(doc id, ids before it in this file, ids) in file order."""
-        held, nxt, start = np.empty(0, np.int64), 0, 0
-        for d, null, n in zip(self.docs.tolist(), self.null.tolist(), self.lengths.tolist()):
+    def documents(self, first: int = 0, last: int | None = None) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(doc id, ids before it in this file, ids) of documents that start in blocks first to last, in file order.
+
+        Only these blocks are decoded, and those that the last of these documents runs into. Empty documents at the
+        file's end belong to its last block.
+        """
+        ends = np.cumsum(self.lengths)
+        starts, begins = ends - self.lengths, self.blocks[:, 2]
+        lo = int(begins[first]) if first < len(begins) else int(ends[-1]) if len(ends) else 0
+        i = np.searchsorted(starts, lo) if first else 0
+        j = np.searchsorted(starts, begins[last]) if last is not None and last < len(begins) else len(starts)
+        nxt = max(0, int(np.searchsorted(begins, starts[i], "right")) - 1) if i < j else 0
+        held, at = np.empty(0, np.int64), lo
+        for k in range(i, j):
+            start, n = int(starts[k]), int(self.lengths[k])
+            held, at = held[start - at :], start  # what the document before had
             if len(held) < n:
                 parts, have = [held], len(held)
                 while have < n:
                     parts.append(self.block(nxt))
+                    if not have:  # this block may begin before the document
+                        parts[-1] = parts[-1][start - int(begins[nxt]) :]
                     have += len(parts[-1])
                     nxt += 1
                 held = np.concatenate(parts)
-            yield None if null else d, start, held[:n]
-            held, start = held[n:], start + n
+            yield None if self.null[k] else int(self.docs[k]), start, held[:n]

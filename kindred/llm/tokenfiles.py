@@ -33,13 +33,12 @@ def token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     """(id long, ids binary): whole texts' ids as little-endian unsigned 16-bit integers where all fit, else 32-bit, with a leading width byte."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
-        tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         for b in small(batches):
-            out = []
-            for text in b.column(1):
-                ids = np.frombuffer(encode((text.as_py() or b"").decode("utf-8", "replace")) + tail, "<u4")
-                out.append(b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\x04" + ids.tobytes())
+            ids, ends = encoder(tokenizer).encode_batch(b.column(1), end_id)
+            short = ids.astype("<u2")
+            fits = np.concatenate([[0], np.cumsum(ids != short)])[ends]
+            ends = ends.tolist()
+            out = [b"\x02" + short[i:j].tobytes() if fit else b"\x04" + ids[i:j].tobytes() for i, j, fit in zip(ends, ends[1:], fits[1:] == fits[:-1])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "id long, ids binary")
@@ -72,11 +71,12 @@ def id_counts(ids: DataFrame) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END) -> DataFrame:
-    """Write token files below `folder` in ascending id order; their manifest: (part, path, n_docs, n_tokens, start).
+    """Write token files below `folder` in ascending id order; their manifest: (part, path, n_docs, n_tokens, n_blocks, start).
 
     `start` counts the ids of all files before. A file is named by attempt and counts only once its task's
     manifest row is committed, so repeated and lost tasks leave no duplicates. Null ids come first, rows of
-    equal id in the order of their ids' bytes; null texts are empty ones. An empty table gives no rows.
+    equal id in the order of their ids' bytes; null texts are empty ones. An empty table gives no rows. Other columns
+    are ignored. Ids are numbers or texts of numbers, as files hold 64-bit ids; other texts are refused.
     """
     ids = written(token_ids(docs, tokenizer, id_col, text_col, end_id), "ids")
     counts = id_counts(ids)
@@ -92,16 +92,19 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
         if w is not None:
             w.close()
             f.close()
-            yield pa.RecordBatch.from_arrays([pa.array([partition_id()], pa.int32()), pa.array([path]), pa.array([len(w.docs)], pa.int64()), pa.array([w.total], pa.int64())], names=["part", "path", "n_docs", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([partition_id()], pa.int32()), pa.array([path]), pa.array([len(w.docs)], pa.int64()), pa.array([w.total], pa.int64()), pa.array([len(w.blocks)], pa.int32())], names=["part", "path", "n_docs", "n_tokens", "n_blocks"])
 
     ordered = ids.repartitionByRange(partitions(docs.sparkSession), "id").sortWithinPartitions("id", "ids")
-    files = written(ordered.mapInArrow(run, "part int, path string, n_docs long, n_tokens long"), "manifest")
+    files = written(ordered.mapInArrow(run, "part int, path string, n_docs long, n_tokens long, n_blocks int"), "manifest")
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return written(files.withColumn("start", before), "manifest")  # a row for each file
 
 
-def read_tokens(manifest: DataFrame) -> DataFrame:
-    """(id, start, n_tokens, ids binary, little-endian unsigned 32-bit) of every document in the manifest's files."""
+def read_tokens(manifest: DataFrame, blocks: int = 4) -> DataFrame:
+    """(id, start, n_tokens, ids binary, little-endian unsigned 32-bit) of every document in the manifest's files.
+
+    Tasks are dealt runs of `blocks` checkpoints, not files; each decodes its own and what its last document has behind them.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(rows: list) -> pa.RecordBatch:
@@ -109,10 +112,10 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["id", "start", "n_tokens", "ids"])
 
         for b in batches:
-            for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for path, start, first in zip(*(b.column(i).to_pylist() for i in range(3))):
                 rows, size = [], 0
                 with opened(path, "r") as f:
-                    for key, before, ids in rans.Reader(f).documents():
+                    for key, before, ids in rans.Reader(f).documents(first, first + blocks):
                         rows.append((key, start + before, len(ids), ids.astype("<u4").tobytes()))
                         size += len(rows[-1][3])
                         if size > 8 << 20:
@@ -121,8 +124,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    n = max(1, manifest.count())
-    return manifest.select("path", "start").repartition(n).mapInArrow(run, "id long, start long, n_tokens long, ids binary")
+    parts = manifest.select("path", "start", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n_blocks") - 1), F.lit(blocks))).alias("first"))
+    return parts.repartition(max(1, parts.count())).mapInArrow(run, "id long, start long, n_tokens long, ids binary")
 
 
 def op6_token_files(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
