@@ -1,18 +1,24 @@
 """Main text of web pages by site style trees.
 
 Pages of a host are merged into one tree: a node stands for all elements with the same path of tags and
-classes. Over the host's pages, a node's branch has a distribution of presentations (its elements)
-and of contents (its text); the entropy of each, scaled to 0..1, is its importance. A node whose
-presentation and content hardly vary over many pages is the site's, not the page's, and its branch is
-removed. What varies but is no article either (menus with rotating links, adverts, comments) has
-importance 0 by its role: element, ARIA role, or words of class and id. Articles always count.
+classes. Over the m pages that have it, a node has
+
+- content features: the phrases of its own text. One found on k pages has the entropy log k / log(m + PRIOR),
+  0 for a phrase of one page and near 1 for one that is everywhere; content importance of a branch is
+  1 minus the mean entropy of the features in it,
+- presentation styles: the sequences of its child elements. Its presentation importance is their entropy.
+
+A branch's importance is the greater of both. Branches up to LOW are the site's, not the page's, and go from each page,
+inside articles as outside. PRIOR stands for pages not seen, so that few pages are weak evidence.
+Roles only help: what is no article on any page (nav, footer, form, advert classes) goes even where menus
+and adverts vary too much, or pages are too few, for entropies to tell.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Set
 
 import pyarrow as pa
 import xxhash
@@ -21,8 +27,14 @@ from pyspark.sql import functions as F
 
 from kindred.llm.common import id_type, small, table, written
 
-#: Pages a node must be on before its entropy counts, and the importance up to which its branch goes.
-SUPPORT, LOW = 8, 0.2
+#: Pages added to those seen, and the importance up to which a branch goes: its average phrase is on the square root of all pages.
+PRIOR, LOW = 16, 0.5
+#: The share of a page's text above which a path is what the page is about.
+MOST = 0.8
+#: Levels of a tree; what lies deeper counts as part of its ancestor there.
+DEPTH = 64
+#: Rows (numbers of copies; hosts' low nodes) up to which they are broadcast; beyond, pages meet them by key and a salt.
+BROADCAST, SALTS = 500_000, 16
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -31,6 +43,7 @@ _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe"
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "caption", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 #: Elements without importance by their role.
+_UNSEEN = {"head"} | _RAW
 _NONE = {"head", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "svg", "canvas", "audio", "video", "object", "input", "label"} | _RAW
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
 _WORDS = re.compile(
@@ -41,17 +54,28 @@ _WORDS = re.compile(
 _MODIFIER = re.compile(r"(?:has|no|with|without)[_-]", re.I)
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SPACE = re.compile(r"\s+")
+_PHRASE = re.compile(r"[.,;:!?|\u00b7\u2022()\[\]\n\r\u2026\u2014]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "none", "word", "main", "children", "parent")
+    """An element. `path` is a number for the path of tags and classes to it, made from its parent's."""
+
+    __slots__ = ("tag", "path", "depth", "none", "word", "children", "parent")
+
+    def __init__(self, tag: str, name: str, none: bool, parent: Node | None):
+        self.tag, self.none, self.word, self.parent, self.children = tag, none, False, parent, []
+        self.depth = parent.depth + 1 if parent else 0
+        if parent is None:
+            self.path = 0
+        else:
+            self.path = parent.path if self.depth > DEPTH else xxhash.xxh64_intdigest(f"{parent.path}/{name}") - (1 << 63)
 
-    def __init__(self, tag: str, path: str, none: bool, parent: Node | None):
-        self.tag, self.path, self.none, self.word, self.parent, self.children = tag, path, none, False, parent, []
 
+def parse(text: str, roles: bool = True) -> Node:
+    """The page as a tree; children are nodes or strings. Unclosed elements end where HTML lets them or at their parent's end.
 
-def parse(text: str) -> Node:
-    """The page as a tree; children are nodes or strings. Unclosed elements end where HTML lets them or at their parent's end."""
+    Without `roles` only what is never text (head, scripts, styles) lacks importance.
+    """
     root = node = Node("", "", False, None)
     at, end, worded = 0, len(text), False
     while at < end:
@@ -82,17 +106,19 @@ def parse(text: str) -> Node:
                 else:
                     up = up.parent
         attrs = m[3]
-        name, none, word = tag, tag in _NONE, False
+        name, none, word = tag, tag in (_NONE if roles else _UNSEEN), False
         if attrs:
             for a in _ATTRIBUTE.finditer(attrs):
                 kind, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                 if kind == "class":
                     name = f"{tag}.{'.'.join(sorted(value.split()))}"
+                if not roles:
+                    continue
                 none = none or kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "role" and value.lower() in _ROLES
                 word = word or kind in ("class", "id") and tag not in ("html", "body", "article", "main") and any(_WORDS.search(v) and not _MODIFIER.match(v) for v in value.split())
-        if tag == "header" and not any(n.tag in ("article", "main") for n in _up(node)):
+        if roles and tag == "header" and not any(n.tag in ("article", "main") for n in _up(node)):
             none = True
-        new = Node(tag, f"{node.path}/{name}", none, node)
+        new = Node(tag, name, none, node)
         new.word = word and not none
         worded = worded or new.word
         node.children.append(new)
@@ -131,56 +157,68 @@ def _up(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def _walk(node: Node, low: frozenset[str] | set[str], inside: bool = False) -> Iterator[Node]:
-    """Nodes in page order that have importance; `inside` an article no branch goes for its entropy."""
-    todo = [(node, inside)]
-    while todo:
-        n, inside = todo.pop()
-        if n.none or not inside and n.path in low:
-            continue
-        inside = inside or n.tag in ("article", "main")
-        yield n
-        todo += [(c, inside) for c in reversed(n.children) if isinstance(c, Node)]
-
-
-def styles(root: Node) -> list[tuple[str, int, int]]:
-    """(path, kind, code) for each path on the page: hashes of its branches' presentation (0) and content (1).
-
-    A branch that holds an article, and html and body, count always: they give (path, 2, 0). Branches without importance give none.
-    """
-    order: list[Node] = []
-    todo = [root]
+def _inner(root: Node) -> list[Node]:
+    """Nodes with importance by their roles, parents first."""
+    order, todo = [], [root]
     while todo:
         n = todo.pop()
         order.append(n)
-        if n.tag not in ("article", "main"):
-            todo += [c for c in n.children if isinstance(c, Node) and not c.none]
-    code = lambda parts: xxhash.xxh64_intdigest("\n".join(parts))
-    branch: dict[int, tuple[bool, int, int]] = {}
-    found: dict[str, list[tuple[bool, int, int]]] = {}
+        todo += [c for c in reversed(n.children) if isinstance(c, Node) and not c.none]
+    return order
+
+
+def styles(root: Node) -> Iterator[tuple[int, int, int, list[int] | None]]:
+    """(path, kind, code, paths above and itself): for each path on the page its features (kind 0) and its style (kind 1)."""
+    phrases: dict[int, set[str]] = {}
+    style: dict[int, list[str]] = {}
+    above: dict[int, list[int]] = {}
+    for n in _inner(root):
+        if n is root:
+            continue
+        if n.path not in above:
+            above[n.path] = [n.path] if n.parent is root else [*above[n.parent.path], n.path]
+        style.setdefault(n.path, []).append(" ".join(c.tag for c in n.children if isinstance(c, Node) and not c.none))
+        for c in n.children:
+            if isinstance(c, str) and not c.isspace():
+                phrases.setdefault(n.path, set()).update(filter(None, map(str.strip, _PHRASE.split(c))))
+    code = lambda x: xxhash.xxh64_intdigest(x) - (1 << 63)
+    for path, found in phrases.items():
+        for phrase in found:
+            yield path, 0, code(phrase), None
+    for path, found in style.items():
+        yield path, 1, code("\n".join(found)), above[path]
+
+
+def _low(root: Node, low: Set[int]) -> set[int]:
+    """Which of the paths in `low` go from this page: not those that hold an article, nor html, body, main or over MOST of its text."""
+    order = _inner(root)
+    held: dict[int, tuple[int, bool]] = {}
+    size: dict[int, int] = {}
+    kept = set()
     for n in reversed(order):  # children first
-        if n.tag in ("article", "main"):
-            branch[id(n)] = (True, 0, 0)
-        else:
-            inner = [(c, branch[id(c)]) for c in n.children if isinstance(c, Node) and not c.none]
-            texts = [c.strip() if isinstance(c, str) else str(branch[id(c)][2]) for c in n.children if isinstance(c, str) or not c.none]
-            branch[id(n)] = (n.tag in ("html", "body") or any(b[0] for _, b in inner), code([f"{c.tag}{b[1]}" for c, b in inner]), code(texts))
-        found.setdefault(n.path, []).append(branch[id(n)])
-    out = []
-    for path, same in found.items():
-        if any(b[0] for b in same):
-            out.append((path, 2, 0))
-        else:
-            out += [(path, k, code([str(b[1 + k]) for b in same]) - (1 << 63)) for k in (0, 1)]
-    return out
+        inner = [held[id(c)] for c in n.children if isinstance(c, Node) and not c.none]
+        own = sum(x[0] for x in inner) + sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+        held[id(n)] = own, n.tag in ("article", "main", "html", "body") or any(x[1] for x in inner)
+        if held[id(n)][1]:
+            kept.add(n.path)
+        elif n.path in low and (n.parent is None or n.parent.path != n.path):
+            size[n.path] = size.get(n.path, 0) + own
+    total = held[id(root)][0]
+    return {path for path, own in size.items() if path not in kept and own <= MOST * total}
 
 
-def main_text(root: Node, low: frozenset[str] | set[str] = frozenset()) -> str:
+def main_text(root: Node, low: Set[int] = frozenset()) -> str:
     """The blocks of the page's articles, else of its main element, else of its body, without branches of no or low importance.
 
-    Branches of low importance stay on a page that would have no text without them.
+    A path of low importance stays on a page if it holds an article or over MOST of the page's text, as where a host has copies of one page only.
     """
-    kept = list(_walk(root, low))
+    low = _low(root, low) if low else low
+    kept, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if not n.none and n.path not in low:
+            kept.append(n)
+            todo += [c for c in reversed(n.children) if isinstance(c, Node)]
     tops = [n for n in kept if n.tag == "article" and not any(u.tag == "article" for u in _up(n.parent))]
     tops = tops or [n for n in kept if n.tag == "main"][:1] or [root]
     blocks: list[str] = []
@@ -192,22 +230,20 @@ def main_text(root: Node, low: frozenset[str] | set[str] = frozenset()) -> str:
         line.clear()
 
     for top in tops:
-        todo: list = [(top, top.tag in ("article", "main"))]
+        todo: list = [top]
         while todo:
-            n, inside = todo.pop()
+            n = todo.pop()
             if n is None:
                 end()
             elif isinstance(n, str):
                 line.append(n)
             elif n.tag == "br":
                 line.append(" ")
-            elif n is top or not (n.none or not inside and n.path in low):
-                inside = inside or n.tag in ("article", "main")
-                block = n.tag in _BLOCK
-                if block:
+            elif n is top or not (n.none or n.path in low):
+                if n.tag in _BLOCK:
                     end()
-                    todo.append((None, inside))
-                todo += [(c, inside) for c in reversed(n.children)]
+                    todo.append(None)
+                todo += reversed(n.children)
         end()
     if low and not blocks:
         return main_text(root)
@@ -218,48 +254,75 @@ def _host(url_col: str):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def low_nodes(pages: DataFrame, support: int = SUPPORT, low: float = LOW) -> DataFrame:
-    """(host, paths): each host's nodes of low importance, from columns host and html of all pages.
+def _meet(pages: DataFrame, found: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """`pages` with the columns of `found`, at most a row a key. Where it isn't `small`, a key's pages are dealt over all salts."""
+    if small:
+        return pages.join(F.broadcast(found), keys, "left")
+    salted = pages.withColumn("salt", F.floor(F.rand(7) * SALTS).cast("int"))
+    return salted.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"], "left").drop("salt")
+
+
+def importances(pages: DataFrame, prior: int = PRIOR, broadcast: int = BROADCAST, roles: bool = True) -> DataFrame:
+    """(host, path, pages, importance) of every node of every host's tree that has text in it, from columns host and html.
 
-    Pages of a host with the same payload count once. Its size shows only in the number of different rows.
+    Host is a hash. Pages of a host with the same payload count once together, each as a part. A page is exchanged as
+    some 24 bytes a phrase, added up before; no group is gathered.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64())
         for b in small(batches):
             rows = []
-            for host, data in zip(b.column(0).to_pylist(), b.column(1)):
-                page = data.as_py()
-                key = xxhash.xxh64_intdigest(page) - (1 << 63)
-                rows += [(host, *x, key) for x in styles(parse(page.decode("utf-8", "replace")))]
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "path", "kind", "code", "page"])
-
-    seen = pages.where("html is not null and host <> ''").select("host", F.col("html").cast("binary").alias("html")).mapInArrow(run, "host string, path string, kind int, code long, page long")
-    c = seen.distinct().groupBy("host", "path", "kind", "code").count()
-    e = c.groupBy("host", "path", "kind").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.log("count")).alias("s"))
-    entropy = F.when(F.col("kind") == 2, F.lit(1.0)).otherwise((F.log("n") - F.col("s") / F.col("n")) / F.log(F.greatest("n", F.lit(2))))
-    each = e.groupBy("host", "path").agg(F.max(entropy).alias("importance"), F.max("n").alias("n"))
-    worst = each.where((F.col("n") >= support) & (F.col("importance") <= low))
-    return worst.where("path <> ''").groupBy("host").agg(F.collect_set("path").alias("paths"))  # bounded by the site's layouts
-
-
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+            for host, data, copies in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                part = 1.0 / (copies or 1)
+                for path, kind, code, up in styles(parse(data.as_py().decode("utf-8", "replace"), roles)):
+                    rows.append((path ^ host, code, [host, *up] if kind else None, part))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 4, kinds)], names=["node", "code", "up", "k"])
+
+    known = pages.where("html is not null and host <> ''").select(F.xxhash64("host").alias("host"), F.col("html").cast("binary").alias("html"), F.xxhash64("html").alias("digest"))
+    copies = written(known.groupBy("host", "digest").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    seen = _meet(known, copies, ["host", "digest"], copies.count() <= broadcast).select("host", "html", "copies")
+    each = seen.mapInArrow(run, "node long, code long, up array<long>, k double").groupBy("node", "code", "up").agg(F.round(F.sum("k"), 3).alias("k"))
+    # a phrase's rows have no `up`, a style's have the host and all paths from the top
+    log = F.log(F.greatest("k", F.lit(1.0)))
+    node = written(each.groupBy("node", "up").agg(F.count("*").alias("n"), F.sum("k").alias("m"), F.sum(log).alias("log"), F.sum(F.col("k") * log).alias("klog")), "nodes")
+    phrases = node.where("up is null").select("node", F.col("n").alias("features"), F.col("log").alias("spread"))
+    nodes = node.where("up is not null").select("node", "up", "m", "klog").join(phrases, "node", "left")
+    base = F.log(F.col("m") + prior)
+    nodes = nodes.select(F.element_at("up", 1).alias("host"), F.element_at("up", -1).alias("path"), F.slice("up", 2, DEPTH).alias("up"), "m", F.coalesce("features", F.lit(0)).alias("features"), F.coalesce(F.col("spread") / base, F.lit(0.0)).alias("entropy"), ((F.log("m") - F.col("klog") / F.col("m")) / base).alias("style"))
+    own = F.col("branch") == F.col("path")
+    tree = nodes.withColumn("branch", F.explode("up")).groupBy("host", "branch").agg(
+        F.sum("features").alias("features"), F.sum("entropy").alias("entropy"), F.max(F.when(own, F.col("style"))).alias("style"), F.max(F.when(own, F.col("m"))).alias("m")
+    )
+    importance = F.greatest("style", 1 - F.col("entropy") / F.col("features"))
+    return tree.where("features > 0").select("host", F.col("branch").alias("path"), F.col("m").alias("pages"), importance.alias("importance"))
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast: int = BROADCAST, roles: bool = True) -> DataFrame:
     """(id, url, text) of every row; text is "" where a page has none.
 
     Null html is an empty page, a null or odd url has no host and no tree of its own. Repeated rows stay, but
-    copies count as one page of the host; an empty table gives no rows; other columns are ignored.
+    copies count as one page of the host; an empty table gives no rows; other columns are ignored. Without `roles`
+    the tree alone decides.
     """
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", _host("url"))
-    low = written(low_nodes(src), "low-nodes")
+    low = written(importances(src, broadcast=broadcast, roles=roles).where(F.col("importance") <= LOW).groupBy("host").agg(F.collect_list("path").alias("paths")), "low-nodes")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, frozenset[int]] = {}  # of this task's recent hosts
         for b in small(batches, 2):
-            texts = [main_text(parse((h.as_py() or b"").decode("utf-8", "replace")), set(p or ())) for h, p in zip(b.column(2), b.column(3).to_pylist())]
+            texts = []
+            for i, (h, host) in enumerate(zip(b.column(2), b.column(3).to_pylist())):
+                if host not in sets:
+                    if len(sets) >= 1000:
+                        sets.clear()
+                    sets[host] = frozenset(b.column(4)[i].as_py() or ())
+                texts.append(main_text(parse((h.as_py() or b"").decode("utf-8", "replace"), roles), sets[host]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
-    rows = src if low.isEmpty() else src.join(low, "host", "left")
-    rows = rows if "paths" in rows.columns else rows.withColumn("paths", F.lit(None).cast("array<string>"))
-    return rows.select("id", "url", F.col("html").cast("binary").alias("html"), "paths").mapInArrow(run, f"id {id_type(pages, id_col)}, url string, text string")
+    rows = src.select("id", "url", F.col("html").cast("binary").alias("html"), F.xxhash64("host").alias("host"))
+    few = (low.agg(F.sum(F.size("paths"))).first()[0] or 0) <= broadcast
+    return _meet(rows, low, ["host"], few).select("id", "url", "html", "host", "paths").mapInArrow(run, f"id {id_type(pages, id_col)}, url string, text string")
 
 
 def op8_site_tree(spark, sf_dir: str) -> DataFrame:

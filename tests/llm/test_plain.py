@@ -194,10 +194,13 @@ def test_main_text():
     assert sitetree.main_text(sitetree.parse("")) == ""
     body = "<body><div id=top>same</div><div><p>own</p></div></body>"
     assert sitetree.main_text(sitetree.parse(body)) == "same\nown"
-    tree = sitetree.parse("<body><div class=x>same</div><div><p>own</p></div></body>")
-    assert sitetree.main_text(tree, {"/body/div.x"}) == "own"
+    tree = sitetree.parse("<body><div class=x>same</div><div><p>own</p><p>text</p></div></body>")
+    low = {tree.children[0].children[0].path}
+    assert sitetree.main_text(tree, low) == "own\ntext"
     deep = "<div>" * 5000 + "x"
     assert sitetree.main_text(sitetree.parse(deep)) == "x"
+    assert len({r[0] for r in sitetree.styles(sitetree.parse(deep))}) == sitetree.DEPTH
+    assert sum(len(r[3] or ()) for r in sitetree.styles(sitetree.parse(deep))) < 64 * 65
     assert sitetree.main_text(sitetree.parse("<article>a < b <p")) == "a < b"
 
 

@@ -1,5 +1,9 @@
 """Site style trees on layout classes and on hosts with many copies."""
 
+import random
+from collections import Counter
+from math import log
+
 from kindred.llm import sitetree
 
 
@@ -23,5 +27,57 @@ def test_copies_count_once(spark):
 
 def test_no_page_loses_all_its_text():
     tree = sitetree.parse("<html><body><div>only</div></body></html>")
-    assert sitetree.main_text(tree, {"/html/body/div"}) == "only"
-    assert {s for s in sitetree.styles(tree) if s[0] in ("/html", "/html/body")} == {("/html", 2, 0), ("/html/body", 2, 0)}
+    paths = {n.path for n in sitetree._inner(tree)}
+    assert sitetree.main_text(tree, paths) == "only"
+    tree = sitetree.parse("<html><body><div class=m>menu</div><article><h2>a</h2><p>the long text of the whole article</p></article></body></html>")
+    assert sitetree.main_text(tree, {n.path for n in sitetree._inner(tree)}) == "the long text of the whole article"
+
+
+def site(n: int = 100) -> list[tuple[int, str, str]]:
+    """Pages with a rotating menu, a rotating advert and an author box, in elements without a role, the box in the article."""
+    r = random.Random(3)
+    say = lambda k: " ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(k))
+    items, adverts = [say(1) for _ in range(15)], [say(9) for _ in range(5)]
+    rows = []
+    for i in range(n):
+        menu = "".join(f"<span>{x}</span>" for x in r.sample(items, r.randint(5, 7)))
+        own = [f"{say(20)}, {say(5)}. {say(9)}" for _ in range(r.randint(2, 6))]
+        page = f"<body><div class=top>{menu}</div><div class=x1>{r.choice(adverts)}</div><article><h1>{say(4)}</h1>{''.join(f'<p>{p}</p>' for p in own)}<div class=who>By the desk, all rights kept</div></article></body>"
+        rows.append((i, page, own))
+    return rows
+
+
+def test_rotating_boilerplate_without_roles_goes(spark):
+    rows = site()
+    pages = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h, _ in rows], "page_id long, url string, html string")
+    got = {r["id"]: r["text"].split("\n") for r in sitetree.extract(pages).collect()}
+    assert {i: t[1:] for i, t in got.items()} == {i: own for i, _, own in rows}  # after each page's heading
+    few = {r["id"]: r["text"] for r in sitetree.extract(pages.where("page_id < 3")).collect()}
+    assert all("By the desk" in t for t in few.values())  # three pages are no evidence
+
+
+def test_importances_equal_brute_force(spark):
+    rows = site(30) + site(30)[:7]  # seven copies count once
+    rows += [(i, h.replace("<body>", "<body><div class=top><b>Home</b></div>") if i % 2 else h, o) for i, h, o in site(9)]
+    pages = spark.createDataFrame([(i % 2, h) for i, h, _ in rows], "host int, html string").selectExpr("string(host) host", "html")
+    want: dict = {}
+    for host in (0, 1):
+        own = {h for i, h, _ in rows if i % 2 == host}
+        phrases, styles, ups = Counter(), Counter(), {}
+        for h in own:
+            for path, kind, code, up in sitetree.styles(sitetree.parse(h)):
+                (styles if kind else phrases)[path, code] += 1
+                if kind:
+                    ups[path] = up
+        m = Counter()
+        for (path, _), k in styles.items():
+            m[path] += k
+        for branch in ups:
+            ends = [log(k) / log(m[p] + sitetree.PRIOR) for (p, _), k in phrases.items() if branch in ups[p]]
+            spread = [k / m[branch] for (p, _), k in styles.items() if p == branch]
+            if ends:
+                style = -sum(p * log(p) for p in spread) / log(m[branch] + sitetree.PRIOR)
+                want[host, branch] = m[branch], round(max(style, 1 - sum(ends) / len(ends)), 9)
+    for broadcast in (-1, 1000):
+        got = sitetree.importances(pages, broadcast=broadcast).join(pages.selectExpr("host name", "xxhash64(host) host").distinct(), "host").collect()
+        assert {(int(r["name"]), r["path"]): (r["pages"], round(r["importance"], 9)) for r in got} == want
