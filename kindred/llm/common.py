@@ -6,7 +6,7 @@ import contextlib
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kindred-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -52,7 +54,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 @contextlib.contextmanager
 def noted() -> Iterator[list[str]]:
-    """The scratch paths handed out meanwhile, for their owner to drop once its result is written."""
+    """The scratch paths handed out meanwhile, for whoever opened the scope to drop once a result is written."""
     scope: list[str] = []
     _open.append(scope)
     try:
@@ -61,6 +63,16 @@ def noted() -> Iterator[list[str]]:
         _open.remove(scope)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """written(make()), without the scratch tables that making it took."""
+    with noted() as paths:
+        df = make()
+    out = written(df, name)
+    for path in paths:
+        drop_path(spark, path)
+    return out
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back.
 
@@ -92,6 +104,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     equi-join, so a hub's edges are never gathered in one place (adaptive execution splits its join
     partition), and each round is written, so lineage stays short. Null ends and loops are ignored.
     """
+    with noted() as paths:
+        e = _stars(edges, a, b)
+    for path in paths[:-1]:
+        drop_path(edges.sparkSession, path)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _stars(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Each node and its root (u, v), the last table written."""
     e = written(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct(),
         "edges",
@@ -108,7 +129,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if after == before:
             break
         before = after
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return e
 
 
 def small(batches, column: int = 1, limit: int = 8 << 20):

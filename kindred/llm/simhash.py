@@ -18,11 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import components, partitions, table, written
+from kindred.llm.common import components, partitions, settled, table, written
 
 RADIUS = 3
-#: Filed fingerprints under one segment value above which they meet in pairs of blocks.
+#: Fingerprints under one segment value above which they meet in pairs of blocks.
 BLOCK = 4096
+#: Hot segment values (16 bytes each) up to which they are broadcast.
+BROADCAST = 1_000_000
 
 
 def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
@@ -45,15 +47,18 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp long) of every whole text; null and blank texts have fingerprint 0. Other columns are ignored."""
+    """(id, fp long, digest long, of the exact text) of every whole text; null and blank texts have fingerprint 0.
+
+    Other columns are ignored.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), words, seed) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], names=["id", "fp", "digest"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(text_col).alias("digest")).mapInArrow(run, f"id {kind}, fp long, digest long")
 
 
 def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,82 +75,104 @@ def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["key", "fp", "filed"])
 
 
-def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among distinct fingerprints, by breadth-first search."""
-    rest, out, todo = fps.astype(np.uint64), [], []
-    while len(rest) or todo:
+def _forest(filed: np.ndarray, arrived: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links that touch a filed fingerprint, by breadth-first search.
+
+    All are distinct. Two that arrived are never compared: they meet under another segment value.
+    """
+    filed, arrived, out, todo = filed.astype(np.uint64), arrived.astype(np.uint64), [], []
+    while len(filed) or todo:
         if not todo:
-            todo.append(rest[0])
-            rest = rest[1:]
-        x = todo.pop()
-        near = np.bitwise_count(rest ^ x) <= radius
+            todo.append((filed[0], True))
+            filed = filed[1:]
+        x, own = todo.pop()
+        near = np.bitwise_count(filed ^ x) <= radius
         if near.any():
-            found = rest[near]
-            out += [(int(x), int(y)) for y in found]
-            todo += list(found)
-            rest = rest[~near]
+            out += [(int(x), int(y)) for y in filed[near]]
+            todo += [(y, True) for y in filed[near]]
+            filed = filed[~near]
+        if own:
+            near = np.bitwise_count(arrived ^ x) <= radius
+            if near.any():
+                out += [(int(x), int(y)) for y in arrived[near]]
+                todo += [(y, False) for y in arrived[near]]
+                arrived = arrived[~near]
     return out
 
 
 def _meet(radius: int):
     """Groups of equal (key, part), sorted, to links; a group may run over batches."""
 
-    def links(group: list[np.ndarray]) -> list[tuple[int, int]]:
-        return _forest(np.unique(np.concatenate(group)).view(np.uint64), radius)
+    def links(fp: list[np.ndarray], filed: list[np.ndarray]) -> list[tuple[int, int]]:
+        fps, own = np.concatenate(fp), np.concatenate(filed)
+        if len(fps) < 2 or not own.any():
+            return []
+        return _forest(np.unique(fps[own]).view(np.uint64), np.unique(fps[~own]).view(np.uint64), radius)
 
     def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
         p = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, filed_held = None, [], 0
+        last, held, held_filed = None, [], []
         for b in batches:
             if not b.num_rows:
                 continue
             key, part, fp, filed = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(part) != 0)) + 1
             start, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
-            n_filed = np.add.reduceat(filed.astype(np.int64), start)
             pairs = []
-            if last is not None:
-                if last != (key[0], part[0]):
-                    if filed_held and sum(map(len, held)) > 1:
-                        pairs += links(held)
-                    held, filed_held = [], 0
+            if held and last != (key[0], part[0]):
+                pairs += links(held, held_filed)
+                held, held_filed = [], []
+            held.append(fp[: end[0]])
+            held_filed.append(filed[: end[0]])
             if len(start) > 1:  # all but the last group end here
-                first = [*held, fp[: end[0]]]
-                if filed_held + n_filed[0] and sum(map(len, first)) > 1:
-                    pairs += links(first)
-                held, filed_held = [], 0
-                for g in np.flatnonzero((n_filed > 0) & (end - start > 1))[:]:
+                pairs += links(held, held_filed)
+                n_filed = np.add.reduceat(filed.astype(np.int64), start)
+                for g in np.flatnonzero((n_filed > 0) & (end - start > 1)).tolist():
                     if 0 < g < len(start) - 1:
-                        pairs += links([fp[start[g] : end[g]]])
-            held.append(fp[start[-1] :])
-            filed_held += n_filed[-1]
+                        pairs += links([fp[start[g] : end[g]]], [filed[start[g] : end[g]]])
+                held, held_filed = [fp[start[-1] :]], [filed[start[-1] :]]
             last = (key[-1], part[-1])
             if pairs:
                 yield out(pairs)
-        if filed_held and sum(map(len, held)) > 1:
-            yield out(links(held))
+        if held:
+            yield out(links(held, held_filed))
 
     return run
 
 
-def link(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def hot_keys(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(key, n): segment values under which over `block` fingerprints are filed or arrive, and the blocks to deal them to.
+
+    A value gets what is filed under its up to 32 upper neighbours. Those with up to block / 32 send it no more than a block
+    together, so only the others are counted out, from one row a segment value.
+    """
+    low, high = F.col("fp").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 32))
+    filed = fps.select(F.explode(F.array(low, high)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    heavy = filed.where(F.col("n") > block // 32)
+    flips = F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: F.pow(F.lit(2.0), j).cast("long")), lambda bit: F.col("key").bitwiseAND(bit) != 0)
+    sent = heavy.select(F.explode(F.transform(flips, lambda bit: F.col("key").bitwiseXOR(bit))).alias("key"), "n")
+    total = heavy.union(sent).groupBy("key").agg(F.sum("n").alias("n"))
+    return total.where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("n"))
+
+
+def link(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, broadcast: int = BROADCAST) -> DataFrame:
     """Links (a, b) that connect distinct fingerprints (column fp) as all pairs within `radius` bits (at most 3) would.
 
-    A segment value under which more than `block` fingerprints are filed is split: its entries go to
-    blocks by hash, and every pair of blocks meets in a task of its own.
+    A segment value under which more than `block` fingerprints meet is split: its entries go to blocks by hash,
+    and every pair of blocks meets in a task of its own.
     """
     if not 0 <= radius <= 3:
         raise ValueError("two segments with balls of radius 1 cover at most 3 bits")
     e = fps.select("fp").mapInArrow(_entries, "key long, fp long, filed boolean")
-    low, high = F.col("fp").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 32))
-    hot = fps.select(F.explode(F.array(low, high)).alias("key")).groupBy("key").count().where(F.col("count") > block)
-    if hot.isEmpty():
+    hot = written(hot_keys(fps, block), "hot")
+    rows = hot.count()
+    if not rows:
         e = e.select("key", F.lit(0).alias("part"), "fp", "filed")
     else:
-        e = e.join(hot.select("key", F.ceil(F.col("count") / block).cast("int").alias("n")), "key", "left")
+        e = e.join(F.broadcast(hot) if rows <= broadcast else hot, "key", "left")
         own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least(j, own) * F.col("n") + F.greatest(j, own))
         e = e.select("key", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("part"), "fp", "filed")
@@ -154,37 +181,49 @@ def link(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, radius: int = RADIUS) -> DataFrame:
-    """(id, fp long, component): the group each row falls in, as the smallest id that links reach.
+    """(id, fp long, component, digest long): the group each row falls in, as the smallest id that links reach.
+
+    `root` tells groups apart that have the same smallest id because different texts have it.
 
     Fingerprints link at `radius` or fewer differing bits; equal ones always do, those of empty and
     null texts (0) included. Repeated rows stay, null ids never name a component unless the whole
     component has none, and further columns of `docs` are ignored.
     """
-    fp = written(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
-    each = written(fp.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
-    comp = components(written(link(each, radius), "links"))
-    named = each.join(comp, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
-    roots = named.groupBy("root").agg(F.min("low").alias("component"))
-    return fp.join(named.select("fp", "root").join(roots, "root").select("fp", "component"), "fp").select("id", "fp", "component")
-
-
-def firsts(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """The rows of `docs` whose id names their group in `found` (id, component), one an id, and those without an id."""
-    first = found.where("id = component").groupBy("id").agg(F.count("*").alias("_n"))
-    named = docs.join(first.select(F.col("id").alias(id_col), "_n"), id_col)
-    if first.where("_n > 1").isEmpty():
-        kept = named
-    else:
-        kept = named.where("_n = 1").union(named.where("_n > 1").dropDuplicates([id_col]))
-    return kept.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+
+    def make() -> DataFrame:
+        fp = written(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
+        each = written(fp.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
+        comp = components(written(link(each, radius), "links"))
+        named = each.join(comp, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+        roots = named.groupBy("root").agg(F.min("low").alias("component"))
+        return fp.join(named.select("fp", "root").join(roots, "root").select("fp", "component", "root"), "fp").select("id", "fp", "component", "digest", "root")
+
+    return settled(docs.sparkSession, make, "groups")
+
+
+def firsts(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row of `docs` for each group in `found` (id, digest of the exact text, component, root), and those without an id.
+
+    Rows are told apart by id and text, so different texts under one id are judged each by itself. Of the rows whose id
+    names their group one stays: that of the smallest digest, of rows equal in this too the first by its JSON.
+    """
+    named = found.where("id = component").groupBy("root", "id", "digest").agg(F.count("*").alias("n"))
+    first = written(named.groupBy("root", "id").agg(F.min_by("n", "digest").alias("n"), F.min("digest").alias("digest")), "first")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.struct("*").alias("row"))
+    kept = rows.join(first.where("n = 1").select("id", "digest"), ["id", "digest"], "left_semi").select("row.*")
+    if not first.where("n > 1").isEmpty():
+        same = rows.join(first.where("n > 1").select("id", "digest"), ["id", "digest"], "left_semi")
+        kept = kept.union(same.groupBy("id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))
+    return kept.union(docs.where(F.col(id_col).isNull()))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of `docs`, whole, that are the first (smallest id) of their near-duplicate group.
 
-    Of rows that share an id, one stays. Rows without an id name no group and stay.
+    Different texts under one id are judged each by itself, of equal rows one stays, and rows without an
+    id name no group and stay. An empty table gives no rows; columns of any name are carried along.
     """
-    return firsts(docs, written(near_duplicates(docs, id_col, text_col, **kw), "groups"), id_col)
+    return firsts(docs, near_duplicates(docs, id_col, text_col, **kw), id_col, text_col)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

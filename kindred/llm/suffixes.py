@@ -26,13 +26,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import partition_id, partitions, scratch, small, table, written
+from kindred.llm.common import drop_path, partition_id, partitions, scratch, settled, small, table, written
 
 LENGTH, GRAM = 200, 64
 #: Texts are hashed in groups of about so many bytes; longer texts in overlapping segments.
 GROUP, SEGMENT = 1 << 18, 1 << 23
-#: Bytes of suffixes a task sorts into one run.
-RUN = 48 << 20
+#: Bytes of suffixes a task sorts into one run, and of texts a range of the merge stands for.
+RUN, RANGE = 48 << 20, 256 << 20
 _MULT, _MIX = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 _powers: dict[str, np.ndarray] = {}
 
@@ -139,15 +139,14 @@ def _numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lane, pa.int32()), b.column(2)], names=["key", "uid", "lane", "t"])
 
 
-def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """Each different text once: (key SHA-256, uid its first 8 bytes, lane, t binary), in buckets by uid."""
+def distinct_texts(docs: DataFrame, text_col: str, name: str, path: str) -> DataFrame:
+    """Each different text once: (key SHA-256, uid its first 8 bytes, lane, t binary), as table `name` in buckets by uid."""
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     t = docs.select(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("t")).where(F.octet_length("t") >= LENGTH)
     t = t.select(F.unhex(F.sha2("t", 256)).alias("key"), "t")
     t = t.select("key", F.conv(F.hex(F.substring("key", 2, 7)), 16, 10).cast("long").alias("uid"), "t")
     t = t.mapInArrow(_once, "key binary, uid long, t binary").repartition(n, "uid").mapInArrow(_numbered, "key binary, uid long, lane int, t binary")
-    name = f"texts_{uuid.uuid4().hex}"
-    t.write.option("path", scratch(spark, "texts")).option("compression", "zstd").bucketBy(n, "uid").saveAsTable(name)
+    t.write.option("path", path).option("compression", "zstd").bucketBy(n, "uid").saveAsTable(name)
     return spark.table(name)
 
 
@@ -437,8 +436,12 @@ def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_starts(texts: DataFrame) -> DataFrame:
-    """(uid, spans of (lo, hi)): starts of the strings of LENGTH bytes that start elsewhere too; the lane is in the high bits."""
-    n = partitions(texts.sparkSession)
+    """(uid, spans of (lo, hi)): starts of the strings of LENGTH bytes that start elsewhere too; the lane is in the high bits.
+
+    Ranges grow in number with the texts, so that a task's runs don't grow with them.
+    """
+    size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = max(partitions(texts.sparkSession), -(-size // RANGE))
     runs = texts.join(repeated_anchors(texts).hint("shuffle_hash"), "uid").select("uid", "lane", "t", "hs").mapInArrow(_runs(n), "range int, run binary, known boolean")
     found = runs.repartitionById(n, F.col("range")).mapInArrow(_merged, "uid long, lo long, hi long")
     return found.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
@@ -470,24 +473,35 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     strings don't cross rows. `spans` are the maximal removed runs (start, end). Null texts are empty ones, rows
     of equal text of at least LENGTH bytes are removed whole, shorter texts are kept, and null or repeated ids are
     of no account. `derive` names columns to compute from kept, spans and text (what is left, without the halves of
-    cut characters) where they lie; they then stand in place of kept and spans, which needn't move. Columns other than the id, the text and `keep` are ignored.
+    cut characters) where they lie; they then stand in place of kept and spans, which needn't move. Columns other than
+    the id, the text and `keep` (of any name) are ignored. An empty table gives no rows.
     """
-    t = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    spark, t = docs.sparkSession, F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     size = F.octet_length(t).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), *keep, size.alias("n_bytes"), F.unhex(F.sha2(t, 256)).alias("key"), F.when(size < LENGTH, t).otherwise(F.lit(b"")).alias("kept"))
-    texts = distinct_texts(docs, text_col)
-    spans = written(repeated_starts(texts), "repeats")
-    cut = texts.join(spans.hint("shuffle_hash"), "uid", "left").select("key", "lane", "t", "spans").mapInArrow(_cut, "key binary, kept binary, text string, spans array<struct<start:bigint,end:bigint>>")
+    sources = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(None).cast("int")
+    rows = docs.select(F.col(id_col).alias("id"), sources.alias("carried"), size.alias("n_bytes"), F.unhex(F.sha2(t, 256)).alias("key"), F.when(size < LENGTH, t).otherwise(F.lit(b"")).alias("kept"))
     extra = derive or {"kept": F.col("kept"), "spans": F.col("spans")}
-    cut = cut.select("key", *(c.alias(f"_{n}") for n, c in extra.items()))
-    copies = rows.where(F.col("n_bytes") >= LENGTH).groupBy("key").agg(F.count("*").alias("copies"))
-    own = cut.join(copies.where("copies = 1").select("key"), "key")  # texts that occur once
+
+    def make(name: str, path: str) -> DataFrame:
+        texts = distinct_texts(docs, text_col, name, path)
+        spans = written(repeated_starts(texts), "repeats")
+        cut = texts.join(spans.hint("shuffle_hash"), "uid", "left").select("key", "lane", "t", "spans").mapInArrow(_cut, "key binary, kept binary, text string, spans array<struct<start:bigint,end:bigint>>")
+        copies = rows.where(F.col("n_bytes") >= LENGTH).groupBy("key").agg(F.count("*").alias("copies"))
+        return cut.select("key", F.struct(*(c.alias(n) for n, c in extra.items())).alias("found")).join(copies.where("copies = 1").select("key"), "key")
+
+    table_name, path = f"texts_{uuid.uuid4().hex}", scratch(spark, "texts")
+    try:
+        own = settled(spark, lambda: make(table_name, path), "own")  # texts that occur once
+    finally:  # the bucketed table is of this call only
+        spark.sql(f"DROP TABLE IF EXISTS {table_name}")
+        drop_path(spark, path)
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     rest = rows.withColumn("text", F.col("kept").cast("string")).withColumn("spans", F.when(F.col("n_bytes") < LENGTH, none).otherwise(whole))  # right for short texts and copies
-    rest = rest.select("id", *keep, "n_bytes", "key", *(c.alias(n) for n, c in extra.items()))
-    out = rest.join(own.withColumn("_found", F.lit(True)), "key", "left")
-    return out.select("id", *keep, "n_bytes", *(F.when(F.col("_found"), F.col(f"_{n}")).otherwise(F.col(n)).alias(n) for n in extra))
+    rest = rest.select("id", "carried", "n_bytes", "key", F.struct(*(c.alias(n) for n, c in extra.items())).alias("usual"))
+    out = rest.join(own, "key", "left")
+    got = F.when(F.col("found").isNotNull(), F.col("found")).otherwise(F.col("usual"))
+    return out.select("id", *(F.col("carried")[c].alias(c) for c in keep), "n_bytes", *(got[n].alias(n) for n in extra))
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from kindred.llm import classifier, decontaminate, packing, rules, simhash, sitetree, suffixes, tokencounts, tokenfiles, warc
+from kindred.llm import classifier, decontaminate, nearcopies, packing, rules, simhash, sitetree, suffixes, tokencounts, tokenfiles, warc
 from kindred.llm.common import components, scratch
 from kindred.llm.tokens import Encoder, vocabulary
 
@@ -100,7 +100,21 @@ def test_simhash(docs, none):
     assert d.columns == docs.columns
     keep = Counter(r["doc_id"] for r in d.collect())
     assert keep == Counter({i for i, _, c in want if i == c and i is not None}) + Counter({None: 2})
-    assert simhash.near_duplicates(none).count() == 0
+    assert simhash.near_duplicates(none).count() == 0 == simhash.deduplicated(none).count()
+
+
+@pytest.mark.parametrize("dedup", [simhash.deduplicated, nearcopies.deduplicated])
+def test_dedup_decides_by_row(spark, dedup):
+    r = random.Random(5)
+    a, b, c = (" ".join(r.choices(WORDS, k=80)) for _ in range(3))
+    rows = [(3, a, "x"), (5, a, "y"), (5, b, "y"), (5, b, "z"), (5, b, "a"), (6, b, "b"), (7, c, "c"), (7, a, "d"), (None, a, "e"), (None, None, "f"), (8, None, "g"), (8, "", "h"), (9, " ", "i")]
+    t = spark.createDataFrame([(*x, 1, 2, 3) for x in rows], "doc_id long, text string, _n string, digest int, row int, n int").repartition(3)
+    got = dedup(t)
+    assert got.columns == t.columns
+    left = Counter((x["doc_id"], x["text"], x["_n"]) for x in got.collect())
+    assert left - Counter(rows[10:12]) == Counter([rows[0], rows[4], rows[6], rows[8], rows[9]])
+    assert (left & Counter(rows[10:12])).total() == 1  # one group, one id, two texts
+    assert dedup(t.limit(0)).count() == 0
 
 
 def test_simhash_splits_hot_segments(spark):
@@ -118,6 +132,21 @@ def test_simhash_splits_hot_segments(spark):
         assert all(group[a] == group[b] for a in fps for b in fps if (a ^ b).bit_count() <= 3)
 
 
+def test_neighbours_of_hot_segments_are_split(spark):
+    """One low half for many fingerprints, and one fingerprint filed a bit below it, where they all arrive."""
+    r = random.Random(4)
+    low = r.getrandbits(32) | 5
+    fps = sorted({r.getrandbits(30) << 32 | low for _ in range(400)})
+    near = [fps[7] ^ 1, fps[90] ^ 4 ^ 1 << 40 ^ 1 << 41]
+    df = spark.createDataFrame([(f,) for f in fps + near], "fp long")
+    hot = {x["key"]: x["n"] for x in simhash.hot_keys(df, 64).collect()}
+    assert hot[low] == -(-len(fps) // 64) and hot[low ^ 1] == hot[low] and {low ^ 1 << j for j in range(32) if low >> j & 1} < set(hot)
+    for broadcast in (0, 1000):
+        links = simhash.link(df, block=64, broadcast=broadcast).collect()
+        got = {frozenset(x) for x in links}
+        assert got == {frozenset((a, b)) for a in fps + near for b in fps + near if a < b and (a ^ b).bit_count() <= 3}
+
+
 def brute_repeats(rows: list[bytes]) -> list[list[tuple[int, int]]]:
     seen = Counter(t[i : i + 200] for t in rows for i in range(len(t) - 199))
     out = []
@@ -141,16 +170,22 @@ def test_suffix_dedup(docs, none):
         want[i, len(t), b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2])), tuple(spans)] += 1
     got = suffixes.suffix_dedup(docs, keep=("lang",))
     assert Counter((r["id"], r["n_bytes"], bytes(r["kept"]), tuple(map(tuple, r["spans"]))) for r in got.collect()) == want
+    clash = suffixes.suffix_dedup(docs, keep=("key", "fp", "uid"))
+    assert clash.columns == ["id", "key", "fp", "uid", "n_bytes", "kept", "spans"] and clash.where("key = 'k' and fp = 'fp'").count() == docs.count()
     assert suffixes.suffix_dedup(none).count() == 0
 
 
-def test_decontamination(spark, docs, none):
+def test_decontamination(spark, docs, none, monkeypatch):
     t = dict((i, t) for i, t, _ in texts())
     items = spark.createDataFrame([(1, t[50]), (2, None), (3, ""), (4, t[50]), (5, "Ünï ü")], "item_id long, text string")
     got = {(r["id"], r["item"]) for r in decontaminate.contaminated(docs, items).collect()}
-    assert {(i, k) for i in (50, 51, 52, 53) for k in (1, 4)} == got
+    assert {(i, k) for i in (50, 51, 52, 53) for k in (1, 4)} | {(73, 5)} == got
     left = decontaminate.decontaminated(docs, items)
-    assert left.columns == docs.columns and left.count() == docs.count() - 4
+    assert left.columns == docs.columns and left.count() == docs.count() - 5
+    monkeypatch.setattr(decontaminate, "ITEMS", 100)  # several blocks, one after another
+    assert {(r["id"], r["item"]) for r in decontaminate.contaminated(docs, items).collect()} == got
+    assert Counter(r["doc_id"] for r in decontaminate.decontaminated(docs, items).collect()) == Counter(r["doc_id"] for r in left.collect())
+    assert decontaminate.decontaminated(none, items).count() == 0 and decontaminate.decontaminated(docs, items.limit(0)).count() == docs.count()
     assert decontaminate.contaminated(none, items).count() == 0 == decontaminate.contaminated(docs, items.limit(0)).count()
 
 
@@ -254,15 +289,18 @@ def test_pipeline_equals_brute_force(spark, tmp_path_factory):
     raw, good, near, cut, clean, packed = ([r.asDict() for r in s.collect()] for s in seen)
     assert all(s.columns == list(corpus_pipeline.COLUMNS) for s in seen[:5])
     assert {r["doc_id"] for r in good} >= set(range(4000, 4060)) and not {r["doc_id"] for r in good} & set(range(3000, 3040))
-    fp = {id(r): simhash.fingerprint((r["text"] or "").encode()) for r in good}
-    low = {id(r): r["doc_id"] for r in good}
-    named = [r for r in good if r["doc_id"] is not None]
-    for _ in range(4):
-        for a in named:
-            for b in named:
-                if (fp[id(a)] ^ fp[id(b)]).bit_count() <= 3:
-                    low[id(a)] = low[id(b)] = min(low[id(a)], low[id(b)])
-    assert Counter(r["doc_id"] for r in near) == Counter({r["doc_id"] for r in named if low[id(r)] == r["doc_id"]}) + Counter(None for r in good if r["doc_id"] is None)
+    def shingles(r: dict) -> set:
+        w = (r["text"] or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
+
+    named = [(r, shingles(r)) for r in good if r["doc_id"] is not None]
+    low = [r["doc_id"] for r, _ in named]
+    alike = [(i, j) for i, (_, a) in enumerate(named) for j, (_, b) in enumerate(named) if i < j and 5 * len(a & b) >= 4 * len(a | b)]
+    for _ in range(6):
+        for i, j in alike:
+            low[i] = low[j] = min(low[i], low[j])
+    assert Counter(r["doc_id"] for r in near) == Counter({r["doc_id"] for (r, _), x in zip(named, low) if x == r["doc_id"]}) + Counter(None for r in good if r["doc_id"] is None)
+    assert {50, 60} <= {r["doc_id"] for r in near} and not {51, 52, 53, 61, 62} & {r["doc_id"] for r in near} - {51}
     bodies = [(r["text"] or "").encode() for r in near]
     want = Counter()
     for r, t, spans in zip(near, bodies, brute_repeats(bodies)):
@@ -277,3 +315,6 @@ def test_pipeline_equals_brute_force(spark, tmp_path_factory):
     by_id = Counter((i, zlib.crc32(ids)) for (i, _), ids in whole.items() if i is not None)
     assert by_id == Counter((r["doc_id"], zlib.crc32(e.encode(r["text"]) + (1).to_bytes(4, "little"))) for r in clean if r["doc_id"] is not None)
     assert spark.read.parquet(f"{d}/packing").count() == corpus_pipeline.run(spark, d).count()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("texts_")]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), d).count() == 0, name
