@@ -33,38 +33,39 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--db-path", metavar="PATH", help="folder of Parquet relations, JDBC address or SQLite file")
     p.add_argument("--embed-url", default="https://api.openai.com/v1/embeddings")
     p.add_argument("--embed-model", default="text-embedding-3-small")
+    p.add_argument("--requesters", type=int, default=1, metavar="N", help="tasks that send embedding requests at the same time")
     p.add_argument("--version", action="version", version="kindred 0.1")
     return p
 
 
-def embedded(spark: SparkSession, papers: DataFrame, cfg: Settings, provider: embeddings.Provider | None, limit: int | None) -> tuple[DataFrame, DataFrame, int]:
-    """(vectors, cache lookup, tokens): vectors from the cache, and for misses from the provider, which are then cached."""
+def embedded(spark: SparkSession, papers: DataFrame, cfg: Settings, provider: embeddings.Provider | None, limit: int | None, requesters: int = 1) -> tuple[DataFrame, DataFrame, int, int]:
+    """(vectors, cache lookup, tokens, calls): vectors from the cache, and for misses from the provider, which are then cached."""
     some = papers if limit is None else papers.where(F.col("idx") < limit)
     read = text.extract(some.join(corpus.notes(spark, cfg.reports_dir + "/*/*.md").withColumnRenamed("path", "file_path"), "file_path", "left"), "text")
     inputs = embeddings.hashed_inputs(read.select("idx", text.embed_input(F.col("title"), F.col("body")).alias("input")))
     inputs = written(inputs, "inputs")
     cache = embeddings.load_cache(spark, cfg.embed_cache)
     found = written(embeddings.lookup(inputs, cache), "lookup")
-    todo, tokens = embeddings.misses(inputs, cache), 0
+    todo, tokens, calls = embeddings.misses(inputs, cache), 0, 0
     if not todo.isEmpty():
         if provider is None:
             raise ValueError("some texts aren't in the cache: set OPENAI_API_KEY")
-        got = written(embeddings.embed(todo.coalesce(1), provider), "embedded")
-        tokens = got.agg(F.sum("tokens")).first()[0] or 0
+        got = written(embeddings.embed(todo.repartition(requesters), provider), "embedded")
+        tokens, calls = got.agg(F.sum("tokens"), F.sum("calls")).first()
         cache = cache.union(got.where("vec is not null").select("hash", "vec"))
         cache = written(cache, "cache")
         embeddings.save_cache(cache, cfg.embed_cache)
-    return inputs.select("idx", "hash").join(cache, "hash").select("idx", "vec"), found, tokens
+    return inputs.select("idx", "hash").join(cache, "hash").select("idx", "vec"), found, tokens, calls
 
 
-def run(spark: SparkSession, cfg: Settings, provider: embeddings.Provider | None, apply: bool = False, limit: int | None = None, seed: int = 42, say=print) -> DataFrame:
+def run(spark: SparkSession, cfg: Settings, provider: embeddings.Provider | None, apply: bool = False, limit: int | None = None, seed: int = 42, say=print, requesters: int = 1) -> DataFrame:
     """The final graph. Prints statistics; writes the cache and the edge dump, and the notes if `apply`."""
     cfg.ensure_cache_dir()
     table = lambda name, schema: corpus.read_table(spark, cfg.db_path, name, schema)
     papers = corpus.scan(table("papers", corpus.PAPERS), cfg)
     papers = written(corpus.live(papers, corpus.listing(spark, cfg.reports_dir + "/*/*.md")), "papers")
     protected, links = report.protected_idx(papers, cfg.protected), corpus.link_targets(papers, cfg.reports_rel)
-    vecs, found, tokens = embedded(spark, papers, cfg, provider, limit)
+    vecs, found, tokens, calls = embedded(spark, papers, cfg, provider, limit, requesters)
     g = Graph(corpus.corpus_tags(papers, table("tags", corpus.TAGS)), corpus.corpus_authors(papers, table("authors", corpus.AUTHORS)), vecs, papers.count(), cfg.limits)
     writers = report.writer_graph(g.final, protected)
     degree = report.degrees(papers, writers, protected)
@@ -77,7 +78,7 @@ def run(spark: SparkSession, cfg: Settings, provider: embeddings.Provider | None
     say("[APPLY]" if apply else "[DRY-RUN]")
     tell("Corpus", report.corpus_stats(papers, cfg.protected))
     tell("Tags and authors", report.phase_a_stats(g.terms, g.weights, g.a_edges))
-    tell("Embeddings", report.phase_b_stats(found, g.b_edges, tokens))
+    tell("Embeddings", report.phase_b_stats(found, g.b_edges, tokens, calls))
     tell("Percentiles", report.percentiles(g.a_edges, "A").union(report.percentiles(g.b_edges, "B")))
     tell("Decisions", report.decision_stats(g.decisions))
     tell("Writers", report.final_stats(degree))
@@ -92,8 +93,10 @@ def run(spark: SparkSession, cfg: Settings, provider: embeddings.Provider | None
         own = papers.join(protected, "idx", "left_anti")
         texts = own.join(corpus.notes(spark, cfg.reports_dir + "/*/*.md", strict=True).withColumnRenamed("path", "file_path"), "file_path")
         new = frontmatter.rewrite(texts.join(merge.note_targets(own, writers, links), "idx"), "text", "targets")
-        new = written(new.select("file_path", "new_text", "changed"), "notes")
-        say(f"files changed: {new.where('changed').count()}, protected skipped: {protected.count()}")  # all is read before any is written
+        new = written(new.select("file_path", "new_text", "changed"), "notes")  # all is read before any is written
+        there = corpus.listing(spark, cfg.reports_dir + "/*/*.md")
+        n = report.apply_counters(papers, protected, there, new).first()
+        say(f"files changed: {n['changed']}, protected skipped: {n['protected']}, missing skipped: {n['missing']}")
         sinks.write_notes(new)
     return g.final
 
@@ -103,7 +106,7 @@ def main(argv: list[str] | None = None) -> None:
     cfg = resolve(a.vault_root, a.reports_rel, tuple(a.folders), tuple(a.protected), a.cache_dir, a.db_path, a.a_veto_cos)
     key = os.environ.get("OPENAI_API_KEY")
     provider = embeddings.http_provider(a.embed_url, a.embed_model, key) if key else None
-    run(SparkSession.builder.appName("kindred").getOrCreate(), cfg, provider, a.apply, a.limit_embed, a.seed)
+    run(SparkSession.builder.appName("kindred").getOrCreate(), cfg, provider, a.apply, a.limit_embed, a.seed, requesters=a.requesters)
 
 
 if __name__ == "__main__":

@@ -12,20 +12,22 @@ from kindred.operators.vectors import with_cosine
 
 
 def merge_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(i, j, a_cos, is_a, is_b) of pairs that either kind of directed edges has."""
+    """(i, j, a_cos, b_cos, is_a, is_b) of pairs that either kind of directed edges has."""
     x = undirected(a).select("i", "j", F.col("cos").alias("a_cos"), F.lit(True).alias("is_a"))
-    y = undirected(b).select("i", "j", F.lit(True).alias("is_b"))
+    y = undirected(b).select("i", "j", F.col("cos").cast("float").alias("b_cos"), F.lit(True).alias("is_b"))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
-    return x.join(y, ["i", "j"], "full").select("i", "j", "a_cos", flag("is_a"), flag("is_b"))
+    return x.join(y, ["i", "j"], "full").select("i", "j", "a_cos", "b_cos", flag("is_a"), flag("is_b"))
 
 
 def decide(pairs: DataFrame, vectors: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
-    """pairs with emb_cos, decision and src (null unless kept)."""
+    """pairs with emb_cos, decision and src (null unless kept). Only pairs without a b_cos meet their vectors again."""
     c, is_a = F.col("emb_cos"), F.col("is_a")
     b, a = at_least(c, limits.b_min), at_least(c.cast("double"), limits.a_veto, "double")
     decision = F.when(c.isNull(), "drop-no-vec").when(b | (is_a & a), "keep").when(is_a, "veto-A").otherwise("below-B")
     src = F.when(c.isNull(), None).when(b, F.when(is_a, "AB").otherwise("B")).when(is_a & a, "A")
-    return with_cosine(pairs, vectors).select("i", "j", "a_cos", "emb_cos", "is_a", "is_b", decision.alias("decision"), src.alias("src"))
+    known = pairs.where("b_cos is not null").withColumn("emb_cos", F.col("b_cos"))
+    scored = known.unionByName(with_cosine(pairs.where("b_cos is null"), vectors))
+    return scored.select("i", "j", "a_cos", "emb_cos", "is_a", "is_b", decision.alias("decision"), src.alias("src"))
 
 
 def kept_edges(decisions: DataFrame) -> DataFrame:

@@ -28,10 +28,10 @@ def phase_a_stats(terms: DataFrame, weights: DataFrame, edges: DataFrame) -> Dat
     return _row(t, w, e)
 
 
-def phase_b_stats(found: DataFrame, edges: DataFrame, tokens: int = 0) -> DataFrame:
-    """`found` is a cache lookup (hash, vec)."""
+def phase_b_stats(found: DataFrame, edges: DataFrame, tokens: int = 0, calls: int | None = None) -> DataFrame:
+    """`found` is a cache lookup (hash, vec); without `calls` made, those that the misses need."""
     miss = F.count_distinct(F.when(F.col("vec").isNull(), F.col("hash")))
-    c = found.agg(F.count("vec").alias("cache_hits"), F.ceil(miss / BATCH).cast("long").alias("batches"), F.lit(tokens).cast("long").alias("tokens"))
+    c = found.agg(F.count("vec").alias("cache_hits"), (F.ceil(miss / BATCH) if calls is None else F.lit(calls)).cast("long").alias("batches"), F.lit(tokens).cast("long").alias("tokens"))
     e = edges.agg(F.count_distinct("src").alias("papers_with_edge"), F.count_distinct(F.least("src", "dst"), F.greatest("src", "dst")).alias("total_edges"))
     return _row(c, e)
 

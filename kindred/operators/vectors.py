@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.config import Thresholds
 from kindred.functions.scalars import dot
-from kindred.operators.terms import best, directed
+from kindred.operators.terms import best
 
-BLOCK = 2000
+#: Vectors in a block, and rows multiplied at once.
+BLOCK, ROWS = 8000, 1024
+_NONE = pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "cos": pa.array([], pa.float32())})
 
 
-def pair_cosines(vectors: DataFrame, floor: float | None = None, block: int = BLOCK) -> DataFrame:
-    """(i, j, cos float) of all pairs of (idx, vec), or of those at `floor` or above.
+def _matrix(vec: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows; shorter ones end in zeros."""
+    v = vec.combine_chunks()
+    n = pc.list_value_length(v).to_numpy()
+    flat = v.flatten().to_numpy().astype(np.float64)
+    m = np.zeros((len(n), int(n.max())))
+    m[np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
+    return m
+
+
+def _met(vectors: DataFrame, block: int, product: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple]]) -> DataFrame:
+    """(i, j, cos) of what `product(rows' ids, rows, columns' ids, columns)` yields for each pair of blocks of vectors.
 
-    Vectors are dealt into blocks by hash, and each pair of blocks is one matrix product, so a task holds two
-    blocks whatever the corpus; nothing is broadcast. Pairs below the floor never leave the task.
+    Vectors are dealt into blocks by hash, and each pair of blocks is one task, so a task holds two blocks
+    whatever the corpus; nothing is broadcast. A block met with itself is given on both sides.
     """
     v = vectors.where("vec is not null").select(F.col("idx").cast("long").alias("idx"), F.col("vec").cast("array<float>").alias("vec"))
     n = max(1, -(-v.count() // block))
@@ -26,37 +41,64 @@ def pair_cosines(vectors: DataFrame, floor: float | None = None, block: int = BL
     to = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.least(k, own) * n + F.greatest(k, own))
     dealt = v.withColumn("own", own).withColumn("pair", F.explode(to))
 
-    def product(t: pa.Table) -> pa.Table:
-        idx, own = t["idx"].to_numpy(), t["own"].to_numpy()
-        rows = t["vec"].to_pylist()
-        width = max(map(len, rows))
-        m = np.zeros((len(rows), width))
-        for k, r in enumerate(rows):
-            m[k, : len(r)] = np.array(r, np.float32)
-        low = own == own.min()
-        a, b = np.flatnonzero(low), np.flatnonzero(low if low.all() else ~low)
-        c = (m[a] @ m[b].T).astype(np.float32)
-        keep = np.ones(c.shape, bool) if floor is None else c >= np.float32(floor)
-        if low.all():
-            keep = np.triu(keep, 1)
-        x, y = np.nonzero(keep)
-        i, j = idx[a[x]], idx[b[y]]
-        return pa.table({"i": np.minimum(i, j), "j": np.maximum(i, j), "cos": c[x, y]})
-
-    def met(t: pa.Table) -> pa.Table:
+    def run(t: pa.Table) -> pa.Table:
         pair = t["pair"][0].as_py()
         if pair // n != pair % n and len(t["own"].unique()) < 2:  # one of the blocks is empty
-            t = t.slice(0, 0)
-        return product(t) if t.num_rows else none
+            return _NONE
+        t = t.sort_by("idx")
+        idx, low, m = t["idx"].to_numpy(), t["own"].to_numpy() == pair // n, _matrix(t["vec"])
+        high = low if pair // n == pair % n else ~low
+        found = [pa.table(dict(zip("ij", x[:2])) | {"cos": x[2]}) for x in product(idx[low], m[low], idx[high], m[high])]
+        return pa.concat_tables([_NONE, *found])
+
+    return dealt.groupBy("pair").applyInArrow(run, "i long, j long, cos float")
+
+
+def pair_cosines(vectors: DataFrame, floor: float | None = None, block: int = BLOCK) -> DataFrame:
+    """(i, j, cos float) of all pairs of (idx, vec), or of those at `floor` or above; pairs below never leave a task."""
 
-    none = pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "cos": pa.array([], pa.float32())})
-    return dealt.groupBy("pair").applyInArrow(met, "i long, j long, cos float")
+    def product(i: np.ndarray, a: np.ndarray, j: np.ndarray, b: np.ndarray) -> Iterator[tuple]:
+        same = len(i) == len(j) and (i == j).all()
+        for at in range(0, len(i), ROWS):
+            c = (a[at : at + ROWS] @ b.T).astype(np.float32)
+            keep = np.ones(c.shape, bool) if floor is None else c >= np.float32(floor)
+            if same:
+                keep = np.triu(keep, at + 1)
+            x, y = np.nonzero(keep)
+            p, q = i[at + x], j[y]
+            yield np.minimum(p, q), np.maximum(p, q), c[x, y]
+
+    return _met(vectors, block, product)
+
+
+def _largest(c: np.ndarray, k: int, floor: float) -> np.ndarray:
+    """Which k entries of each row at `floor` or above are largest; of equal ones the first."""
+    keep = c >= np.float32(floor)
+    if c.shape[1] > k:
+        least = np.partition(c, -k, axis=1)[:, -k, None]
+        more, equal = c > least, c == least
+        keep &= more | equal & (np.cumsum(equal, axis=1) <= k - more.sum(axis=1, keepdims=True))
+    return keep
+
+
+def b_edges(vectors: DataFrame, limits: Thresholds = Thresholds(), limit: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(src, dst, cos float): each note's best neighbours at the threshold or above; `limit` takes the first positions only.
+
+    A pair of blocks sends out at most the best of each note in it.
+    """
 
+    def product(i: np.ndarray, a: np.ndarray, j: np.ndarray, b: np.ndarray) -> Iterator[tuple]:
+        same = len(i) == len(j) and (i == j).all()
+        for p, x, q, y in [(i, a, j, b)] if same else [(i, a, j, b), (j, b, i, a)]:
+            for at in range(0, len(p), ROWS):
+                c = (x[at : at + ROWS] @ y.T).astype(np.float32)
+                if same:
+                    c[np.arange(len(c)), at + np.arange(len(c))] = -np.inf
+                r, s = np.nonzero(_largest(c, limits.top_k, limits.b_min))
+                yield p[at + r], q[s], c[r, s]
 
-def b_edges(vectors: DataFrame, limits: Thresholds = Thresholds(), limit: int | None = None) -> DataFrame:
-    """(src, dst, cos float): each note's best neighbours at the threshold or above; `limit` takes the first positions only."""
     v = vectors if limit is None else vectors.where(F.col("idx") < limit)
-    return best(directed(pair_cosines(v, limits.b_min)), F.col("cos"), limits.top_k)
+    return best(_met(v, block, product).withColumnsRenamed({"i": "src", "j": "dst"}), F.col("cos"), limits.top_k)
 
 
 def with_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ class Fixture:
         name = F.concat(F.when(i % 11 == 0, "_").otherwise(""), F.lit("doc_"), (i % (self.n * 4 // 5 + 1)).cast("string"), F.lit(".md"))
         folder = F.element_at(F.array(*map(F.lit, ALL_FOLDERS)), (i % 4 + 1).cast("int"))
         path = F.concat(F.lit(f"/v/{REPORTS_REL}/"), folder, F.lit("/"), F.when(i % 13 == 0, "nested/").otherwise(""), name)
-        return self.table("documents").select(i.alias("id"), path.alias("file_path"), F.when(i % 23 != 0, F.substring("text", 1, 100)).alias("title"))
+        return self.table("documents").select(i.alias("id"), path.alias("file_path"), F.when(i % 23 != 0, F.substring_index("text", ".", 1)).alias("title"))
 
     @property
     def everything(self) -> DataFrame:
@@ -60,7 +60,7 @@ class Fixture:
         i = F.col("doc_id")
         folder = F.element_at(F.array(*map(F.lit, ALL_FOLDERS)), (i % 4 + 1).cast("int"))
         name = F.concat(F.lit("doc_"), (i % (self.n * 4 // 5 + 1)).cast("string"), F.lit(".md"))
-        return self.table("documents").select(i.alias("idx"), i.alias("id"), folder.alias("folder"), name.alias("basename"), F.concat_ws("/", folder, name).alias("relpath"), F.concat(F.lit("/n/"), i.cast("string")).alias("file_path"), F.substring("text", 1, 100).alias("title"))
+        return self.table("documents").select(i.alias("idx"), i.alias("id"), folder.alias("folder"), name.alias("basename"), F.concat_ws("/", folder, name).alias("relpath"), F.concat(F.lit("/n/"), i.cast("string")).alias("file_path"), F.substring_index("text", ".", 1).alias("title"))
 
     @property
     def listing(self) -> DataFrame:
@@ -70,8 +70,8 @@ class Fixture:
     def tags(self) -> DataFrame:
         d = self.table("documents")
         tag = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("tag")
-        words = F.explode(F.split(F.lower(F.substring("text", 1, 160)), r"[^\p{L}]+"))
-        concept = d.select("doc_id", words.alias("w")).where(F.char_length("w") >= 8).select("doc_id", tag("Concept/", F.col("w")))
+        words = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
+        concept = d.select("doc_id", words.alias("w")).where(F.char_length("w") >= 12).select("doc_id", tag("Concept/", F.col("w")))
         topic = self.table("embeddings").where(F.col("vec_id") < self.n).select(F.col("vec_id").alias("doc_id"), tag("Method/topic_", F.col("label").cast("string")))
         fixed = [d.select("doc_id", tag(*t)) for t in (("Venue/", F.col("source")), ("FoS/Primary/", F.col("lang")), ("Lang/", F.col("lang")), ("Year/2024",), ("学術論文",))]
         out = concept.union(topic)
@@ -81,7 +81,7 @@ class Fixture:
 
     @property
     def authors(self) -> DataFrame:
-        e = self.table("events").where("event_type = 'purchase' and event_id % 3 = 0")
+        e = self.table("events").where("event_type = 'purchase'")
         return e.select((F.col("event_id") % self.n).alias("paper_id"), F.concat(F.lit(" user_"), F.col("user_id").cast("string"), F.lit("　")).alias("name"))
 
     @property

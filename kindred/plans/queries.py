@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from kindred.operators import merge, report, terms, vectors
 from kindred.plans.fixtures import ALL_FOLDERS, PROFILE, PROTECTED_IDS, Fixture
 from kindred.plans.graph import Graph
 from kindred.sources import corpus, embeddings, sinks
+from kindred.sources.shared import numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -29,59 +31,59 @@ WITH size AS (SELECT max(doc_id) + 1 AS n, count(*) AS c, (max(doc_id) + 1) * 4
 papers AS (
   SELECT doc_id AS id, '/v/{REPORTS_REL}/' || {_LIST}[doc_id % 4 + 1] || '/' || CASE WHEN doc_id % 13 = 0 THEN 'nested/' ELSE '' END
          || CASE WHEN doc_id % 11 = 0 THEN '_' ELSE '' END || 'doc_' || (doc_id % names) || '.md' AS file_path,
-         CASE WHEN doc_id % 23 <> 0 THEN substring(text, 1, 100) END AS title
+         CASE WHEN doc_id % 23 <> 0 THEN split_part(text, '.', 1) END AS title
   FROM documents, size),
 parts AS (SELECT id, file_path, coalesce(title, '') AS title, string_split(substr(file_path, length('/v/{REPORTS_REL}/') + 1), '/') AS p FROM papers),
 corpus AS (
   SELECT row_number() OVER (ORDER BY id) - 1 AS idx, id, file_path, p[1] || '/' || p[2] AS relpath, p[1] AS folder, p[2] AS basename, title
   FROM parts WHERE len(p) = 2 AND p[1] IN ({_NAMES}) AND p[2] NOT LIKE '\\_%' ESCAPE '\\' AND p[2] LIKE '%.md'),
 everything AS (
-  SELECT doc_id AS idx, {_LIST}[doc_id % 4 + 1] AS folder, 'doc_' || (doc_id % names) AS stem, substring(text, 1, 100) AS title FROM documents, size),
+  SELECT doc_id AS idx, {_LIST}[doc_id % 4 + 1] AS folder, 'doc_' || (doc_id % names) AS stem, split_part(text, '.', 1) AS title FROM documents, size),
 listing AS (SELECT DISTINCT file_path AS path FROM papers WHERE id % 17 <> 0),
 tags AS (
   SELECT doc_id AS paper_id, 'Venue/' || source AS tag FROM documents
   UNION ALL SELECT doc_id, 'FoS/Primary/' || lang FROM documents UNION ALL SELECT doc_id, 'Lang/' || lang FROM documents
   UNION ALL SELECT doc_id, 'Year/2024' FROM documents UNION ALL SELECT doc_id, '学術論文' FROM documents
   UNION ALL SELECT vec_id, 'Method/topic_' || label FROM embeddings, size WHERE vec_id < n
-  UNION ALL SELECT doc_id, 'Concept/' || w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(substring(text, 1, 160)), '[^\\p{{L}}]+')) AS w FROM documents) WHERE length(w) >= 8),
-authors AS (SELECT event_id % n AS paper_id, 'user_' || user_id AS name FROM events, size WHERE event_type = 'purchase' AND event_id % 3 = 0),
-terms AS (
+  UNION ALL SELECT doc_id, 'Concept/' || w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS w FROM documents) WHERE length(w) >= 12),
+authors AS (SELECT event_id % n AS paper_id, 'user_' || user_id AS name FROM events, size WHERE event_type = 'purchase'),
+terms AS MATERIALIZED (
   SELECT DISTINCT * FROM (
     SELECT paper_id AS idx, tag AS term FROM tags WHERE regexp_matches(tag, '^(Survey|Method|Concept|Dataset|FoS/Primary|FoS/Second|FoS/Secondary|Venue)/') AND paper_id IN (SELECT doc_id FROM documents)
     UNION ALL SELECT paper_id, 'author::' || name FROM authors WHERE paper_id IN (SELECT doc_id FROM documents))),
 dfs AS (SELECT term, count(*) AS df FROM terms GROUP BY term),
-w AS (SELECT idx, term, df, ln(c::DOUBLE / df) AS w FROM terms JOIN dfs USING (term), size WHERE ln(c::DOUBLE / df) > 0),
-norms AS (SELECT idx, sqrt(sum(w * w)) AS norm FROM w GROUP BY idx),
-met AS (SELECT DISTINCT a.idx AS i, b.idx AS j FROM w a JOIN w b ON a.term = b.term AND a.idx < b.idx WHERE a.df <= {_DF}),
-dots AS (SELECT i, j, sum(a.w * b.w) AS dot FROM met JOIN w a ON a.idx = i JOIN w b ON b.idx = j AND a.term = b.term GROUP BY i, j),
-cand AS (SELECT i, j, dot / (x.norm * y.norm) AS cos FROM dots JOIN norms x ON x.idx = i JOIN norms y ON y.idx = j WHERE dot / (x.norm * y.norm) >= {_A}),
-adir AS (
+w AS MATERIALIZED (SELECT idx, term, df, ln(c::DOUBLE / df) AS w FROM terms JOIN dfs USING (term), size WHERE ln(c::DOUBLE / df) > 0),
+norms AS MATERIALIZED (SELECT idx, sqrt(sum(w * w)) AS norm FROM w GROUP BY idx),
+met AS MATERIALIZED (SELECT DISTINCT a.idx AS i, b.idx AS j FROM w a JOIN w b ON a.term = b.term AND a.idx < b.idx WHERE a.df <= {_DF}),
+dots AS MATERIALIZED (SELECT i, j, sum(a.w * b.w) AS dot FROM met JOIN w a ON a.idx = i JOIN w b ON b.idx = j AND a.term = b.term GROUP BY i, j),
+cand AS MATERIALIZED (SELECT i, j, dot / (x.norm * y.norm) AS cos FROM dots JOIN norms x ON x.idx = i JOIN norms y ON y.idx = j WHERE dot / (x.norm * y.norm) >= {_A}),
+adir AS MATERIALIZED (
   SELECT src, dst, cos FROM (
     SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(cos, 9) DESC, dst) AS r
     FROM (SELECT i AS src, j AS dst, cos FROM cand UNION ALL SELECT j, i, cos FROM cand)) WHERE r <= {_K}),
-apairs AS (SELECT least(src, dst) AS i, greatest(src, dst) AS j, max(cos) AS cos FROM adir GROUP BY 1, 2),
+apairs AS MATERIALIZED (SELECT least(src, dst) AS i, greatest(src, dst) AS j, max(cos) AS cos FROM adir GROUP BY 1, 2),
 raw AS (SELECT vec_id AS idx, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
-vecs AS (SELECT idx, list_transform(e, lambda x: (x::DOUBLE / norm)::FLOAT::DOUBLE) AS v FROM raw),
-cosines AS (SELECT a.idx AS i, b.idx AS j, list_dot_product(a.v, b.v)::FLOAT AS cos FROM vecs a JOIN vecs b ON a.idx < b.idx),
-bcand AS (SELECT * FROM cosines WHERE cos >= {_B}::FLOAT),
-bdir AS (
+vecs AS MATERIALIZED (SELECT idx, list_transform(e, lambda x: (x::DOUBLE / norm)::FLOAT::DOUBLE) AS v FROM raw),
+cosines AS MATERIALIZED (SELECT a.idx AS i, b.idx AS j, list_dot_product(a.v, b.v)::FLOAT AS cos FROM vecs a JOIN vecs b ON a.idx < b.idx),
+bcand AS MATERIALIZED (SELECT * FROM cosines WHERE cos >= {_B}::FLOAT),
+bdir AS MATERIALIZED (
   SELECT src, dst, cos FROM (
     SELECT *, row_number() OVER (PARTITION BY src ORDER BY cos DESC, dst) AS r
     FROM (SELECT i AS src, j AS dst, cos FROM bcand UNION ALL SELECT j, i, cos FROM bcand)) WHERE r <= {_K}),
-bpairs AS (SELECT least(src, dst) AS i, greatest(src, dst) AS j, max(cos) AS cos FROM bdir GROUP BY 1, 2),
-pairs AS (
+bpairs AS MATERIALIZED (SELECT least(src, dst) AS i, greatest(src, dst) AS j, max(cos) AS cos FROM bdir GROUP BY 1, 2),
+pairs AS MATERIALIZED (
   SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, a.cos AS a_cos, a.i IS NOT NULL AS is_a, b.i IS NOT NULL AS is_b
   FROM apairs a FULL JOIN bpairs b ON a.i = b.i AND a.j = b.j),
-decisions AS (
+decisions AS MATERIALIZED (
   SELECT *, CASE WHEN emb_cos IS NULL THEN 'drop-no-vec' WHEN emb_cos >= {_B}::FLOAT OR is_a AND emb_cos::DOUBLE >= {_V} THEN 'keep' WHEN is_a THEN 'veto-A' ELSE 'below-B' END AS decision,
          CASE WHEN emb_cos IS NULL THEN NULL WHEN emb_cos >= {_B}::FLOAT THEN CASE WHEN is_a THEN 'AB' ELSE 'B' END WHEN is_a AND emb_cos::DOUBLE >= {_V} THEN 'A' END AS src
   FROM (SELECT pairs.*, cosines.cos AS emb_cos FROM pairs LEFT JOIN cosines ON pairs.i = cosines.i AND pairs.j = cosines.j)),
-kept AS (SELECT i, j, emb_cos AS w, src FROM decisions WHERE src IS NOT NULL),
+kept AS MATERIALIZED (SELECT i, j, emb_cos AS w, src FROM decisions WHERE src IS NOT NULL),
 ranked1 AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, i, j) AS r FROM (SELECT i AS node, * FROM kept UNION ALL SELECT j, * FROM kept)),
-top AS (SELECT DISTINCT i, j, w, src FROM ranked1 WHERE r <= {_K}),
+top AS MATERIALIZED (SELECT DISTINCT i, j, w, src FROM ranked1 WHERE r <= {_K}),
 ranked2 AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, i, j) AS r FROM (SELECT i AS node, * FROM top UNION ALL SELECT j, * FROM top)),
-capped AS (SELECT i, j, w, src FROM ranked2 WHERE r <= {_CAP} GROUP BY ALL HAVING count(*) = 2),
-final AS (
+capped AS MATERIALIZED (SELECT i, j, w, src FROM ranked2 WHERE r <= {_CAP} GROUP BY ALL HAVING count(*) = 2),
+final AS MATERIALIZED (
   SELECT idx, row_number() OVER (PARTITION BY idx ORDER BY w DESC, nbr) AS rank, nbr, w, src
   FROM (SELECT i AS idx, j AS nbr, w, src FROM capped UNION ALL SELECT j, i, w, src FROM capped)),
 protected AS (SELECT doc_id AS idx FROM documents WHERE doc_id % 19 = 0),
@@ -96,7 +98,7 @@ pick AS (
   SELECT idx, 'any' FROM (SELECT idx, row_number() OVER (ORDER BY k) AS r FROM strata WHERE idx NOT IN (SELECT idx FROM pick_a UNION ALL SELECT idx FROM pick_b))
   WHERE r <= 20 - (SELECT count(*) FROM pick_a) - (SELECT count(*) FROM pick_b)),
 notes AS (
-  SELECT doc_id AS idx, substring(text, 1, 100) AS title,
+  SELECT doc_id AS idx, split_part(text, '.', 1) AS title,
     CASE doc_id % 6 WHEN 0 THEN '' WHEN 5 THEN E'---\\ntitle: open\\n' ELSE
       fence || E'title: t\\n' || CASE doc_id % 6 WHEN 1 THEN E'related-documents: []\\n' WHEN 2 THEN E'related-documents:\\n  - "[[Old one]]"\\n  - "[[Old two]]"\\n' ELSE '' END || E'tags:\\n  - a\\n' || fence END
     || CASE WHEN doc_id % 2 = 0 THEN E'# Title\\n\\n## 2. 要約\\n> [!note] head\\n> ' || text || E'　with [[a link|x]] and ![[image]]\\n<!-- two\\nlines --> tail\\n### more\\nend\\n## 3. Next\\nnot this' ELSE text END AS text
@@ -130,6 +132,17 @@ rewritten AS (
 """
 
 
+def _again(*steps: str) -> str:
+    """The named relations of PRELUDE once more, over what the last of them gave."""
+    parts = re.split(r"^(\w+) AS (?:MATERIALIZED )?\(", PRELUDE.strip().removesuffix(")"), flags=re.M)
+    body = dict(zip(parts[1::2], parts[2::2]))
+    out = []
+    for name in steps:
+        sql = re.sub(rf"\b({'|'.join(steps)})\b", r"\1_2", body[name].rstrip().rstrip(",").removesuffix(")"))
+        out.append(f"{name}_2 AS ({sql.replace('FROM notes', f'FROM (SELECT idx, new_text AS text FROM {steps[-1]})')})")
+    return "WITH " + ", ".join(out)
+
+
 def query(sql: str | None):
     def add(f: Callable[[Fixture], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Fixture(spark, sf_dir))
@@ -284,7 +297,7 @@ def limit_embed(x):
 
 @query("SELECT i, j, round(a_cos * 10000) / 10000 AS a_cos, is_a, is_b FROM pairs")
 def merge_candidates(x):
-    return graph(x).pairs.withColumn("a_cos", round4(F.col("a_cos")))
+    return graph(x).pairs.drop("b_cos").withColumn("a_cos", round4(F.col("a_cos")))
 
 
 _DECISION = "i, j, round(a_cos * 10000) / 10000 AS a_cos, round(emb_cos::DOUBLE * 10000) / 10000 AS emb_cos, is_a, is_b, decision, src"
@@ -300,7 +313,15 @@ def edge_dump(x):
     return graph(x).decisions.select("i", "j", F.to_json(F.struct("i", "j", "is_a", "is_b", "decision", "src"), {"ignoreNullFields": "false"}).alias("json"))
 
 
-@query(None)
+def _json_number(x: str) -> str:
+    """A double of four places as JSON: Java spells those below 0.001 with an exponent."""
+    return f"CASE WHEN {x} IS NULL THEN 'null' WHEN abs({x}) BETWEEN 0.00005 AND 0.00095 THEN (round({x} * 10000)::INT)::VARCHAR || '.0E-4' ELSE {x}::VARCHAR END"
+
+
+@query(
+    f"""SELECT i, j, '{{"i":' || i || ',"j":' || j || ',"a_cos":' || {_json_number("a_cos")} || ',"emb_cos":' || {_json_number("emb_cos")} || ',"is_a":' || is_a || ',"is_b":' || is_b
+    || ',"decision":"' || decision || '","src":' || coalesce('"' || src || '"', 'null') || '}}' AS json FROM (SELECT {_DECISION} FROM decisions)"""
+)
 def edge_dump_lines(x):
     return sinks.edge_json(merge_decisions(x))
 
@@ -362,7 +383,8 @@ def check_dead_targets(x):
     return report.dead_targets(writers(x), targets(x).where("idx % 5 <> 0"))
 
 
-@query("SELECT 0::BIGINT AS asymmetric, 0::BIGINT AS dead, count_if(idx = nbr)::BIGINT AS self_links FROM writers")
+@query("""SELECT (SELECT count(*) FROM final a WHERE NOT EXISTS (SELECT 1 FROM final b WHERE b.idx = a.nbr AND b.nbr = a.idx)) AS asymmetric,
+    (SELECT count(*) FROM writers w WHERE NOT EXISTS (SELECT 1 FROM targets t WHERE t.idx = w.nbr)) AS dead, (SELECT count_if(idx = nbr)::BIGINT FROM writers) AS self_links""")
 def integrity_checks(x):
     return report.integrity(graph(x).final, writers(x), targets(x))
 
@@ -400,10 +422,8 @@ def embed_cache_misses(x):
 
 @query("SELECT (row_number() OVER (ORDER BY hash) - 1) // 96 AS batch, hash FROM (SELECT DISTINCT hash FROM hashed WHERE hash NOT IN (SELECT hash FROM cached))")
 def embed_batches(x):
-    from pyspark.sql import Window
-
-    m = embeddings.misses(inputs(x), cache(x))
-    return m.select(F.floor((F.row_number().over(Window.orderBy("hash")) - 1) / embeddings.BATCH).alias("batch"), "hash")
+    m = numbered(embeddings.misses(inputs(x), cache(x)).select("hash"), "hash", "n")
+    return m.select(F.floor(F.col("n") / embeddings.BATCH).alias("batch"), "hash")
 
 
 @query("SELECT count_if(hit) AS cache_hits, ceil(count(DISTINCT CASE WHEN NOT hit THEN hash END) / 96)::BIGINT AS batches, 0::BIGINT AS tokens, (SELECT count(DISTINCT src) FROM bdir) AS papers_with_edge, (SELECT count(*) FROM bpairs) AS total_edges FROM (SELECT hash, hash IN (SELECT hash FROM cached) AS hit FROM hashed)")
@@ -429,7 +449,7 @@ def frontmatter_rewrite(x):
     return rewritten(x).select("idx", "new_text", "changed")
 
 
-@query("SELECT idx, false AS changed FROM rewritten")
+@query(f"SELECT idx, new_text <> text AS changed FROM ({_again('lined', 'fronted', 'blocks', 'marked', 'spelt', 'rewritten')} SELECT * FROM rewritten_2)")
 def frontmatter_idempotent(x):
     once = rewritten(x).select("idx", F.col("new_text").alias("text"), "targets")
     return frontmatter.rewrite(once, "text", "targets").select("idx", "changed")

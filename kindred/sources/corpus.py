@@ -5,12 +5,14 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.config import Settings
 from kindred.functions.text import stem, trimmed
+from kindred.sources.shared import numbered
 
 PAPERS = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("file_path", T.StringType(), False), T.StructField("title", T.StringType())])
 TAGS = T.StructType([T.StructField("paper_id", T.LongType(), False), T.StructField("tag", T.StringType(), False)])
@@ -33,7 +35,7 @@ def scan(papers: DataFrame, cfg: Settings) -> DataFrame:
     """Reports of the configured folders: (idx, id, file_path, relpath, folder, basename, title), idx by id.
 
     A report lies directly in its folder, ends in .md and doesn't start with an underscore. A null title is "".
-    Positions need one global order, so the numbering is a sort of the corpus' ids.
+    Positions follow the order of ids, which differ.
     """
     lead = cfg.reports_dir + "/"
     like = [F.col("file_path").ilike(f"%{cfg.reports_rel}/{f}/%".replace("\\", "\\\\")) for f in cfg.folders]
@@ -41,17 +43,13 @@ def scan(papers: DataFrame, cfg: Settings) -> DataFrame:
     p = p.withColumn("relpath", F.substring("file_path", len(lead) + 1, 1 << 20)).withColumn("_p", F.split("relpath", "/"))
     p = p.where(F.size("_p") == 2).withColumn("folder", F.col("_p")[0]).withColumn("basename", F.col("_p")[1])
     p = p.where(F.col("folder").isin(*cfg.folders) & ~F.col("basename").startswith("_") & F.col("basename").endswith(".md"))
-    return numbered(p.withColumn("title", F.coalesce("title", F.lit("")))).select("idx", "id", "file_path", "relpath", "folder", "basename", "title")
-
-
-def numbered(papers: DataFrame) -> DataFrame:
-    return papers.withColumn("idx", F.row_number().over(Window.orderBy("id")).cast("long") - 1)
+    return numbered(p.withColumn("title", F.coalesce("title", F.lit(""))), "id", "idx").select("idx", "id", "file_path", "relpath", "folder", "basename", "title")
 
 
 def live(corpus: DataFrame, listing: DataFrame) -> DataFrame:
     """Reports whose file exists, numbered anew; `listing` has a column path."""
     kept = corpus.join(listing.select(F.col("path").alias("file_path")), "file_path", "left_semi")
-    return numbered(kept).select(*corpus.columns)
+    return numbered(kept.drop("idx"), "id", "idx").select(*corpus.columns)
 
 
 def corpus_tags(corpus: DataFrame, tags: DataFrame) -> DataFrame:
@@ -73,6 +71,8 @@ def link_targets(corpus: DataFrame, reports_rel: str) -> DataFrame:
 
 def notes(spark: SparkSession, paths: str | list[str], strict: bool = False) -> DataFrame:
     """(path, text) of note files. Bytes that aren't UTF-8 are replaced, or raise if `strict`."""
+    if listing(spark, paths).isEmpty():
+        return spark.createDataFrame([], "path string, text string")
     raw = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
     if strict:
         return raw.select("path", F.decode("content", "utf-8").alias("text"))
@@ -80,5 +80,11 @@ def notes(spark: SparkSession, paths: str | list[str], strict: bool = False) ->
 
 
 def listing(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path) of existing files; contents aren't read."""
-    return spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/*", "/").alias("path"))
+    """(path) of existing files; contents aren't read. No file at all gives no rows."""
+    try:
+        found = spark.read.format("binaryFile").load(paths)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string")
+    return found.select(F.regexp_replace("path", "^file:/*", "/").alias("path"))

@@ -52,27 +52,34 @@ def hashed_inputs(inputs: DataFrame) -> DataFrame:
 
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache; missing or unreadable: an empty one."""
-    try:
-        got = spark.read.parquet(path).select("hash", F.col("vec").cast("array<float>").alias("vec"))
-        got.limit(1).collect()
-        return got
-    except Exception as e:  # noqa: BLE001
-        if isinstance(e, AnalysisException) or "parquet" in str(e).lower() or "CANNOT_READ" in str(e):
-            return spark.createDataFrame([], CACHE)
-        raise
+    """The cache; missing or unreadable: an empty one. Where a save broke off between its renames, the former cache."""
+    for at in (path, path + ".old"):
+        try:
+            got = spark.read.parquet(at).select("hash", F.col("vec").cast("array<float>").alias("vec"))
+            got.limit(1).collect()
+            return got
+        except Exception as e:  # noqa: BLE001
+            if not (isinstance(e, AnalysisException) or "parquet" in str(e).lower() or "CANNOT_READ" in str(e)):
+                raise
+    return spark.createDataFrame([], CACHE)
 
 
 def save_cache(cache: DataFrame, path: str) -> bool:
-    """Replace the cache by way of a new folder; an empty one isn't written."""
+    """Replace the cache by renames: the former one is deleted last, once the new one is in place. An empty one isn't written."""
     if cache.isEmpty():
         return False
     spark = cache.sparkSession
     p = spark._jvm.org.apache.hadoop.fs.Path
     fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
     cache.write.mode("overwrite").parquet(path + ".new")  # read before the old one goes
-    fs.delete(p(path), True)
-    return fs.rename(p(path + ".new"), p(path))
+    if fs.exists(p(path)):
+        fs.delete(p(path + ".old"), True)
+        if not fs.rename(p(path), p(path + ".old")):
+            return False
+    done = fs.rename(p(path + ".new"), p(path))
+    if done:
+        fs.delete(p(path + ".old"), True)
+    return done
 
 
 def lookup(inputs: DataFrame, cache: DataFrame) -> DataFrame:
@@ -86,14 +93,26 @@ def misses(inputs: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def embed(texts: DataFrame, provider: Provider, batch: int = BATCH) -> DataFrame:
-    """(hash, vec, tokens): vectors of unit length; texts that the provider leaves out have none. Tokens stand with a batch's first row."""
+    """(hash, vec, tokens, calls): vectors of unit length; texts that the provider leaves out have none.
+
+    Tokens and the call stand with a batch's first row. Each partition of `texts` is a requester of its own and fills its batches.
+    """
+
+    def call(rows: list[tuple[str, str]]) -> pa.RecordBatch:
+        vecs, tokens = provider([t for _, t in rows])
+        first = [1] + [0] * (len(rows) - 1)
+        cols = [pa.array([h for h, _ in rows]), pa.array(vecs, pa.list_(pa.float32())), pa.array([tokens * k for k in first], pa.int64()), pa.array(first, pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=["hash", "vec", "tokens", "calls"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, str]] = []
         for b in batches:
-            for at in range(0, b.num_rows, batch):
-                part = b.slice(at, batch)
-                vecs, tokens = provider(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vecs, pa.list_(pa.float32())), pa.array([tokens] + [0] * (part.num_rows - 1), pa.int64())], names=["hash", "vec", "tokens"])
-
-    got = texts.select("hash", "input").mapInArrow(run, "hash string, vec array<float>, tokens long")
-    return got.select("hash", normalised(F.col("vec")).alias("vec"), "tokens")
+            held += zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+            while len(held) >= batch:
+                yield call(held[:batch])
+                held = held[batch:]
+        if held:
+            yield call(held)
+
+    got = texts.select("hash", "input").mapInArrow(run, "hash string, vec array<float>, tokens long, calls long")
+    return got.select("hash", normalised(F.col("vec")).alias("vec"), "tokens", "calls")

@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import numpy as np
+
 from kindred.config import REPORTS_REL, Settings, Thresholds, resolve
 from kindred.functions import scalars
 from kindred.operators import merge, report, terms, vectors
@@ -160,3 +162,29 @@ def test_reports(spark):
     assert len(s) == len(set(x for x, _ in s)) == 20 and sorted(k for _, k in s) == ["A"] * 8 + ["B"] * 8 + ["any"] * 4
     assert set(s) == {tuple(r) for r in report.sample(w.repartition(5)).collect()}
     assert report.sample(w.limit(3)).count() == 3
+
+
+def test_best_edges_in_blocks_equal_all_pairs(spark):
+    """Blocks send out only the best of each note, with ties by the smaller target, as if all pairs were ranked."""
+    r = np.random.default_rng(4)
+    m = r.normal(size=(60, 8)).astype(np.float32)
+    m[20:35] = m[3]  # copies: more ties than places
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "idx long, vec array<float>")
+    for block in (7, 1000):
+        got = {(e.src, e.dst) for e in vectors.b_edges(v, Thresholds(b_min=0.3), block=block).collect()}
+        pairs = {(p.i, p.j): p.cos for p in vectors.pair_cosines(v, 0.3, block=block).collect()}
+        both = [(i, j, c) for (a, b), c in pairs.items() for i, j in ((a, b), (b, a))]
+        want = set()
+        for i in range(60):
+            want |= {(i, j) for _, j in sorted((-c, j) for k, j, c in both if k == i)[: Thresholds().top_k]}
+        assert got == want
+
+
+def test_numbered_by_ranges(spark):
+    from kindred.sources.shared import numbered
+
+    ids = [7 * i % 101 for i in range(101)]
+    got = numbered(spark.createDataFrame([(i, "x") for i in ids], "id long, idx string").repartition(5), "id", "pos").collect()
+    assert {(x["id"], x["pos"]) for x in got} == {(i, i) for i in range(101)}
+    assert numbered(spark.createDataFrame([], "id long"), "id", "pos").count() == 0

@@ -1,6 +1,7 @@
 """Note texts, front matter, caches and the command line's run."""
 
 import io
+import os
 import json
 import urllib.error
 
@@ -131,3 +132,47 @@ def test_run(spark, tmp_path):
     assert "[[n2]]" in (vault / "r" / "A" / "n0.md").read_text() and "related" not in (vault / "r" / "A" / "n5.md").read_text()
     cli.run(spark, cfg, None, apply=True, say=said.append)
     assert any("files changed: 0" in s for s in said)
+    assert any(s.startswith("files changed: ") and s.endswith("protected skipped: 1, missing skipped: 0") for s in said)
+    assert any("batches=1" in s and "tokens=6" in s for s in said) and any("batches=0" in s for s in said)  # the calls made
+
+
+def test_cache_survives_a_broken_save(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    cache = lambda *hs: spark.createDataFrame([(h, [1.0]) for h in hs], embeddings.CACHE)
+    assert embeddings.save_cache(cache("a"), path) and embeddings.save_cache(cache("a", "b"), path)
+    assert {r["hash"] for r in embeddings.load_cache(spark, path).collect()} == {"a", "b"}
+    os.rename(path, path + ".old")  # as if a save had stopped between its renames
+    assert {r["hash"] for r in embeddings.load_cache(spark, path).collect()} == {"a", "b"}
+    assert embeddings.save_cache(cache("c"), path) and {r["hash"] for r in embeddings.load_cache(spark, path).collect()} == {"c"}
+
+
+def test_calls_are_counted_as_made(spark):
+    texts = spark.createDataFrame([(f"h{i}", f"t{i}") for i in range(25)], "hash string, input string").repartition(1)
+    got = embeddings.embed(texts, lambda ts: ([[1.0, 0.0]] * len(ts), 3 * len(ts)), batch=10).collect()
+    assert sum(r["calls"] for r in got) == 3 and sum(r["tokens"] for r in got) == 75 and len(got) == 25
+
+
+def test_sqlite_source_and_empty_vault(spark, tmp_path):
+    import sqlite3
+
+    db = str(tmp_path / "c.db")
+    with sqlite3.connect(db) as c:
+        c.execute("CREATE TABLE papers (id INTEGER, file_path TEXT, title TEXT)")
+        c.executemany("INSERT INTO papers VALUES (?, ?, ?)", [(2, "/v/r/A/x.md", None), (1, "/v/r/A/y.md", "t")])
+    got = corpus.read_table(spark, db, "papers", corpus.PAPERS)
+    assert {tuple(r) for r in got.collect()} == {(2, "/v/r/A/x.md", None), (1, "/v/r/A/y.md", "t")} and got.schema == corpus.PAPERS
+    nothing = str(tmp_path / "vault" / "*" / "*.md")
+    assert corpus.listing(spark, nothing).count() == 0 == corpus.notes(spark, nothing).count()
+    papers = corpus.scan(got, Settings("/v", "r", ("A",)))
+    assert [(r["idx"], r["id"]) for r in papers.orderBy("idx").collect()] == [(0, 1), (1, 2)] and corpus.live(papers, corpus.listing(spark, nothing)).count() == 0
+
+
+def test_command_line(tmp_path, monkeypatch):
+    from kindred import cli
+
+    seen = []
+    monkeypatch.setattr(cli, "run", lambda spark, cfg, provider, *a, **k: seen.append((cfg, provider, a, k)))
+    monkeypatch.delenv("OPENAI_API_KEY", raising=False)
+    cli.main(["--vault-root", str(tmp_path), "--reports-rel", "r", "--folders", "A", "--folders", "B", "--protected", "A/p.md", "--apply", "--limit-embed", "3", "--seed", "7", "--requesters", "2"])
+    cfg, provider, a, k = seen[0]
+    assert cfg.folders == ("A", "B") and cfg.protected == ("A/p.md",) and provider is None and a == (True, 3, 7) and k == {"requesters": 2}
