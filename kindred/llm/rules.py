@@ -55,6 +55,10 @@ def log_binomial_cdf(n: Column, k: Column, p: float) -> Column:
     return F.when(k > 0, F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), start, step)["total"]).otherwise(first)
 
 
+#: Strata (a row of a name and a number each) up to which their levels are broadcast, so that rows needn't move to a few keys.
+STRATA = 100_000
+
+
 def certified(good: DataFrame, stratum: str = "stratum", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, level): the strictest certified level of each stratum, 0 for none, from good documents' statistics."""
     counts = good.groupBy(stratum).agg(F.count("*").alias("n"), F.array(*(F.sum(rejected(i).cast("long")) for i in range(1, LEVELS + 1))).alias("ks"))
@@ -76,6 +80,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     s = written(stats.select("id", "stratum", *BASE, "n_lines", base_failed().alias("base_failed")), "rule-stats")
     good = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("q")).where("q = 1")
     levels = certified(s.where("not base_failed").join(good, "id", "left_semi"), alpha=alpha, delta=delta)
+    levels = written(levels, "rule-levels")
+    levels = F.broadcast(levels) if levels.count() <= STRATA else levels
     at = F.coalesce(F.col("level"), F.lit(0))
     bad = F.lit(False)
     for i in range(1, LEVELS + 1):

@@ -23,7 +23,8 @@ from kindred.llm.tokens import vocabulary
 MARK = "▁"
 #: Log probability below the rarest piece's that a character without a piece costs.
 UNKNOWN = 10.0
-MEMO = 400_000
+#: Entries of one generation of the memo, two are kept; and bytes of a word above which it isn't remembered.
+MEMO, LONGEST = 400_000, 48
 
 
 class Unigram:
@@ -78,7 +79,10 @@ def _model(path: str) -> tuple[Unigram, list[dict[str, int]]]:
 
 
 def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens) of every whole text under the sentencepiece file `model`.
+    """(id, n_tokens) of every whole text under the pieces of the sentencepiece file `model`, taken as a unigram model.
+
+    Where the file has ranks and no probabilities, these follow from the ranks by a Zipf law, so counts are those of
+    that model and of no tokenizer in use.
 
     Null and blank texts have 0 tokens. Repeated rows and null ids stay; other columns are ignored; no rows move.
     """
@@ -101,6 +105,9 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             for word, n in unigram.counts(sorted(names)):
                 young[names[word]] = n
             n = np.fromiter((sum(map(young.__getitem__, w)) for w in words), np.int64, len(words))
+            for w in new:  # such as whole texts without blanks
+                if len(w) > LONGEST:
+                    del young[w]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], names=["id", "n_tokens"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {id_type(docs, id_col)}, n_tokens long")

@@ -258,15 +258,21 @@ def test_many_and_few_suffixes_agree():
     right = [0] + [suffixes.shared(a[0], b[0]) - 8 for a, b in zip(group, group[1:])]
     cover = lambda spans: {(u, s) for u, a, b in spans for s in range(a, b + 1)}
     many = cover(suffixes.repeats(group, right))
-    want = set()
-    for x in group:
-        for d in range(len(x[1]) + 1):
-            string = x[1][len(x[1]) - d :] + x[0][8 : 8 + 200 - d]
-            if len(string) == 200 and any(y is not x and d <= len(y[1]) and y[1][len(y[1]) - d :] + y[0][8 : 8 + 200 - d] == string for y in group):
-                want.add((x[3], 1000 - d))
-    assert many == want
-    small = group[:12]
-    assert cover(suffixes.repeats(small, right[:12])) <= want
+
+    def brute(group: list) -> set:
+        want = set()
+        for x in group:
+            for d in range(len(x[1]) + 1):
+                string = x[1][len(x[1]) - d :] + x[0][8 : 8 + 200 - d]
+                if len(string) == 200 and any(y is not x and d <= len(y[1]) and y[1][len(y[1]) - d :] + y[0][8 : 8 + 200 - d] == string for y in group):
+                    want.add((x[3], 1000 - d))
+        return want
+
+    assert many == brute(group)
+    for at in range(0, len(group), 12):  # sixteen and fewer go another way
+        few = group[at : at + 12]
+        shared = [0] + [suffixes.shared(a[0], b[0]) - 8 for a, b in zip(few, few[1:])]
+        assert cover(suffixes.repeats(few, shared)) == brute(few)
 
 
 def test_rule_ensemble():

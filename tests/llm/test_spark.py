@@ -226,7 +226,20 @@ def test_classifier(spark, docs, none):
     got = classifier.score(t, model).collect()
     assert len(got) == t.count() and all(0 <= r["score"] <= 1 for r in got)
     assert all((r["score"] >= 0.7) == (r["id"] >= 2000) for r in got if r["id"] and r["id"] >= 1000)
+    import pandas as pd
+
+    from kindred.llm.textstats import FEATURES, with_features
+
+    f = with_features(t, "text", ("doc_id",)).toPandas()
+    want = Counter((None if pd.isna(i) else int(i), round(float(p), 9)) for i, p in zip(f["doc_id"], model.predict(f[list(FEATURES)].to_numpy(float))))
+    assert model.rules and Counter((r["id"], round(r["score"], 9)) for r in got) == want  # the compiled column against plain numpy
+    plain = {r["doc_id"]: r for r in f.to_dict("records")}
+    for i in (51, 73, 74, 1000, 2000):
+        w = next(x for k, x, _ in texts() + junk if k == i).split()
+        assert plain[i]["n_words"] == len(w) and abs(plain[i]["word_len"] - sum(map(len, w)) / len(w)) < 1e-9
+        assert abs(plain[i]["distinct"] - len(set(w)) / len(w)) < 1e-9
     assert classifier.accepted(docs, model).columns == docs.columns
+    assert classifier.accepted(none, model).count() == 0
     assert classifier.score(none, model).count() == 0
     assert classifier.train(t, labels.limit(0)).rules == ()
 
@@ -244,8 +257,11 @@ def test_token_files(spark, docs, none):
 
 
 def test_token_counts(docs, none):
-    got = Counter((r["id"], r["n_tokens"] > 0) for r in tokencounts.count_tokens(docs, vocabulary("piece_bpe_32k.model")).collect())
-    assert got == Counter((i, bool((t or "").split())) for i, t, _ in texts())
+    path = vocabulary("piece_bpe_32k.model")
+    model, memo = tokencounts._model(path)
+    one = lambda w: dict(model.counts([tokencounts.MARK + w])).popitem()[1]  # noqa: E731  a word alone, nothing shared or remembered
+    got = Counter((r["id"], r["n_tokens"]) for r in tokencounts.count_tokens(docs, path).collect())
+    assert got == Counter((i, sum(map(one, (t or "").encode().decode().split()))) for i, t, _ in texts())
     assert tokencounts.count_tokens(none, vocabulary("piece_bpe_32k.model")).count() == 0
 
 
