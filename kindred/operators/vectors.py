@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kindred.config import Thresholds
 from kindred.functions.scalars import dot
 from kindred.operators.terms import best
+from kindred.sources.shared import importable
 
 #: Vectors in a block, and rows multiplied at once.
 BLOCK, ROWS = 8000, 1024
@@ -35,6 +36,7 @@ def _met(vectors: DataFrame, block: int, product: Callable[[np.ndarray, np.ndarr
     Vectors are dealt into blocks by hash, and each pair of blocks is one task, so a task holds two blocks
     whatever the corpus; nothing is broadcast. A block met with itself is given on both sides.
     """
+    importable(vectors.sparkSession)
     v = vectors.where("vec is not null").select(F.col("idx").cast("long").alias("idx"), F.col("vec").cast("array<float>").alias("vec"))
     n = max(1, -(-v.count() // block))
     own = F.pmod(F.xxhash64("idx"), F.lit(n)).cast("int")
