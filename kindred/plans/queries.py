@@ -45,7 +45,7 @@ tags AS (
   UNION ALL SELECT doc_id, 'FoS/Primary/' || lang FROM documents UNION ALL SELECT doc_id, 'Lang/' || lang FROM documents
   UNION ALL SELECT doc_id, 'Year/2024' FROM documents UNION ALL SELECT doc_id, '学術論文' FROM documents
   UNION ALL SELECT vec_id, 'Method/topic_' || label FROM embeddings, size WHERE vec_id < n
-  UNION ALL SELECT doc_id, 'Concept/' || w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS w FROM documents) WHERE length(w) >= 12),
+  UNION ALL SELECT doc_id, 'Concept/' || w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS w FROM documents) WHERE length(w) >= 8),
 authors AS (SELECT event_id % n AS paper_id, 'user_' || user_id AS name FROM events, size WHERE event_type = 'purchase'),
 terms AS MATERIALIZED (
   SELECT DISTINCT * FROM (
