@@ -7,25 +7,27 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kindred.config import Thresholds
 from kindred.functions.scalars import dot
 from kindred.operators.terms import best
-from kindred.sources.shared import importable
+from kindred.sources.shared import importable, written
 
 #: Vectors in a block, and rows multiplied at once.
 BLOCK, ROWS = 8000, 1024
+#: Cells at most (larger ones are split into blocks), numbers in the sample that their centres come from, and steps to find them.
+CELLS, SAMPLE, STEPS = 1024, 1 << 24, 6
 _NONE = pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "cos": pa.array([], pa.float32())})
 
 
-def _matrix(vec: pa.ChunkedArray) -> np.ndarray:
+def _matrix(vec: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Vectors as rows; shorter ones end in zeros."""
-    v = vec.combine_chunks()
-    n = pc.list_value_length(v).to_numpy()
+    v = vec.combine_chunks() if isinstance(vec, pa.ChunkedArray) else vec
+    n = pc.list_value_length(v).to_numpy(zero_copy_only=False)
     flat = v.flatten().to_numpy().astype(np.float64)
-    m = np.zeros((len(n), int(n.max())))
+    m = np.zeros((len(n), max(1, int(n.max()))))
     m[np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
     return m
 
@@ -73,9 +75,10 @@ def pair_cosines(vectors: DataFrame, floor: float | None = None, block: int = BL
     return _met(vectors, block, product)
 
 
-def _largest(c: np.ndarray, k: int, floor: float) -> np.ndarray:
-    """Which k entries of each row at `floor` or above are largest; of equal ones the first."""
-    keep = c >= np.float32(floor)
+def _largest(c: np.ndarray, k: int, floor: float | np.ndarray) -> np.ndarray:
+    """Which k entries of each row at `floor` (one, or one a row) or above are largest; of equal ones the first. Not a number is none."""
+    c = np.where(np.isnan(c), np.float32(-np.inf), c)
+    keep = c >= np.asarray(floor, np.float32).reshape(-1, 1)
     if c.shape[1] > k:
         least = np.partition(c, -k, axis=1)[:, -k, None]
         more, equal = c > least, c == least
@@ -83,24 +86,156 @@ def _largest(c: np.ndarray, k: int, floor: float) -> np.ndarray:
     return keep
 
 
-def b_edges(vectors: DataFrame, limits: Thresholds = Thresholds(), limit: int | None = None, block: int = BLOCK) -> DataFrame:
+def _wide(m: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(m, ((0, 0), (0, max(0, width - m.shape[1]))))
+
+
+def _nearest(i: np.ndarray, a: np.ndarray, j: np.ndarray, b: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple]:
+    """(src, dst, cos): the best in b of each row of a, itself left out. `j` ascends."""
+    width = max(a.shape[1], b.shape[1])
+    a, b = _wide(a, width), _wide(b, width)
+    for at in range(0, len(i), ROWS):
+        c = (a[at : at + ROWS] @ b.T).astype(np.float32)
+        c[i[at : at + ROWS, None] == j[None]] = -np.inf
+        r, s = np.nonzero(_largest(c, k, floor[at : at + ROWS]))
+        yield i[at + r], j[s], c[r, s]
+
+
+class Cells:
+    """Centres of cells of vectors, and what is known of each cell: how far its vectors are from its centre, and how long."""
+
+    def __init__(self, sample: np.ndarray, n: int):
+        size = np.linalg.norm(sample, axis=1, keepdims=True)
+        unit = sample[(size > 0)[:, 0]] / size[size > 0][:, None]
+        self.centres = unit[:: max(1, len(unit) // n)][:n].copy() if len(unit) else np.zeros((1, sample.shape[1] or 1))
+        for _ in range(STEPS if len(unit) else 0):
+            near = np.argmax(unit @ self.centres.T, axis=1)
+            mean = np.zeros_like(self.centres)
+            np.add.at(mean, near, unit)
+            long = np.linalg.norm(mean, axis=1, keepdims=True)
+            self.centres = np.where(long > 0, mean / np.where(long > 0, long, 1), self.centres)
+
+    def place(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(angle to every centre, own cell, length) of rows; zero and broken ones have angle and length 0."""
+        width = max(m.shape[1], self.centres.shape[1])
+        m = _wide(m, width)
+        size = np.linalg.norm(m, axis=1)
+        size[~np.isfinite(size)] = 0
+        with np.errstate(all="ignore"):
+            angle = np.arccos(np.clip(m @ _wide(self.centres, width).T / size[:, None], -1, 1))
+        angle[size == 0] = 0
+        return angle, np.argmin(angle, axis=1), size
+
+    def know(self, rows: list, block: int) -> None:
+        """`rows` have (cell, vectors, least and greatest angle, greatest length)."""
+        n = len(self.centres)
+        count, self.low, self.high, self.long = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n)
+        for r in rows:
+            count[r[0]], self.low[r[0]], self.high[r[0]], self.long[r[0]] = r[1:]
+        self.blocks = -(-count // block)
+        self.first = np.cumsum(self.blocks) - self.blocks
+        self.floor = np.full(n, np.inf)
+
+    def reach(self, angle: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Above the cosine of each row with any vector of each cell: two vectors are no nearer than their angles to a centre differ."""
+        apart = np.maximum(np.maximum(angle - self.high, self.low - angle), 0)
+        return size[:, None] * self.long * np.maximum(np.cos(apart), 0) + 1e-5
+
+
+def b_edges(vectors: DataFrame, limits: Thresholds = Thresholds(), limit: int | None = None, block: int = BLOCK, watch: Observation | None = None) -> DataFrame:
     """(src, dst, cos float): each note's best neighbours at the threshold or above; `limit` takes the first positions only.
 
-    A pair of blocks sends out at most the best of each note in it.
+    Exact, without all pairs: vectors are dealt into cells around centres (found in a bounded sample), large cells
+    into blocks by hash. A block first meets itself, which gives each note a cosine that better neighbours must have. A vector
+    goes on to another block only if its angle to that cell's centre allows a cosine that it, or the block's
+    least demanding note, still asks for. Two blocks' vectors meet in one task, from which only each note's best leave.
+    `watch` observes `sent`, the copies made for other blocks, of `possible`.
     """
-
-    def product(i: np.ndarray, a: np.ndarray, j: np.ndarray, b: np.ndarray) -> Iterator[tuple]:
-        same = len(i) == len(j) and (i == j).all()
-        for p, x, q, y in [(i, a, j, b)] if same else [(i, a, j, b), (j, b, i, a)]:
-            for at in range(0, len(p), ROWS):
-                c = (x[at : at + ROWS] @ y.T).astype(np.float32)
-                if same:
-                    c[np.arange(len(c)), at + np.arange(len(c))] = -np.inf
-                r, s = np.nonzero(_largest(c, limits.top_k, limits.b_min))
-                yield p[at + r], q[s], c[r, s]
-
-    v = vectors if limit is None else vectors.where(F.col("idx") < limit)
-    return best(_met(v, block, product).withColumnsRenamed({"i": "src", "j": "dst"}), F.col("cos"), limits.top_k)
+    spark, k = importable(vectors.sparkSession), limits.top_k
+    v = vectors.where("vec is not null") if limit is None else vectors.where((F.col("idx") < limit) & F.col("vec").isNotNull())
+    about = Observation()
+    counts = F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("width")
+    v = written(v.select(F.col("idx").cast("long").alias("idx"), F.col("vec").cast("array<float>").alias("vec")).observe(about, *counts), "vectors")
+    n, width = about.get["n"], max(1, about.get["width"])
+    wanted = min(CELLS, -(-n // block))
+    cells = None
+    if wanted > 1:
+        take = min(32 * wanted, max(wanted, SAMPLE // width))
+        some = v.where(F.pmod(F.xxhash64("idx"), F.lit(1 << 20)) <= int(1.5 * (1 << 20) * take / n)).limit(take)
+        cells = Cells(_matrix(some.select("vec").toArrow()["vec"]) if not some.isEmpty() else np.zeros((0, width)), wanted)
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    angle, own, size = cells.place(_matrix(b.column(0)))
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(angle[np.arange(len(own)), own]), pa.array(size)], ["cell", "angle", "size"])
+
+        where = v.select("vec").mapInArrow(placed, "cell int, angle double, size double")
+        cells.know(where.groupBy("cell").agg(F.count("*"), F.min("angle"), F.max("angle"), F.max("size")).collect(), block)  # at most CELLS rows
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                own = cells.place(_matrix(b.column(1)))[1]
+                at = cells.first[own] + b.column(2).to_numpy() % cells.blocks[own]
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(own, pa.int32()), pa.array(at)], ["idx", "vec", "cell", "block"])
+
+    def alone(t: pa.Table) -> pa.Table:
+        """A block with itself: its vectors with what they have found and the cosine that they ask for from now on."""
+        t = t.sort_by("idx")
+        i, m = t["idx"].to_numpy(), _matrix(t["vec"])
+        found = [np.concatenate(x) for x in zip(*_nearest(i, m, i, m, k, np.full(len(i), limits.b_min)))]
+        at = np.searchsorted(i, found[0])
+        size = np.bincount(at, minlength=len(i))
+        worst = np.full(len(i), np.inf)
+        np.minimum.at(worst, at, found[2])
+        floor = np.where(size >= k, worst, limits.b_min)
+        ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in found[1:]]
+        return pa.table([t["idx"], t["vec"], t["cell"], t["block"], pa.array(floor), *lists], names=["idx", "vec", "cell", "block", "floor", "dst", "cos"])
+
+    one = v.select("idx", "vec", F.lit(0).alias("cell"), F.lit(0).cast("long").alias("block"))
+    hashed = v.select("idx", "vec", F.pmod(F.xxhash64("idx"), F.lit(1 << 30)).alias("h"))
+    placed_at = one if cells is None else hashed.mapInArrow(dealt, "idx long, vec array<float>, cell int, block long")
+    met = placed_at.groupBy("block").applyInArrow(alone, "idx long, vec array<float>, cell int, block long, floor double, dst array<long>, cos array<float>")
+    if cells is None:
+        met = met if watch is None else met.observe(watch, F.count_if(F.lit(False)).alias("sent"), F.count_if(F.lit(False)).alias("possible"))
+        return met.select(F.col("idx").alias("src"), F.explode(F.arrays_zip("dst", "cos")).alias("e")).select("src", "e.dst", "e.cos")
+    met = written(met, "blocks")
+    for cell, floor in met.groupBy("cell").agg(F.min("floor")).collect():  # at most CELLS rows
+        cells.floor[cell] = floor
+    total = int(cells.blocks.sum())
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector to the tasks of its block with every other block where it can matter."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            angle, _, size = cells.place(_matrix(b.column(1)))
+            own, floor = b.column(2).to_numpy(), b.column(3).to_numpy()
+            row, cell = np.nonzero(cells.reach(angle, size) >= np.minimum(floor[:, None], cells.floor))
+            parts = cells.blocks[cell]
+            row, other = np.repeat(row, parts), np.repeat(cells.first[cell] - (np.cumsum(parts) - parts), parts) + np.arange(parts.sum())
+            row, other = row[own[row] != other], other[own[row] != other]
+            pair = np.minimum(own[row], other) * total + np.maximum(own[row], other)
+            for at in range(0, len(row), ROWS):
+                some = pa.array(row[at : at + ROWS])
+                yield pa.RecordBatch.from_arrays([pa.array(pair[at : at + ROWS]), *(b.column(x).take(some) for x in range(4))], ["pair", "idx", "vec", "block", "floor"])
+
+    def together(t: pa.Table) -> pa.Table:
+        t = t.sort_by("idx")
+        i, m, floor, low = t["idx"].to_numpy(), _matrix(t["vec"]), t["floor"].to_numpy(), t["block"].to_numpy() == t["pair"][0].as_py() // total
+        found = []
+        for x, y in ((low, ~low), (~low, low)) if low.any() and not low.all() else ():
+            found += [pa.table(dict(zip(("src", "dst", "cos"), e))) for e in _nearest(i[x], m[x], i[y], m[y], k, floor[x])]
+        return pa.concat_tables([_NONE.rename_columns(["src", "dst", "cos"]), *found])
+
+    copies = met.select("idx", "vec", "block", "floor").mapInArrow(sent, "pair long, idx long, vec array<float>, block long, floor double")
+    if watch is not None:
+        copies = copies.observe(watch, F.count("*").alias("sent"), F.max(F.lit(n * (total - 1))).alias("possible"))
+    across = copies.groupBy("pair").applyInArrow(together, "src long, dst long, cos float")
+    inside = met.select(F.col("idx").alias("src"), F.explode(F.arrays_zip("dst", "cos")).alias("e")).select("src", "e.dst", "e.cos")
+    return best(inside.union(across), F.col("cos"), k)
 
 
 def with_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:

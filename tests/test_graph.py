@@ -188,3 +188,65 @@ def test_numbered_by_ranges(spark):
     got = numbered(spark.createDataFrame([(i, "x") for i in ids], "id long, idx string").repartition(5), "id", "pos").collect()
     assert {(x["id"], x["pos"]) for x in got} == {(i, i) for i in range(101)}
     assert numbered(spark.createDataFrame([], "id long"), "id", "pos").count() == 0
+
+
+def brute_edges(m, k, floor):
+    """Each row's k best by (cosine, smaller number), summed in double precision."""
+    c = (m.astype(np.float64) @ m.astype(np.float64).T).astype(np.float32)
+    out = set()
+    for i, row in enumerate(c):
+        found = sorted((-x, j) for j, x in enumerate(row.tolist()) if j != i and x >= np.float32(floor))  # never true of NaN
+        out |= {(i, j) for _, j in found[:k]}
+    return out
+
+
+def test_cells_prune_and_lose_nothing(spark):
+    """Tight clusters: most copies aren't sent. Zero, broken and repeated vectors are among them; spread ones prune little."""
+    from pyspark.sql import Observation
+
+    r = np.random.default_rng(7)
+    tight = np.repeat(r.normal(size=(12, 16)), 40, axis=0) + 0.15 * r.normal(size=(480, 16))
+    spread = r.normal(size=(200, 16))
+    for m, floor, least in ((tight, 0.5, 0.6), (spread, 0.3, 0.0), (np.concatenate([tight[:100], np.repeat(tight[:1], 90, axis=0)]), 0.9, 0.0)):
+        m = m / np.linalg.norm(m, axis=1, keepdims=True)
+        m[5], m[17] = 0, np.nan
+        m = m.astype(np.float32)
+        v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)] + [(9999, None)], "idx long, vec array<float>").repartition(5)
+        watch = Observation()
+        got = {(e.src, e.dst) for e in vectors.b_edges(v, Thresholds(b_min=floor), block=30, watch=watch).collect()}
+        assert got == brute_edges(m, 8, floor) and got
+        assert 1 - watch.get["sent"] / watch.get["possible"] >= least
+    one = Observation()
+    assert {(e.src, e.dst) for e in vectors.b_edges(v, Thresholds(b_min=floor), watch=one).collect()} == got and one.get["sent"] == 0
+    assert vectors.b_edges(v.limit(0)).count() == 0
+
+
+def test_not_a_number_takes_no_place(spark):
+    rows = [(0, [1.0, 0.0]), *((i, unit(c)) for i, c in ((1, 0.9), (2, 0.8), (3, 0.7), (4, 0.6))), (5, [float("nan"), 0.0])]
+    v = spark.createDataFrame(rows, "idx long, vec array<float>")
+    for block in (2, 100):
+        got = [(e.src, e.dst) for e in vectors.b_edges(v, Thresholds(b_min=0.1, top_k=3), block=block).collect()]
+        assert sorted(d for s, d in got if s == 0) == [1, 2, 3] and not [e for e in got if 5 in e]
+
+
+def test_vectors_of_different_width(spark):
+    v = spark.createDataFrame([(0, [1.0]), (1, [0.6, 0.8]), (2, [0.0, 0.6, 0.8]), (3, [0.8, 0.6])], "idx long, vec array<float>")
+    want = {(x.i, x.j) for x in vectors.pair_cosines(v, 0.5).collect()}
+    for block in (1, 2, 100):
+        assert {(min(e.src, e.dst), max(e.src, e.dst)) for e in vectors.b_edges(v, Thresholds(b_min=0.5), block=block).collect()} == want
+
+
+def test_prefix_pairs_score_few_and_lose_none(spark):
+    r = random.Random(11)
+    rows = sorted({(i, f"Concept/{min(int(r.expovariate(0.05)), 300)}") for i in range(150) for _ in range(r.choice([2, 8, 30]))})
+    for t, df in ((0.1, 12), (0.3, 40), (0.0, 12), (0.95, 200)):
+        lim = Thresholds(a_specific_df=df, a_min=t)
+        w = terms.term_weights(spark.createDataFrame(rows, "idx long, term string"), 150).persist()
+        norms = {x.idx: x.norm for x in terms.doc_norms(w).collect()}
+        every = {(x.i, x.j): x.dot / norms[x.i] / norms[x.j] for x in terms.pair_dots(w, lim).collect()}
+        got = {(x.i, x.j): x.cos for x in terms.candidates(w, lim).collect()}
+        want = {p: c for p, c in every.items() if c >= t}
+        assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+        scored = terms.scored_pairs(terms.postings(w, lim), lim)
+        assert len(want) <= scored.where("dot * 1.000001 >= need").count() <= scored.count() <= len(every)
+        assert t < 0.9 or scored.count() < 0.5 * len(every)
