@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.scalars import round4
 from kindred.functions.text import truncated
 from kindred.operators.terms import undirected
 from kindred.sources.embeddings import BATCH
+from kindred.sources.shared import written
 
 POINTS = (50, 75, 90, 95, 99)
 
@@ -45,9 +46,27 @@ def _row(*parts: DataFrame) -> DataFrame:
 
 
 def percentiles(edges: DataFrame, kind: str) -> DataFrame:
-    """Linear percentiles of the undirected weights to four places; null for none."""
-    p = undirected(edges).agg(F.percentile(F.col("cos").cast("double"), F.array(*(F.lit(x / 100) for x in POINTS))).alias("p"))
-    return p.select(F.lit(kind).alias("kind"), *(round4(F.col("p")[k]).alias(f"p{x}") for k, x in enumerate(POINTS)))
+    """Linear percentiles of the undirected weights to four places; null for none.
+
+    Selected by rank: different weights with their counts are dealt into sorted ranges, a sum a range tells which ranges
+    hold a wanted rank, and only these are numbered. No task holds more than a range, however often a weight occurs.
+    """
+    values = undirected(edges).groupBy(F.col("cos").cast("double").alias("v")).agg(F.count("*").alias("c"))
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = written(values.repartitionByRange(n, "v").withColumn("_part", F.spark_partition_id()), "values")
+    sizes = values.groupBy("_part").agg(F.sum("c").alias("size"))  # a row a range
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sizes.select("_part", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), F.sum("size").over(Window.partitionBy()).alias("total"))
+    low = {x: F.floor((F.col("total") - 1) * x / 100) for x in POINTS}
+    ranks = [r for x in POINTS for r in (low[x], F.least(low[x] + 1, F.col("total") - 1))]
+    held = ranges.where(F.exists(F.array(*ranks), lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("size"))))
+    end = F.col("start") + F.sum("c").over(Window.partitionBy("_part").orderBy("v"))
+    placed = values.join(F.broadcast(held), "_part").select("v", "total", end.alias("end"), (end - F.col("c")).alias("start"))
+    at = lambda r: F.max(F.when((r >= F.col("start")) & (r < F.col("end")), F.col("v")))
+    got = placed.agg(F.max("total").alias("total"), *(at(r).alias(f"r{i}") for i, r in enumerate(ranks)))
+    part = lambda x: (F.col("total") - 1) * x % 100 / 100
+    line = lambda i, x: F.col(f"r{2 * i}") + (F.col(f"r{2 * i + 1}") - F.col(f"r{2 * i}")) * part(x)
+    return got.select(F.lit(kind).alias("kind"), *(round4(line(i, x)).alias(f"p{x}") for i, x in enumerate(POINTS)))
 
 
 def decision_stats(decisions: DataFrame) -> DataFrame:
