@@ -6,7 +6,7 @@ from functools import reduce
 from operator import or_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,10 +63,15 @@ def corpus_authors(corpus: DataFrame, authors: DataFrame) -> DataFrame:
 
 
 def link_targets(corpus: DataFrame, reports_rel: str) -> DataFrame:
-    """(idx, target): the file's stem where it is unique, else its path from the vault's root."""
+    """(idx, target): the file's stem where it is unique, else its path from the vault's root.
+
+    Stems are counted before they are exchanged and only unique ones come back, by the note that has it, so a stem that
+    every folder has is a row a task.
+    """
     s = corpus.select("idx", "folder", stem(F.col("basename")).alias("stem"))
-    n = F.count("*").over(Window.partitionBy("stem"))
-    return s.select("idx", F.when(n == 1, F.col("stem")).otherwise(F.concat_ws("/", F.lit(reports_rel), "folder", "stem")).alias("target"))
+    unique = s.groupBy("stem").agg(F.count("*").alias("n"), F.min("idx").alias("idx")).where("n = 1").select("idx", F.lit(True).alias("unique"))
+    path = F.concat_ws("/", F.lit(reports_rel), "folder", "stem")
+    return s.join(unique, "idx", "left").select("idx", F.when(F.col("unique"), F.col("stem")).otherwise(path).alias("target"))
 
 
 def notes(spark: SparkSession, paths: str | list[str], strict: bool = False) -> DataFrame:

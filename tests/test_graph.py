@@ -250,3 +250,24 @@ def test_prefix_pairs_score_few_and_lose_none(spark):
         scored = terms.scored_pairs(terms.postings(w, lim), lim)
         assert len(want) <= scored.where("dot * 1.000001 >= need").count() <= scored.count() <= len(every)
         assert t < 0.9 or scored.count() < 0.5 * len(every)
+
+
+def test_percentiles_by_rank(spark):
+    r = np.random.default_rng(3)
+    for n in (2, 3, 100, 101, 5000):
+        w = r.choice([0.25, 0.5, 0.75, 1.0], n) if n == 5000 else r.random(n)  # very common weights, or none twice
+        e = spark.createDataFrame([(0, i + 1, float(x)) for i, x in enumerate(w)], "src long, dst long, cos double").repartition(4)
+        got = list(report.percentiles(e, "x").first())[1:]
+        assert np.allclose(got, np.percentile(w, report.POINTS), atol=6e-5), n
+    plan = report.percentiles(e, "x")._jdf.queryExecution().toString()
+    assert "percentile" not in plan.lower()
+
+
+def test_one_stem_for_all_notes(spark):
+    c = spark.range(3000).select(F.col("id").alias("idx"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("folder"), F.when(F.col("id") < 2990, "index.md").otherwise(F.concat(F.col("id").cast("string"), F.lit(".md"))).alias("basename"))
+    t = corpus.link_targets(c, "r")
+    assert "Window" not in t._jdf.queryExecution().toString()
+    got = {x.idx: x.target for x in t.collect()}
+    assert len(got) == 3000 and all(got[i] == (f"r/f{i}/index" if i < 2990 else str(i)) for i in got)
+    exchanged = spark.createDataFrame([(i, "f", "index.md") for i in range(3000)], "idx long, folder string, basename string")
+    assert corpus.link_targets(exchanged, "r").where("target <> 'r/f/index'").count() == 0
