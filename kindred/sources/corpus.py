@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from kindred.config import Settings
 from kindred.functions.text import stem, trimmed
+from kindred.sources import sqlite
 from kindred.sources.shared import numbered
 
 PAPERS = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("file_path", T.StringType(), False), T.StructField("title", T.StringType())])
@@ -19,18 +20,29 @@ TAGS = T.StructType([T.StructField("paper_id", T.LongType(), False), T.StructFie
 AUTHORS = T.StructType([T.StructField("paper_id", T.LongType(), False), T.StructField("name", T.StringType())])
 
 
-def read_table(spark: SparkSession, source: str, name: str, schema: T.StructType) -> DataFrame:
-    """A relation of the cache: from `<source>/<name>.parquet`, or from a database if source is a JDBC address or an SQLite file."""
-    if source.startswith("jdbc:"):
-        return spark.read.format("jdbc").options(url=source, dbtable=name).load().select(*(F.col(f.name).cast(f.dataType) for f in schema))
-    if source.endswith(".db"):  # one small file, read where the driver runs
-        import sqlite3
+def read_table(spark: SparkSession, source: str, name: str, schema: T.StructType, likes: dict[str, list[str]] | None = None, ranges: int = sqlite.RANGES) -> DataFrame:
+    """A relation of the cache: from `<source>/<name>.parquet`, or in ranges from a database if source is a JDBC address or an SQLite file.
 
-        with sqlite3.connect(f"file:{source}?mode=ro", uri=True) as c:
-            return spark.createDataFrame(c.execute(f"SELECT {', '.join(schema.names)} FROM {name}").fetchall(), schema)
+    Ranges are of row numbers in SQLite, where `likes` are evaluated too, and of the first column's values elsewhere.
+    """
+    if source.startswith("jdbc:"):
+        key = schema.names[0]
+        jdbc = lambda **more: spark.read.format("jdbc").options(url=source, **more).load()
+        named = next(c for c in jdbc(dbtable=name).columns if c.lower() == key)  # as the database spells it
+        quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(source).quoteIdentifier(named)
+        low, high = jdbc(query=f"SELECT min({quoted}) AS low, max({quoted}) AS high FROM {name}").first()
+        split = {} if low is None else {"partitionColumn": key, "lowerBound": low, "upperBound": high + 1, "numPartitions": ranges}
+        return jdbc(dbtable=name, **split).select(*(F.col(f.name).cast(f.dataType) for f in schema))
+    if source.endswith(".db"):
+        return sqlite.read(spark, source, name, schema, likes, ranges)
     return spark.read.schema(schema).parquet(f"{source}/{name}.parquet")
 
 
+def folder_patterns(cfg: Settings) -> list[str]:
+    """LIKE patterns of the configured folders' files."""
+    return [f"%{cfg.reports_rel}/{f}/%" for f in cfg.folders]
+
+
 def scan(papers: DataFrame, cfg: Settings) -> DataFrame:
     """Reports of the configured folders: (idx, id, file_path, relpath, folder, basename, title), idx by id.
 
@@ -38,7 +50,7 @@ def scan(papers: DataFrame, cfg: Settings) -> DataFrame:
     Positions follow the order of ids, which differ.
     """
     lead = cfg.reports_dir + "/"
-    like = [F.col("file_path").ilike(f"%{cfg.reports_rel}/{f}/%".replace("\\", "\\\\")) for f in cfg.folders]
+    like = [F.col("file_path").ilike(p.replace("\\", "\\\\")) for p in folder_patterns(cfg)]
     p = papers.where(reduce(or_, like) & F.col("file_path").startswith(lead))
     p = p.withColumn("relpath", F.substring("file_path", len(lead) + 1, 1 << 20)).withColumn("_p", F.split("relpath", "/"))
     p = p.where(F.size("_p") == 2).withColumn("folder", F.col("_p")[0]).withColumn("basename", F.col("_p")[1])
