@@ -8,12 +8,12 @@ from __future__ import annotations
 import argparse
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.config import Settings, resolve
 from kindred.functions import frontmatter, text
-from kindred.operators import merge, report
+from kindred.operators import merge, report, reporttext
 from kindred.plans.graph import Graph
 from kindred.sources import corpus, embeddings, sinks
 from kindred.sources.shared import written
@@ -38,53 +38,65 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def embedded(spark: SparkSession, papers: DataFrame, cfg: Settings, provider: embeddings.Provider | None, limit: int | None, requesters: int = 1) -> tuple[DataFrame, DataFrame, int, int]:
-    """(vectors, cache lookup, tokens, calls): vectors from the cache, and for misses from the provider, which are then cached."""
+def embedded(spark: SparkSession, papers: DataFrame, cfg: Settings, provider: embeddings.Provider | None, limit: int | None, requesters: int = 1) -> tuple[DataFrame, dict[str, int]]:
+    """(vectors, figures): vectors from the cache, and for misses from the provider, which are cached call by call."""
     some = papers if limit is None else papers.where(F.col("idx") < limit)
     read = text.extract(some.join(corpus.notes(spark, cfg.reports_dir + "/*/*.md").withColumnRenamed("path", "file_path"), "file_path", "left"), "text")
     inputs = embeddings.hashed_inputs(read.select("idx", text.embed_input(F.col("title"), F.col("body")).alias("input")))
-    inputs = written(inputs, "inputs")
+    inputs, hits = written(inputs, "inputs"), Observation()
     cache = embeddings.load_cache(spark, cfg.embed_cache)
-    found = written(embeddings.lookup(inputs, cache), "lookup")
-    todo, tokens, calls = embeddings.misses(inputs, cache), 0, 0
-    if not todo.isEmpty():
+    found = embeddings.lookup(inputs, cache).select("idx", "hash", F.col("vec").isNotNull().alias("hit"))
+    found = written(found.observe(hits, F.count_if("hit").alias("cache_hits")), "lookup")
+    new = inputs.join(found.where("not hit").select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.min("input").alias("input"))
+    tokens = calls = 0
+    if not new.isEmpty():
         if provider is None:
             raise ValueError("some texts aren't in the cache: set OPENAI_API_KEY")
-        got = written(embeddings.embed(todo.repartition(requesters), provider), "embedded")
-        tokens, calls = got.agg(F.sum("tokens"), F.sum("calls")).first()
-        cache = cache.union(got.where("vec is not null").select("hash", "vec"))
-        cache = written(cache, "cache")
-        embeddings.save_cache(cache, cfg.embed_cache)
-    return inputs.select("idx", "hash").join(cache, "hash").select("idx", "vec"), found, tokens, calls
+        tokens, calls = embeddings.embed_into(new, provider, cfg.embed_cache, requesters)
+        cache = embeddings.load_cache(spark, cfg.embed_cache)
+    vecs, have = inputs.select("idx", "hash").join(cache, "hash").select("idx", "vec").where("vec is not null"), Observation()
+    vecs = written(vecs.observe(have, F.count("*").alias("embedded")), "note-vectors")
+    return vecs, {"tokens": tokens, "calls": calls, "cache_hits": hits.get.get("cache_hits", 0), "embedded": have.get.get("embedded", 0)}
 
 
 def run(spark: SparkSession, cfg: Settings, provider: embeddings.Provider | None, apply: bool = False, limit: int | None = None, seed: int = 42, say=print, requesters: int = 1) -> DataFrame:
-    """The final graph. Prints statistics; writes the cache and the edge dump, and the notes if `apply`."""
+    """The final graph. Prints the report; writes the cache and the edge dump, and the notes if `apply`.
+
+    The report's counts are observed while the steps are written; only percentiles, checks and samples have jobs of their own.
+    """
     cfg.ensure_cache_dir()
-    table = lambda name, schema: corpus.read_table(spark, cfg.db_path, name, schema)
-    papers = corpus.scan(table("papers", corpus.PAPERS), cfg)
-    papers = written(corpus.live(papers, corpus.listing(spark, cfg.reports_dir + "/*/*.md")), "papers")
+    if apply:
+        sinks.recover_notes(spark, cfg.reports_dir)
+    table = lambda name, schema, **more: corpus.read_table(spark, cfg.db_path, name, schema, **more)
+    papers = corpus.scan(table("papers", corpus.PAPERS, likes={"file_path": corpus.folder_patterns(cfg)}), cfg)
+    papers, size = corpus.live(papers, corpus.listing(spark, cfg.reports_dir + "/*/*.md")), Observation()
+    guarded = F.col("relpath").isin(*cfg.protected)
+    papers = written(papers.observe(size, F.count("*").alias("n_papers"), F.count_if(guarded).alias("n_protected")), "papers")
+    about = {"n_papers": 0, "n_protected": 0} | size.get
     protected, links = report.protected_idx(papers, cfg.protected), corpus.link_targets(papers, cfg.reports_rel)
-    vecs, found, tokens, calls = embedded(spark, papers, cfg, provider, limit, requesters)
-    g = Graph(corpus.corpus_tags(papers, table("tags", corpus.TAGS)), corpus.corpus_authors(papers, table("authors", corpus.AUTHORS)), vecs, papers.count(), cfg.limits)
-    writers = report.writer_graph(g.final, protected)
-    degree = report.degrees(papers, writers, protected)
-
-    def tell(title: str, df: DataFrame) -> None:
-        say(f"\n--- {title} ---")
-        for row in df.collect():
-            say("  ".join(f"{k}={v}" for k, v in row.asDict().items()))
-
-    say("[APPLY]" if apply else "[DRY-RUN]")
-    tell("Corpus", report.corpus_stats(papers, cfg.protected))
-    tell("Tags and authors", report.phase_a_stats(g.terms, g.weights, g.a_edges))
-    tell("Embeddings", report.phase_b_stats(found, g.b_edges, tokens, calls))
-    tell("Percentiles", report.percentiles(g.a_edges, "A").union(report.percentiles(g.b_edges, "B")))
-    tell("Decisions", report.decision_stats(g.decisions))
-    tell("Writers", report.final_stats(degree))
-    tell("Links", report.histogram(degree, cfg.limits.cap).orderBy("links"))
-    tell("Checks", report.integrity(g.final, writers, links))
-    tell("Sample", report.sample_lines(report.sample(writers, seed), papers, writers).orderBy("idx", "rank"))
+    vecs, b = embedded(spark, papers, cfg, provider, limit, requesters)
+    tags, authors = corpus.corpus_tags(papers, table("tags", corpus.TAGS)), corpus.corpus_authors(papers, table("authors", corpus.AUTHORS))
+    g = Graph(tags, authors, vecs, about["n_papers"], cfg.limits, protected=protected)
+
+    decided = {"keep_b_ab": 0, "keep_a": 0, "veto_a": 0, "below_b": 0, "a_edges": 0, "b_edges": 0} | g.figures("decisions")
+    a = {"n_terms": 0, "n_weighted": 0, "papers_with_edge": 0} | g.figures("weights") | g.figures("a-edges") | {"total_edges": decided["a_edges"]}
+    b |= {"papers_with_edge": 0} | g.figures("b-edges") | {"total_edges": decided["b_edges"]}
+    points = {r["kind"]: r for r in report.percentiles(g.a_edges, "A").union(report.percentiles(g.b_edges, "B")).collect()}
+    chosen = report.sample(g.writers, seed)
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("idx").cast("string")))
+    lines = report.sample_lines(chosen, papers, g.writers).join(chosen.select("idx", "stratum"), "idx").orderBy("stratum", order, "rank").collect()  # A, B, any: 20 notes
+    told = [
+        *reporttext.head(apply, about),
+        *reporttext.phase_a(a, points["A"]),
+        *reporttext.phase_b(b, points["B"]),
+        *reporttext.decisions(cfg.limits.a_veto, decided),
+        *reporttext.final(g.link_counts(about["n_papers"] - about["n_protected"])),
+        *reporttext.checks(report.integrity(g.final, g.writers, links).first().asDict(), b["calls"]),
+        *reporttext.samples(lines),
+    ]
+    for line in told:
+        say(line)
+    say("\nFigures: " + "  ".join(f"{k}={v}" for k, v in {"batches": b["calls"], "tokens": b["tokens"], "hits": b["cache_hits"], "embedded": b["embedded"]}.items()))
     try:
         sinks.dump_edges(g.decisions, cfg.edge_dump)
     except Exception as e:  # noqa: BLE001  the dump is a courtesy
@@ -92,12 +104,12 @@ def run(spark: SparkSession, cfg: Settings, provider: embeddings.Provider | None
     if apply:
         own = papers.join(protected, "idx", "left_anti")
         texts = own.join(corpus.notes(spark, cfg.reports_dir + "/*/*.md", strict=True).withColumnRenamed("path", "file_path"), "file_path")
-        new = frontmatter.rewrite(texts.join(merge.note_targets(own, writers, links), "idx"), "text", "targets")
+        new = frontmatter.rewrite(texts.join(merge.note_targets(own, g.writers, links), "idx"), "text", "targets")
         new = written(new.select("file_path", "new_text", "changed"), "notes")  # all is read before any is written
         there = corpus.listing(spark, cfg.reports_dir + "/*/*.md")
         n = report.apply_counters(papers, protected, there, new).first()
         say(f"files changed: {n['changed']}, protected skipped: {n['protected']}, missing skipped: {n['missing']}")
-        sinks.write_notes(new)
+        sinks.write_notes(new, cfg.reports_dir)
     return g.final
 
 

@@ -34,10 +34,15 @@ def term_df(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def all_weights(terms: DataFrame, n: int) -> DataFrame:
+    """(idx, term, df, w, first): weights max(0, ln(n / df)) of all terms; `first` in one row of each term."""
+    df = terms.groupBy("term").agg(F.count("*").alias("df"), F.min("idx").alias("least")).withColumn("w", idf(F.lit(float(n)), F.col("df")))
+    return terms.join(df, "term").select("idx", "term", "df", "w", (F.col("idx") == F.col("least")).alias("first"))
+
+
 def term_weights(terms: DataFrame, n: int) -> DataFrame:
-    """(idx, term, df, w) of terms with a positive weight max(0, ln(n / df))."""
-    df = term_df(terms).withColumn("w", idf(F.lit(float(n)), F.col("df"))).where("w > 0")
-    return terms.join(df, "term").select("idx", "term", "df", "w")
+    """(idx, term, df, w) of terms with a positive weight."""
+    return all_weights(terms, n).where("w > 0").drop("first")
 
 
 def doc_norms(weights: DataFrame) -> DataFrame:
@@ -115,14 +120,23 @@ def directed(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("i").alias("src"), F.col("j").alias("dst"), "cos").union(pairs.select("j", "i", "cos"))
 
 
-def best(edges: DataFrame, rank: Column, k: int) -> DataFrame:
-    """The k best edges of each source; ties go to the smaller target."""
+def ranked(edges: DataFrame, rank: Column, k: int) -> DataFrame:
+    """The k best edges of each source with their `place`, from 1; ties go to the smaller target."""
     w = Window.partitionBy("src").orderBy(rank.desc(), "dst")
-    return edges.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    return edges.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def best(edges: DataFrame, rank: Column, k: int) -> DataFrame:
+    return ranked(edges, rank, k).drop("place")
+
+
+def ranked_a_edges(weights: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
+    """(src, dst, cos, place)"""
+    return ranked(directed(candidates(weights, limits)), F.round("cos", 9), limits.top_k)
 
 
 def a_edges(weights: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
-    return best(directed(candidates(weights, limits)), F.round("cos", 9), limits.top_k)
+    return ranked_a_edges(weights, limits).drop("place")
 
 
 def undirected(edges: DataFrame) -> DataFrame:

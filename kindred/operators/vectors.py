@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kindred.config import Thresholds
 from kindred.functions.scalars import dot
-from kindred.operators.terms import best
+from kindred.operators.terms import ranked
 from kindred.sources.shared import importable, written
 
 #: Vectors in a block, and rows multiplied at once.
@@ -143,7 +143,12 @@ class Cells:
 
 
 def b_edges(vectors: DataFrame, limits: Thresholds = Thresholds(), limit: int | None = None, block: int = BLOCK, watch: Observation | None = None) -> DataFrame:
-    """(src, dst, cos float): each note's best neighbours at the threshold or above; `limit` takes the first positions only.
+    """(src, dst, cos float) of ranked_b_edges()."""
+    return ranked_b_edges(vectors, limits, limit, block, watch).drop("place")
+
+
+def ranked_b_edges(vectors: DataFrame, limits: Thresholds = Thresholds(), limit: int | None = None, block: int = BLOCK, watch: Observation | None = None) -> DataFrame:
+    """(src, dst, cos float, place): each note's best neighbours at the threshold or above; `limit` takes the first positions only.
 
     Exact, without all pairs: vectors are dealt into cells around centres (found in a bounded sample), large cells
     into blocks by hash. A block first meets itself, which gives each note a cosine that better neighbours must have. A vector
@@ -200,7 +205,7 @@ def b_edges(vectors: DataFrame, limits: Thresholds = Thresholds(), limit: int |
     met = placed_at.groupBy("block").applyInArrow(alone, "idx long, vec array<float>, cell int, block long, floor double, dst array<long>, cos array<float>")
     if cells is None:
         met = met if watch is None else met.observe(watch, F.count_if(F.lit(False)).alias("sent"), F.count_if(F.lit(False)).alias("possible"))
-        return met.select(F.col("idx").alias("src"), F.explode(F.arrays_zip("dst", "cos")).alias("e")).select("src", "e.dst", "e.cos")
+        return ranked(met.select(F.col("idx").alias("src"), F.explode(F.arrays_zip("dst", "cos")).alias("e")).select("src", "e.dst", "e.cos"), F.col("cos"), k)
     met = written(met, "blocks")
     for cell, floor in met.groupBy("cell").agg(F.min("floor")).collect():  # at most CELLS rows
         cells.floor[cell] = floor
@@ -235,7 +240,7 @@ def b_edges(vectors: DataFrame, limits: Thresholds = Thresholds(), limit: int |
         copies = copies.observe(watch, F.count("*").alias("sent"), F.max(F.lit(n * (total - 1))).alias("possible"))
     across = copies.groupBy("pair").applyInArrow(together, "src long, dst long, cos float")
     inside = met.select(F.col("idx").alias("src"), F.explode(F.arrays_zip("dst", "cos")).alias("e")).select("src", "e.dst", "e.cos")
-    return best(inside.union(across), F.col("cos"), k)
+    return ranked(inside.union(across), F.col("cos"), k)
 
 
 def with_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:

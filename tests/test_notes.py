@@ -176,3 +176,90 @@ def test_command_line(tmp_path, monkeypatch):
     cli.main(["--vault-root", str(tmp_path), "--reports-rel", "r", "--folders", "A", "--folders", "B", "--protected", "A/p.md", "--apply", "--limit-embed", "3", "--seed", "7", "--requesters", "2"])
     cfg, provider, a, k = seen[0]
     assert cfg.folders == ("A", "B") and cfg.protected == ("A/p.md",) and provider is None and a == (True, 3, 7) and k == {"requesters": 2}
+
+
+def test_report_text(spark, tmp_path):
+    """The whole report of a small vault, and counts that need no job of their own."""
+    from kindred import cli
+    from kindred.operators import reporttext
+
+    vault = tmp_path / "v"
+    (vault / "r" / "A").mkdir(parents=True)
+    rows = []
+    for i in range(5):
+        p = vault / "r" / "A" / f"n{i}.md"
+        p.write_text(f"---\ntitle: n{i}\n---\nbody {i}\n")
+        rows.append((i, str(p), f"Note {i}" if i else None))
+    db = tmp_path / "db"
+    spark.createDataFrame(rows, corpus.PAPERS).write.parquet(f"{db}/papers.parquet")
+    spark.createDataFrame([(i, f"Concept/{i % 2}") for i in range(5)] + [(i, "Venue/all") for i in range(5)], "paper_id long, tag string").write.parquet(f"{db}/tags.parquet")
+    spark.createDataFrame([], corpus.AUTHORS).write.parquet(f"{db}/authors.parquet")
+    cfg = Settings(str(vault), "r", ("A",), ("A/n4.md",), str(tmp_path / "cache"), str(db))
+    at = [(1.0, 0.0), (0.0, 1.0), (0.8, 0.6), (0.0, 1.0), (0.6, 0.8)]
+    provider = lambda ts: ([list(at[int(t.split()[-1])]) for t in ts], 2 * len(ts))
+    said = []
+    cli.run(spark, cfg, provider, say=said.append)
+    bar = "=" * 72
+    want = f"""{bar}
+[DRY-RUN]
+Corpus size            : 5
+Protected (skip-write) : 1
+{bar}
+
+--- Phase A (IDF-weighted tag/author cosine) ---
+Distinct terms              : 3 (nonzero idf: 2)
+Papers with >=1 A-edge      : 5
+Total A-edges (undirected)  : 4
+A edge-weight percentiles   : p50=1 p75=1 p90=1 p95=1 p99=1
+
+--- Phase B (OpenAI embedding cosine) ---
+Embedding batches/API calls : 1 / 1 (cache hits: 0)
+Papers embedded             : 5
+Papers with >=1 B-edge      : 5
+Total B-edges (undirected)  : 8
+B cosine percentiles        : p50=0.8 p75=0.84 p90=0.972 p95=0.986 p99=0.9972
+API tokens (reported)       : 10
+
+--- Merge edge decisions (B-veto, floor=0.4) ---
+  keep (B/AB)         : 8
+  keep (A-veto pass)  : 0
+  veto-A (tag-only)   : 0
+  below-B (B cand)    : 0
+
+--- Final merged graph (writers only; protected excluded) ---
+Writable reports            : 4
+Will get >=1 link           : 4
+Stay empty (related: [])    : 0
+Link-count histogram (0..10):
+   0:     0 
+   1:     0 
+   2:     1 
+   3:     2 
+   4:     1 
+   5:     0 
+   6:     0 
+   7:     0 
+   8:     0 
+   9:     0 
+  10:     0 
+Asymmetric edges (must be 0): 0
+Dead targets (must be 0)    : 0
+Self-links (must be 0)      : 0
+
+TOTAL embedding API calls   : 1
+
+{bar}
+20 RANDOM SAMPLE PAPERS (title -> related [target | weight | src])
+{bar}
+""".split("\n")[:-1]
+    assert said[: len(want)] == want
+    sample = said[len(want) : next(k for k, x in enumerate(said) if x.startswith("\nFigures"))]
+    assert sorted(x for x in sample if x.startswith("[")) == ["[A] ", "[A] Note 1", "[A] Note 2", "[A] Note 3"]
+    k = sample.index("[A] ")
+    assert sample[k - 1 : k + 3] == ["", "[A] ", "   (AB 0.800)  Note 2", "   (AB 0.600)  Note 4"]
+    none = []
+    empty = Settings(str(tmp_path / "none"), "r", ("A",), (), str(tmp_path / "cache2"), str(db))
+    cli.run(spark, empty, provider, say=none.append)
+    assert "A edge-weight percentiles   : p50=None p75=None p90=None p95=None p99=None" in none and "Corpus size            : 0" in none
+    assert reporttext.number(None) == "None" and reporttext.number(1.0) == "1" and reporttext.number(0.25) == "0.25"
+    assert reporttext.final([25, 610, 0])[5:] == ["Link-count histogram (0..2):", "   0:    25 ##", "   1:   610 " + "#" * 60, "   2:     0 "]
