@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator, Set
 
 import pyarrow as pa
@@ -36,8 +37,10 @@ DEPTH = 64
 #: Rows (numbers of copies; hosts' low nodes) up to which they are broadcast; beyond, pages meet them by key and a salt.
 BROADCAST, SALTS = 500_000, 16
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A value is quoted only right behind its equals sign; a stray quote is part of a name or value, as in browsers.
+_PAIR = r"(?:[^\s/>=]+|=[^\s/>=]*)(?:\s*=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|(?![\"'])[^\s>]*))?"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</(?:[^a-zA-Z>][^>]*)?(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|{_PAIR})*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>=]+|=[^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?", re.S)
 #: Raw text elements: nothing in them is markup until their end tag.
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -50,8 +53,11 @@ _WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|sidebar|side-bar|footer|masthead|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|replies|pagination|pager|widget)(?:$|[\s_-])",
     re.I,
 )
+_LOOKED_AT = {"class", "id", "role", "hidden", "aria-hidden", "itemprop", "itemtype"}
 #: A class of these says something of the page's layout, not what the element is: has-sidebar, no-nav.
 _MODIFIER = re.compile(r"(?:has|no|with|without)[_-]", re.I)
+#: What names a section of reader comments or one of them.
+_READERS = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|commentlist|disqus|respond|replies|responses)(?:$|[\s_-])", re.I)
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SPACE = re.compile(r"\s+")
 _PHRASE = re.compile(r"[.,;:!?|\u00b7\u2022()\[\]\n\r\u2026\u2014]+")
@@ -60,10 +66,11 @@ _PHRASE = re.compile(r"[.,;:!?|\u00b7\u2022()\[\]\n\r\u2026\u2014]+")
 class Node:
     """An element. `path` is a number for the path of tags and classes to it, made from its parent's."""
 
-    __slots__ = ("tag", "path", "depth", "none", "word", "children", "parent")
+    __slots__ = ("tag", "path", "depth", "none", "word", "readers", "children", "parent", "block")
 
     def __init__(self, tag: str, name: str, none: bool, parent: Node | None):
-        self.tag, self.none, self.word, self.parent, self.children = tag, none, False, parent, []
+        self.tag, self.none, self.word, self.readers, self.parent, self.children = tag, none, False, False, parent, []
+        self.block = self if tag in _BLOCK else parent.block if parent else None  # the block that it is or lies in
         self.depth = parent.depth + 1 if parent else 0
         if parent is None:
             self.path = 0
@@ -78,6 +85,17 @@ def parse(text: str, roles: bool = True) -> Node:
     """
     root = node = Node("", "", False, None)
     at, end, worded = 0, len(text), False
+    opened: Counter[str] = Counter()  # tags of the elements that are open, so that an end tag without one costs nothing
+
+    def left(last: Node) -> Node:
+        """Close elements up to `last`; its parent is open then."""
+        up = node
+        while True:
+            opened[up.tag] -= 1
+            if up is last:
+                return up.parent
+            up = up.parent
+
     while at < end:
         m = _TOKEN.search(text, at)
         if m is None:
@@ -90,71 +108,75 @@ def parse(text: str, roles: bool = True) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if opened[tag]:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = left(up)
             continue
         if tag in _BLOCK:  # an open paragraph ends at any block
             closing = _CLOSES.get(tag, {"p"}) | {"p"}
-            up = node
-            while up is not root and (up.tag in closing or up.tag not in _BLOCK):
-                if up.tag in closing:
-                    node = up.parent
-                    up = node
-                else:
-                    up = up.parent
+            while node.block is not None and node.block.tag in closing:
+                node = left(node.block)
         attrs = m[3]
-        name, none, word = tag, tag in (_NONE if roles else _UNSEEN), False
-        if attrs:
-            for a in _ATTRIBUTE.finditer(attrs):
-                kind, value = a[1].lower(), a[2] or a[3] or a[4] or ""
-                if kind == "class":
-                    name = f"{tag}.{'.'.join(sorted(value.split()))}"
-                if not roles:
-                    continue
-                none = none or kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "role" and value.lower() in _ROLES
-                word = word or kind in ("class", "id") and tag not in ("html", "body", "article", "main") and any(_WORDS.search(v) and not _MODIFIER.match(v) for v in value.split())
-        if roles and tag == "header" and not any(n.tag in ("article", "main") for n in _up(node)):
+        name, none, word, readers = tag, tag in (_NONE if roles else _UNSEEN), False, False
+        seen: set[str] = set()
+        for a in _ATTRIBUTE.finditer(attrs):
+            kind, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+            if kind in seen or kind not in _LOOKED_AT:
+                continue  # the first of equal names counts
+            seen.add(kind)
+            if kind == "class":
+                name = f"{tag}.{'.'.join(sorted(value.split()))}"
+            if not roles:
+                continue
+            none = none or kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "role" and value.lower() in _ROLES
+            if kind in ("class", "id") and tag not in ("html", "body"):
+                named = [v for v in value.split() if not _MODIFIER.match(v)]
+                word = word or tag not in ("article", "main") and any(map(_WORDS.search, named))
+                readers = readers or any(map(_READERS.search, named))
+            readers = readers or kind == "itemprop" and value.lower() == "comment" or kind == "itemtype" and value.lower().rstrip("/").endswith("/comment")
+        if roles and tag == "header" and not (opened["article"] or opened["main"]):
             none = True
         new = Node(tag, name, none, node)
-        new.word = word and not none
-        worded = worded or new.word
+        new.word, new.readers = word and not none, readers and not none
+        worded = worded or new.word or new.readers
         node.children.append(new)
-        if tag in _VOID or attrs and attrs.endswith("/") and tag not in _BLOCK:
+        if tag in _VOID or attrs.endswith("/") and tag not in _BLOCK:
             continue
         if tag in _RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(text, at)
             at = close.end() if close else end
             continue
         node = new
+        opened[tag] += 1
     if worded:
         _judge_words(root)
     return root
 
 
 def _judge_words(root: Node) -> None:
-    """Branches that words of class or id name lose their importance, except those with an article, a main or most of the page's text."""
-    order, todo = [], [root]
+    """Branches that words of class or id name lose their importance, except those with an article, a main or most of the page's text.
+
+    Reader comments go with the articles in them, if the page has an article or a main element of its own, or they are up to MOST of its text.
+    """
+    order, todo, theirs = [], [root], set()
     while todo:
         n = todo.pop()
         order.append(n)
+        if n.readers or id(n.parent) in theirs:
+            theirs.add(id(n))
         todo += [c for c in n.children if isinstance(c, Node) and not c.none]
+    own = any(n.tag in ("article", "main") and id(n) not in theirs for n in order)
     held: dict[int, tuple[int, bool]] = {}
     for n in reversed(order):  # children first
         inner = [held[id(c)] for c in n.children if isinstance(c, Node) and not c.none]
         size = sum(x[0] for x in inner) + sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
         held[id(n)] = size, n.tag in ("article", "main") or any(x[1] for x in inner)
+    total = held[id(root)][0]
     for n in order:
         size, article = held[id(n)]
-        n.none = n.none or n.word and not article and 2 * size <= held[id(root)][0]
-
-
-def _up(node: Node | None) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
+        n.none = n.none or n.word and not article and 2 * size <= total or n.readers and (own or not article and size <= MOST * total)
 
 
 def _inner(root: Node) -> list[Node]:
@@ -213,14 +235,18 @@ def main_text(root: Node, low: Set[int] = frozenset()) -> str:
     A path of low importance stays on a page if it holds an article or over MOST of the page's text, as where a host has copies of one page only.
     """
     low = _low(root, low) if low else low
-    kept, todo = [], [root]
+    articles, mains, todo = [], [], [root]
     while todo:
         n = todo.pop()
-        if not n.none and n.path not in low:
-            kept.append(n)
-            todo += [c for c in reversed(n.children) if isinstance(c, Node)]
-    tops = [n for n in kept if n.tag == "article" and not any(u.tag == "article" for u in _up(n.parent))]
-    tops = tops or [n for n in kept if n.tag == "main"][:1] or [root]
+        if n.none or n.path in low:
+            continue
+        if n.tag == "article":  # those in it are its parts
+            articles.append(n)
+            continue
+        if n.tag == "main":
+            mains.append(n)
+        todo += [c for c in reversed(n.children) if isinstance(c, Node)]
+    tops = articles or mains[:1] or [root]
     blocks: list[str] = []
     line: list[str] = []
 

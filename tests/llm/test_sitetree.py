@@ -81,3 +81,42 @@ def test_importances_equal_brute_force(spark):
     for broadcast in (-1, 1000):
         got = sitetree.importances(pages, broadcast=broadcast).join(pages.selectExpr("host name", "xxhash64(host) host").distinct(), "host").collect()
         assert {(int(r["name"]), r["path"]): (r["pages"], round(r["importance"], 9)) for r in got} == want
+
+
+def test_reader_comments_go():
+    own = "<article>own</article>"
+    for page in (
+        own + '<section class="comments"><article class="comment-body">reader says</article></section>',
+        '<article>own<section class="comments"><article class="comment-body">reader says</article></section></article>',
+        own + '<article class="comment">reader says</article><article id="comment-7">so it is</article>',
+        "<main><p>own</p></main><div id=disqus_thread>" + "reader says " * 99 + "</div>",
+        own + "<ol class=commentlist><li>" + "reader says " * 99 + "</li></ol>",
+        '<article>own<div itemprop="comment">reader says</div><div itemscope itemtype="https://schema.org/Comment">too</div></article>',
+        "<body><p>own</p><div class='comments-area'>" + "r" * 10 + "</div></body>",
+    ):
+        assert text(page) == "own", page
+    for page in ("<div class=comments-open><article>own</article></div>", "<div class=has-comments><article>own</article></div>", "<body class='comments'><p>own</p></body>", "<div class=comments>own</div>"):
+        assert text(page) == "own", page
+
+
+def test_stray_quotes_end_no_text():
+    assert text('<p title="x"">first part</p>') == "first part"
+    assert text("<p class=it's>first don't stop</p><p>second</p><p>it's third</p>") == "first don't stop\nsecond\nit's third"
+    assert text("<p a='1'b=\"2\"'>x</p><p =x = y>z</p><p a= >w</p></ b></>end") == "x\nz\nw\nend"
+    assert text("<p title='class=ad menu' data-x=\"a>b\">x</p>") == "x"  # what looks like an attribute in a value is none
+    assert text("<p class=a class=sidebar>long text</p>") == "long text"
+    assert text("<p>a</p><p title=\"never ends>b</p>") == "a"
+    assert text("<p/>a<br/>b<div/>c") == "a b\nc"
+
+
+def test_time_grows_with_the_page():
+    from time import process_time
+
+    n = 40_000
+    for page in (
+        "<span><p>x" * n, "<div>" + "</b>" * (6 * n), "<div></b>" * n, "<li><ul>" + "<span>" * n + "<li>x</li>" * n, "<article>" * n + "x", "<header><article>x" * n,
+        "<p class=it's>x" * n, '<a b="' * n, "<div class=comments>x" * n, "<" * 10 * n, "<p a" + "=" * 10 * n, "<title>" * n, "<td><p>" * n,
+    ):
+        at = process_time()
+        text(page)
+        assert process_time() - at < 8 * len(page) / 1e6 + 1, page[:30]
