@@ -4,7 +4,8 @@ The library spends its time on a text's repeated words. For the two kinds of fil
 split at blanks into chunks that the library would split too, so a chunk's ids don't depend on its
 neighbours. Arrow splits a batch and numbers its different chunks; only those are looked up in a bounded
 memo, new ones reach the library's model, and the ids of all chunks are gathered by number.
-Anything else (another kind of file, runs of white space, unusual characters) goes to the library whole.
+Anything else (another kind of file, runs of white space, unusual characters, the strings of special tokens, which
+the library makes their ids) goes to the library whole.
 """
 
 from __future__ import annotations
@@ -52,7 +53,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.model, self.alphabet = self.tok.model, _byte_alphabet()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -63,6 +63,10 @@ class Encoder:
             self.kind, self.pieces = "byte", _BYTE_PIECES
         elif norm and [x.get("type") for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and steps == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["pattern"] == {"Regex": _WORD_SPLIT}:
             self.kind, self.pieces = "word", _WORD_PIECES
+        #: Strings that the library takes for a token wherever they stand.
+        self.special = "|".join(re.escape(t["content"]) for t in spec.get("added_tokens") or [])
+        if any(t.get("normalized") for t in spec.get("added_tokens") or []):
+            self.kind = None
         if spec["model"].get("type") != "BPE" or spec["model"].get("dropout"):
             self.kind = None
         self.known, self.sizes, self.flat = pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, "<u4")
@@ -127,7 +131,8 @@ class Encoder:
             odd = np.ones(len(texts), bool)
         else:
             odd = np.zeros(len(texts), bool) if self.kind == "word" else pc.match_substring_regex(texts, _PAIRS).to_numpy(zero_copy_only=False)
-        whole = {i: self._whole(t) for i in np.flatnonzero(odd).tolist() if (t := texts[i].as_py()) and (self.kind is None or _JOINED.search(t))}
+        named = pc.match_substring_regex(texts, self.special).to_numpy(zero_copy_only=False) if self.special else np.zeros(len(texts), bool)
+        whole = {i: self._whole(t) for i in np.flatnonzero(odd | named).tolist() if (t := texts[i].as_py()) and (self.kind is None or named[i] or _JOINED.search(t))}
         if whole:
             texts = pc.if_else(pa.array([i in whole for i in range(len(texts))], pa.bool_()), "", texts)
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " ") if self.kind == "word" else texts, " ")

@@ -31,6 +31,18 @@ def test_remembered_words_give_the_librarys_ids(name):
     assert len(e.encode_batch(pa.array([], pa.binary()), 2)[0]) == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_tokens_are_as_in_a_fresh_tokenizer(name):
+    from tokenizers import Tokenizer
+
+    e, fresh, r = Encoder(vocabulary(name)), Tokenizer.from_file(vocabulary(name)), random.Random(3)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "oftext|>", " ", "\n", "word", "It's", "é", "<", "|>"]
+    texts = [*parts, "a <|endoftext|> b", "<|endoftext|><|endoftext|>", *("".join(r.choices(parts, k=8)) for _ in range(300)), *ODD]
+    ids, at = e.encode_batch(pa.array([t.encode() for t in texts], pa.binary()))
+    assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert fresh.token_to_id("<|endoftext|>") in ids
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_what_is_remembered_is_bounded_in_bytes(name, monkeypatch):
     monkeypatch.setattr(tokens, "MEMO", 20_000)
