@@ -9,9 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindred.config import Thresholds
-from kindred.functions.scalars import dot
 from kindred.operators.terms import ranked
 from kindred.sources.shared import importable, written
 
@@ -243,7 +243,33 @@ def ranked_b_edges(vectors: DataFrame, limits: Thresholds = Thresholds(), limit:
     return ranked(inside.union(across), F.col("cos"), k)
 
 
-def with_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """pairs (i, j, ...) with emb_cos float, null where an end has no vector."""
-    x, y = (vectors.where("vec is not null").select(F.col("idx").alias(k), F.col("vec").alias(f"_v{k}")) for k in "ij")
-    return pairs.join(x, "i", "left").join(y, "j", "left").withColumn("emb_cos", F.when(F.col("_vi").isNotNull() & F.col("_vj").isNotNull(), dot(F.col("_vi"), F.col("_vj")))).drop("_vi", "_vj")
+def with_cosine(pairs: DataFrame, vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """pairs (i, j, ...) with emb_cos float, null where an end has no vector.
+
+    A pair goes to the task of its ends' two blocks and carries no vector; a vector goes there once, however many of its
+    pairs do. So what is exchanged for a pair does not grow with the vectors' width, and a note with very many pairs is
+    spread over as many tasks as there are blocks.
+    """
+    importable(vectors.sparkSession)
+    about = Observation()
+    v = vectors.where("vec is not null").select(F.col("idx").cast("long").alias("idx"), F.col("vec").cast("array<float>").alias("vec"))
+    v = written(v.observe(about, F.count("*").alias("n")), "pair-vectors")
+    n = max(1, -(-about.get.get("n", 0) // block))
+    own = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(n))
+    routed = pairs.withColumn("_key", F.least(own("i"), own("j")) * n + F.greatest(own("i"), own("j")))
+    wanted = routed.select(F.col("_key").alias("_to"), F.explode(F.array(F.col("i").cast("long"), F.col("j").cast("long"))).alias("idx")).distinct().join(v, "idx")
+
+    def meet(p: pa.Table, w: pa.Table) -> pa.Table:
+        cos, there = np.zeros(p.num_rows, np.float32), np.zeros(p.num_rows, bool)
+        if w.num_rows:
+            w = w.sort_by("idx")
+            ids, m = w["idx"].to_numpy(), _matrix(w["vec"])
+            ends = [np.minimum(np.searchsorted(ids, e), len(ids) - 1) for e in (p["i"].to_numpy(), p["j"].to_numpy())]
+            there = (ids[ends[0]] == p["i"].to_numpy()) & (ids[ends[1]] == p["j"].to_numpy())
+            for at in range(0, len(cos), ROWS):
+                x, y = (m[e[at : at + ROWS]] for e in ends)
+                cos[at : at + ROWS] = np.einsum("ij,ij->i", x, y)
+        return p.drop_columns(["_key"]).append_column("emb_cos", pa.array(cos, pa.float32(), mask=~there))
+
+    schema = T.StructType([*pairs.schema.fields, T.StructField("emb_cos", T.FloatType())])
+    return routed.groupBy("_key").cogroup(wanted.groupBy("_to")).applyInArrow(meet, schema)

@@ -271,3 +271,24 @@ def test_one_stem_for_all_notes(spark):
     assert len(got) == 3000 and all(got[i] == (f"r/f{i}/index" if i < 2990 else str(i)) for i in got)
     exchanged = spark.createDataFrame([(i, "f", "index.md") for i in range(3000)], "idx long, folder string, basename string")
     assert corpus.link_targets(exchanged, "r").where("target <> 'r/f/index'").count() == 0
+
+
+def test_pairs_meet_their_vectors_in_blocks(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, None if i % 9 == 0 else r.normal(size=6).astype(np.float32).tolist()) for i in range(60)]
+    rows[7] = (7, [float("nan")] * 6)
+    v = spark.createDataFrame(rows, "idx long, vec array<float>")
+    ends = sorted({tuple(sorted(map(int, r.integers(0, 70, 2)))) for _ in range(150)} | {(3, k) for k in range(4, 60)})  # one note has very many
+    pairs = spark.createDataFrame([(i, j, f"{i}-{j}", None) for i, j in ends if i < j], "i long, j long, name string, none double").repartition(4)
+    x, y = (v.toDF(k, f"v{k}") for k in "ij")
+    both = pairs.join(x, "i", "left").join(y, "j", "left")
+    want = {(p.i, p.j): p.c for p in both.select("i", "j", F.when(F.col("vi").isNotNull() & F.col("vj").isNotNull(), scalars.dot(F.col("vi"), F.col("vj"))).alias("c")).collect()}
+    for block in (7, 1000):
+        got = vectors.with_cosine(pairs, v, block=block)
+        assert got.columns == ["i", "j", "name", "none", "emb_cos"]
+        rows = got.collect()
+        assert len(rows) == len(want) and all(p.name == f"{p.i}-{p.j}" and p.none is None for p in rows)
+        for p in rows:
+            c = want[p.i, p.j]
+            assert (p.emb_cos is None) == (c is None) and (c is None or np.isnan(c) and np.isnan(p.emb_cos) or abs(p.emb_cos - c) < 1e-6)
+    assert vectors.with_cosine(pairs.limit(0), v).count() == 0 and vectors.with_cosine(pairs, v.limit(0)).where("emb_cos is not null").count() == 0
