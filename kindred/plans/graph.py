@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -72,7 +74,10 @@ class Graph:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return merge.merge_candidates(self.a_edges, self.b_edges)
+        """Both kinds of edges are independent, so their steps are written side by side."""
+        with ThreadPoolExecutor(2) as pool:
+            a, b = (pool.submit(inheritable_thread_target(self.tags.sparkSession)(f)) for f in (lambda: self.a_edges, lambda: self.b_edges))
+            return merge.merge_candidates(a.result(), b.result())
 
     @cached_property
     def decisions(self) -> DataFrame:
