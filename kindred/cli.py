@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import os
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from kindred.functions import frontmatter, text
 from kindred.operators import merge, report, reporttext
 from kindred.plans.graph import Graph
 from kindred.sources import corpus, embeddings, sinks
-from kindred.sources.shared import written
+from kindred.sources.shared import shared_dir, written
 
 
 def parser() -> argparse.ArgumentParser:
@@ -118,7 +119,10 @@ def main(argv: list[str] | None = None) -> None:
     cfg = resolve(a.vault_root, a.reports_rel, tuple(a.folders), tuple(a.protected), a.cache_dir, a.db_path, a.a_veto_cos)
     key = os.environ.get("OPENAI_API_KEY")
     provider = embeddings.http_provider(a.embed_url, a.embed_model, key) if key else None
-    run(SparkSession.builder.appName("kindred").getOrCreate(), cfg, provider, a.apply, a.limit_embed, a.seed, requesters=a.requesters)
+    spark = SparkSession.builder.appName("kindred").getOrCreate()
+    if not (a.cache_dir or spark.sparkContext.master.startswith("local")):  # executors share no temporary folder
+        cfg = replace(cfg, cache_dir=f"{shared_dir(spark)}/kindred")
+    run(spark, cfg, provider, a.apply, a.limit_embed, a.seed, requesters=a.requesters)
 
 
 if __name__ == "__main__":

@@ -49,7 +49,8 @@ class Settings:
         return f"{self.cache_dir}/edges.json"
 
     def ensure_cache_dir(self) -> None:
-        Path(self.cache_dir).mkdir(parents=True, exist_ok=True)
+        if "://" not in self.cache_dir:  # elsewhere Spark's writers make it
+            Path(self.cache_dir).mkdir(parents=True, exist_ok=True)
 
 
 def resolve(

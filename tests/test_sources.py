@@ -205,3 +205,17 @@ def test_renames_that_break_off_are_finished(spark, vault, monkeypatch):
     assert sinks.recover_notes(spark, str(vault)) == len(ENDS) - 1 - 3
     assert [(vault / f"n{i}.md").read_bytes() for i in range(len(ENDS)) if i != 5] == [t.encode() for i, t in enumerate(ENDS) if i != 5]
     assert len(list(vault.iterdir())) == len(ENDS) and sinks.recover_notes(spark, str(vault / "none")) == 0
+
+
+def test_cache_folder_on_a_cluster(spark, tmp_path, monkeypatch):
+    from kindred import cli, config
+
+    seen = []
+    monkeypatch.setattr(cli, "run", lambda spark, cfg, *a, **k: seen.append(cfg.cache_dir))
+    flags = ["--vault-root", str(tmp_path), "--db-path", str(tmp_path)]
+    cli.main(flags)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
+    cli.main(flags)
+    cli.main([*flags, "--cache-dir", "/given"])
+    assert seen == [config.resolve(str(tmp_path), db_path=str(tmp_path)).cache_dir, spark.conf.get("spark.checkpoint.dir") + "/kindred", "/given"]
+    config.Settings("/v", cache_dir="hdfs://h/c").ensure_cache_dir()
