@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
@@ -40,27 +41,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Paths handed out while a scope is open; see noted().
-_open: list[list[str]] = []
+#: Paths handed out while a scope of this thread is open; see noted().
+_open: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scratch", default=())
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for scope in _open:
+    for scope in _open.get():
         scope.append(path)
     return path
 
 
 @contextlib.contextmanager
 def noted() -> Iterator[list[str]]:
-    """The scratch paths handed out meanwhile, for whoever opened the scope to drop once a result is written."""
+    """The scratch paths handed out meanwhile to this thread, for whoever opened the scope to drop once a result is written."""
     scope: list[str] = []
-    _open.append(scope)
+    token = _open.set((*_open.get(), scope))
     try:
         yield scope
     finally:
-        _open.remove(scope)
+        _open.reset(token)
 
 
 def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
