@@ -19,13 +19,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import partition_id, partitions, scratch, small, table, written
+from kindred.llm.common import partition_id, partitions, scratch, settled, small, table, written
 from kindred.llm.tokenfiles import opened
 
 MAGIC = 0x184D2A5D
 #: Payloads below this many bytes are always archived as they are.
 LEAST = 100
 ROLL, DICT_BYTES, LEVEL = 16 << 20, 64 << 10, 3
+#: Bytes of repeated digests and their ids that are broadcast; beyond, payloads meet them by digest.
+BROADCAST = 64 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
@@ -94,15 +96,18 @@ def records(data: bytes) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def roles(pages: DataFrame, id_col: str, payload: str) -> DataFrame:
+def roles(pages: DataFrame, id_col: str, payload: str, broadcast: int = BROADCAST) -> DataFrame:
     """pages with digest and refers_to (null for responses).
 
-    Only (digest, smallest id) of payloads that occur more than once is joined back; the join's left side can be split.
+    Repeated digests are found from (digest, id) alone. They and their smallest ids are broadcast if they have at most
+    `broadcast` bytes, so payloads stay where they are read; otherwise they are joined, and the join's left side can be split.
     """
     p = pages.withColumn("digest", F.sha2(payload, 256))
     same = p.where(F.octet_length(payload) >= LEAST).groupBy("digest").agg(F.min(id_col).alias("low"), F.count("*").alias("n")).where("n > 1").select("digest", "low")
+    same = written(same, "repeated")
+    held = same.agg(F.sum(64 + F.coalesce(F.octet_length(F.col("low").cast("string")), F.lit(0)))).first()[0] or 0
     later = (F.octet_length(payload) >= LEAST) & F.col("low").isNotNull() & (F.col(id_col).isNull() | (F.col(id_col) > F.col("low")))
-    return p.join(same, "digest", "left").withColumn("refers_to", F.when(later, F.col("low"))).drop("low")
+    return p.join(F.broadcast(same) if held <= broadcast else same.hint("shuffle_hash"), "digest", "left").withColumn("refers_to", F.when(later, F.col("low"))).drop("low")
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll: int = ROLL) -> DataFrame:
@@ -113,7 +118,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     no target, null ids an empty name. Archives count once their task's manifest rows are committed; other columns are ignored.
     """
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = roles(src, "id", "payload").select(F.col("id").cast("string").alias("id"), "payload", "url", "digest", F.col("refers_to").cast("string").alias("refers_to"))
+    make = lambda: roles(src, "id", "payload").select(F.col("id").cast("string").alias("id"), "payload", "url", "digest", F.col("refers_to").cast("string").alias("refers_to")).mapInArrow(run, "path string, n_records long, n_bytes long")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -134,7 +139,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         if held:
             yield put()
 
-    return written(rows.mapInArrow(run, "path string, n_records long, n_bytes long"), "manifest")
+    return settled(pages.sparkSession, make, "manifest")
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
