@@ -15,6 +15,8 @@ from kindred.llm.common import partition_id, partitions, scratch, small, table,
 from kindred.llm.tokens import encoder, vocabulary
 
 END = 2
+#: Bytes and documents at which a token file is closed and the next one begun, and runs of blocks read for each partition.
+ROLL, DOCS, RUNS = 256 << 20, 1 << 20, 16
 
 
 def opened(path: str, mode: str):
@@ -70,10 +72,11 @@ def id_counts(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END) -> DataFrame:
-    """Write token files below `folder` in ascending id order; their manifest: (part, path, n_docs, n_tokens, n_blocks, start).
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END, roll: int = ROLL, docs_a_file: int = DOCS) -> DataFrame:
+    """Write token files below `folder` in ascending id order; their manifest: (part, piece, path, n_docs, n_tokens, n_blocks, start).
 
-    `start` counts the ids of all files before. A file is named by attempt and counts only once its task's
+    `start` counts the ids of all files before. Each range of ids (part) is a run of files (piece) that are closed at `roll`
+    bytes or `docs_a_file` documents, so neither a file nor what its writer and readers hold grows with the corpus. A file is named by attempt and counts only once its task's
     manifest row is committed, so repeated and lost tasks leave no duplicates. Null ids come first, rows of
     equal id in the order of their ids' bytes; null texts are empty ones. An empty table gives no rows. Other columns
     are ignored. Ids are numbers or texts of numbers, as files hold 64-bit ids; other texts are refused.
@@ -82,29 +85,40 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     counts = id_counts(ids)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, w, f = f"{folder}/tokens-{partition_id():06d}-{uuid.uuid4().hex}.rans", None, None
+        name, tables, piece, w = f"{folder}/tokens-{partition_id():06d}-{uuid.uuid4().hex}", None, 0, None
+
+        def closed() -> pa.RecordBatch:
+            w.close()
+            w.f.close()
+            cols = ([partition_id()], pa.int32()), ([piece], pa.int32()), ([path], pa.string()), ([len(w.docs)], pa.int64()), ([w.total], pa.int64()), ([len(w.blocks)], pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(*c) for c in cols], names=["part", "piece", "path", "n_docs", "n_tokens", "n_blocks"])
+
         for b in batches:
             for key, data in zip(b.column(0).to_pylist(), b.column(1)):
                 if w is None:
-                    f = opened(path, "w")
-                    w = rans.Writer(f, rans.Tables(counts), counts)
+                    path, tables = f"{name}-{piece:06d}.rans", tables or rans.Tables(counts)
+                    w = rans.Writer(opened(path, "w"), tables, counts)
                 w.append(key, unpacked(data.as_py()))
+                if w.at >= roll or len(w.docs) >= docs_a_file:
+                    yield closed()
+                    piece, w = piece + 1, None
         if w is not None:
-            w.close()
-            f.close()
-            yield pa.RecordBatch.from_arrays([pa.array([partition_id()], pa.int32()), pa.array([path]), pa.array([len(w.docs)], pa.int64()), pa.array([w.total], pa.int64()), pa.array([len(w.blocks)], pa.int32())], names=["part", "path", "n_docs", "n_tokens", "n_blocks"])
+            yield closed()
 
     ordered = ids.repartitionByRange(partitions(docs.sparkSession), "id").sortWithinPartitions("id", "ids")
-    files = written(ordered.mapInArrow(run, "part int, path string, n_docs long, n_tokens long, n_blocks int"), "manifest")
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = written(ordered.mapInArrow(run, "part int, piece int, path string, n_docs long, n_tokens long, n_blocks int"), "manifest")
+    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return written(files.withColumn("start", before), "manifest")  # a row for each file
 
 
 def read_tokens(manifest: DataFrame, blocks: int = 4) -> DataFrame:
     """(id, start, n_tokens, ids binary, little-endian unsigned 32-bit) of every document in the manifest's files.
 
-    Tasks are dealt runs of `blocks` checkpoints, not files; each decodes its own and what its last document has behind them.
+    Tasks are dealt runs of checkpoints, not files; each decodes its own and what its last document has behind them. A run has
+    `blocks` of them, or more where that would make over RUNS runs for each partition.
     """
+    total = manifest.agg(F.sum("n_blocks")).first()[0] or 0
+    blocks = max(blocks, -(-total // (RUNS * partitions(manifest.sparkSession))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(rows: list) -> pa.RecordBatch:
