@@ -13,6 +13,9 @@ meet at equal anchors, and only the suffixes at anchors (about one in 69) need s
    to be shared, and compares from there on. The merge yields the common prefix of neighbours.
 5. Suffixes sharing a whole anchor are compared to the left as well; a string repeats if some other
    occurrence agrees on both sides of the anchor over LENGTH bytes together. Nothing rests on hashes alone.
+
+An anchor of over HOT occurrences is split: each string that it serves is sorted as a suffix of its own, under a
+hash of all its bytes, so contexts that differ never meet, and of equal strings one goes on from each run.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +37,10 @@ LENGTH, GRAM = 200, 64
 GROUP, SEGMENT = 1 << 18, 1 << 23
 #: Bytes of suffixes a task sorts into one run, and of texts a range of the merge stands for.
 RUN, RANGE = 48 << 20, 256 << 20
+#: Anchors a task holds at once, and occurrences of one above which it is split.
+HELD, HOT = 1 << 22, 1 << 16
+#: Hashes of hot anchors that are broadcast at most.
+BROADCAST = 1 << 20
 _MULT, _MIX = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 _powers: dict[str, np.ndarray] = {}
 
@@ -139,9 +147,19 @@ def _numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lane, pa.int32()), b.column(2)], names=["key", "uid", "lane", "t"])
 
 
+def buckets(size: int, least: int, most: int) -> int:
+    """How many buckets texts of `size` bytes are written in."""
+    return min(max(least, -(-size // RANGE)), max(least, most))
+
+
 def distinct_texts(docs: DataFrame, text_col: str, name: str, path: str) -> DataFrame:
-    """Each different text once: (key SHA-256, uid its first 8 bytes, lane, t binary), as table `name` in buckets by uid."""
-    spark, n = docs.sparkSession, partitions(docs.sparkSession)
+    """Each different text once: (key SHA-256, uid its first 8 bytes, lane, t binary), as table `name` in buckets by uid.
+
+    Buckets grow in number with the bytes, up to as many as Spark allows a table.
+    """
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("binary")).cast("long"))).first()[0] or 0
+    n = buckets(size, partitions(spark), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     t = docs.select(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("t")).where(F.octet_length("t") >= LENGTH)
     t = t.select(F.unhex(F.sha2("t", 256)).alias("key"), "t")
     t = t.select("key", F.conv(F.hex(F.substring("key", 2, 7)), 16, 10).cast("long").alias("uid"), "t")
@@ -156,18 +174,25 @@ def distinct_texts(docs: DataFrame, text_col: str, name: str, path: str) -> Data
 def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(w, known, uid, h, n) for a task's anchors.
 
-    An anchor that the task meets once goes out by its hash. One that it meets more often is known to
-    repeat: it goes straight back to its texts, and a single row tells other tasks, so a hash that every text
-    has still makes only one row a task.
+    An anchor that the task meets once among HELD goes out by its hash. One that it meets more often is known to
+    repeat: it goes straight back to its texts, and a single row tells other tasks how often it was met, so a hash that
+    every text has still makes only one row for each HELD anchors.
     """
-    parts = []
+    parts, held = [], 0
     for b in small(batches, 1):
         uid = b.column(0).to_numpy()
         for t, _, _, _, h in _found([x.as_py() for x in b.column(1)]):
             parts.append((h.view(np.int64), uid[t]))
-    if not parts:
-        return
-    h, uid = (np.concatenate(c) for c in zip(*parts))
+            held += len(h)
+            if held >= HELD:
+                yield from _told(*(np.concatenate(c) for c in zip(*parts)))
+                parts, held = [], 0
+    if parts:
+        yield from _told(*(np.concatenate(c) for c in zip(*parts)))
+
+
+def _told(h: np.ndarray, uid: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of _anchor_rows for some anchors and their texts."""
     order = np.argsort(h, kind="stable")
     h, uid = h[order], uid[order]
     first = np.flatnonzero(np.concatenate([[True], np.diff(h) != 0]))
@@ -179,17 +204,20 @@ def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = np.concatenate([np.zeros(one.sum() + len(rep), bool), np.ones(len(pairs), bool)])
     u = np.concatenate([uid[one], np.zeros(len(rep), np.int64), pairs[:, 0]])
     hs = np.concatenate([h[one], h[rep], pairs[:, 1]])
-    count = np.concatenate([np.ones(one.sum(), np.int8), np.full(len(rep), 2, np.int8), np.zeros(len(pairs), np.int8)])
+    count = np.concatenate([np.ones(one.sum(), np.int64), n[n > 1], np.zeros(len(pairs), np.int64)])
     for i in range(0, len(w), 1 << 16):
         yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in (w, known, u, hs, count)], names=["w", "known", "uid", "h", "n"])
 
 
-def repeated_anchors(texts: DataFrame) -> DataFrame:
-    """(uid, hs): for each text with any, the anchor hashes that occur at two places or more."""
-    rows = texts.select("uid", "t").mapInArrow(_anchor_rows, "w long, known boolean, uid long, h long, n tinyint")
+def repeated_anchors(texts: DataFrame, hot: int = HOT) -> DataFrame:
+    """(uid, hs, hot): for each text with any, the anchor hashes that occur at two places or more, and those met over `hot` times."""
+    rows = written(texts.select("uid", "t").mapInArrow(_anchor_rows, "w long, known boolean, uid long, h long, n long"), "anchors")
+    many = written(rows.where("not known").groupBy("h").agg(F.sum("n").alias("total")).where(F.col("total") > hot).select("h", F.lit(True).alias("hot")), "hot")
     total = rows.withColumn("total", F.sum("n").over(Window.partitionBy("w", "known")))
-    kept = total.where("known or (n = 1 and total >= 2)")
-    return kept.groupBy("uid").agg(F.collect_list("h").alias("hs"))  # as many as the text's own anchors
+    kept = total.where("known or (n = 1 and total >= 2)").select("uid", "h")
+    n = many.count()
+    kept = kept.join(F.broadcast(many) if n <= BROADCAST else many, "h", "left") if n else kept.withColumn("hot", F.lit(None).cast("boolean"))
+    return kept.groupBy("uid").agg(F.collect_list("h").alias("hs"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot"))  # as many as the text's own anchors
 
 
 # 3. Sorted runs --------------------------------------------------------------------------------
@@ -266,6 +294,7 @@ def _runs(ranges: int):
             uid, lane = b.column(0).to_pylist(), b.column(1).to_pylist()
             texts = [x.as_py() for x in b.column(2)]
             wanted = [np.sort(np.array(x, np.int64)) for x in b.column(3).to_pylist()]
+            hot = [set(x) for x in b.column(4).to_pylist()]
             for number, a, lo, hi, h in _found(texts):
                 cuts = np.flatnonzero(np.concatenate([[True], np.diff(number) != 0]))
                 for i, j in zip(cuts, [*cuts[1:], len(number)]):
@@ -274,6 +303,15 @@ def _runs(ranges: int):
                     at = np.minimum(np.searchsorted(want, mine), len(want) - 1)
                     for m in (np.flatnonzero(want[at] == mine) + i).tolist():
                         p, first, last = int(a[m]), int(lo[m]), int(hi[m])
+                        if hot[k] and int(h[m : m + 1].view(np.int64)[0]) in hot[k]:
+                            for s in range(first, last + 1):
+                                one = t[s : s + LENGTH]
+                                held.append((xxhash.xxh64_digest(one) + one, b"", 0, uid[k], lane[k] << 48 | s))
+                            size += (last + 1 - first) * (LENGTH + 200)
+                            if size >= RUN:
+                                yield coded(held)
+                                held, size = [], 0
+                            continue
                         held.append((int(h[m]).to_bytes(8) + t[p : last + LENGTH], t[first:p], p - last, uid[k], lane[k] << 48 | p))
                         size += 200 + last - first
                 if size >= RUN:
@@ -435,14 +473,14 @@ def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flush()
 
 
-def repeated_starts(texts: DataFrame) -> DataFrame:
+def repeated_starts(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """(uid, spans of (lo, hi)): starts of the strings of LENGTH bytes that start elsewhere too; the lane is in the high bits.
 
     Ranges grow in number with the texts, so that a task's runs don't grow with them.
     """
     size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(partitions(texts.sparkSession), -(-size // RANGE))
-    runs = texts.join(repeated_anchors(texts).hint("shuffle_hash"), "uid").select("uid", "lane", "t", "hs").mapInArrow(_runs(n), "range int, run binary, known boolean")
+    runs = texts.join(repeated_anchors(texts, hot).hint("shuffle_hash"), "uid").select("uid", "lane", "t", "hs", "hot").mapInArrow(_runs(n), "range int, run binary, known boolean")
     found = runs.repartitionById(n, F.col("range")).mapInArrow(_merged, "uid long, lo long, hi long")
     return found.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
@@ -466,7 +504,7 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(text, pa.string()), pa.array(spans, kind)], names=["key", "kept", "text", "spans"])
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", derive: dict[str, Column] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", derive: dict[str, Column] | None = None, keep: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """(id, *keep, n_bytes, kept binary, spans): every row's UTF-8 bytes without those covered by a repeated string.
 
     A string of LENGTH bytes repeats if it also starts anywhere else in the input, in the same row or another;
@@ -484,7 +522,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def make(name: str, path: str) -> DataFrame:
         texts = distinct_texts(docs, text_col, name, path)
-        spans = written(repeated_starts(texts), "repeats")
+        spans = written(repeated_starts(texts, hot), "repeats")
         cut = texts.join(spans.hint("shuffle_hash"), "uid", "left").select("key", "lane", "t", "spans").mapInArrow(_cut, "key binary, kept binary, text string, spans array<struct<start:bigint,end:bigint>>")
         copies = rows.where(F.col("n_bytes") >= LENGTH).groupBy("key").agg(F.count("*").alias("copies"))
         return cut.select("key", F.struct(*(c.alias(n) for n, c in extra.items())).alias("found")).join(copies.where("copies = 1").select("key"), "key")

@@ -162,7 +162,7 @@ def brute_repeats(rows: list[bytes]) -> list[list[tuple[int, int]]]:
     return out
 
 
-def test_suffix_dedup(docs, none):
+def test_suffix_dedup(docs, none, monkeypatch):
     rows = [(i, (t or "").encode()) for i, t, _ in texts()]
     want = Counter()
     for (i, t), spans in zip(rows, brute_repeats([t for _, t in rows])):
@@ -170,6 +170,8 @@ def test_suffix_dedup(docs, none):
         want[i, len(t), b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2])), tuple(spans)] += 1
     got = suffixes.suffix_dedup(docs, keep=("lang",))
     assert Counter((r["id"], r["n_bytes"], bytes(r["kept"]), tuple(map(tuple, r["spans"]))) for r in got.collect()) == want
+    split = suffixes.suffix_dedup(docs, keep=("lang",), hot=1)  # every repeated anchor is split
+    assert Counter((r["id"], r["n_bytes"], bytes(r["kept"]), tuple(map(tuple, r["spans"]))) for r in split.collect()) == want
     clash = suffixes.suffix_dedup(docs, keep=("key", "fp", "uid"))
     assert clash.columns == ["id", "key", "fp", "uid", "n_bytes", "kept", "spans"] and clash.where("key = 'k' and fp = 'fp'").count() == docs.count()
     assert suffixes.suffix_dedup(none).count() == 0
