@@ -211,11 +211,11 @@ def _told(h: np.ndarray, uid: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 def repeated_anchors(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """(uid, hs, hot): for each text with any, the anchor hashes that occur at two places or more, and those met over `hot` times."""
-    rows = written(texts.select("uid", "t").mapInArrow(_anchor_rows, "w long, known boolean, uid long, h long, n long"), "anchors")
-    many = written(rows.where("not known").groupBy("h").agg(F.sum("n").alias("total")).where(F.col("total") > hot).select("h", F.lit(True).alias("hot")), "hot")
+    rows = texts.select("uid", "t").mapInArrow(_anchor_rows, "w long, known boolean, uid long, h long, n long")
     total = rows.withColumn("total", F.sum("n").over(Window.partitionBy("w", "known")))
-    kept = total.where("known or (n = 1 and total >= 2)").select("uid", "h")
-    n = many.count()
+    found = written(total.where("known or total >= 2").select("uid", "h", "n", "total"), "anchors")  # known ones have n = 0
+    many = written(found.where(F.col("total") > hot).select("h").distinct().withColumn("hot", F.lit(True)), "hot")
+    kept, n = found.where("n < 2").select("uid", "h"), many.count()
     kept = kept.join(F.broadcast(many) if n <= BROADCAST else many, "h", "left") if n else kept.withColumn("hot", F.lit(None).cast("boolean"))
     return kept.groupBy("uid").agg(F.collect_list("h").alias("hs"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot"))  # as many as the text's own anchors
 
