@@ -15,7 +15,9 @@ meet at equal anchors, and only the suffixes at anchors (about one in 69) need s
    occurrence agrees on both sides of the anchor over LENGTH bytes together. Nothing rests on hashes alone.
 
 An anchor of over HOT occurrences is split: each string that it serves is sorted as a suffix of its own, under a
-hash of all its bytes, so contexts that differ never meet, and of equal strings one goes on from each run.
+hash of all its bytes, so contexts that differ never meet, and of equal strings one goes on from each run. The others
+are known to repeat, and so is that one; their starts go back as spans, joined where they touch, and the merge tells only
+strings that a run has once, so a hot anchor costs no row a string.
 """
 
 from __future__ import annotations
@@ -233,8 +235,9 @@ def shared(a: bytes, b: bytes, known: int = 0) -> int:
 
 
 #: key (hash, then the bytes from the anchor on), bytes before the anchor back to the first start, distance
-#: from the anchor to the last start, uid, position (lane in the high bits).
+#: from the anchor to the last start, uid (TOLD if its own starts are known to repeat), position (lane in the high bits).
 Suffix = tuple[bytes, bytes, int, int, int]
+TOLD = -1
 
 
 def front_code(run: list[Suffix]) -> bytes:
@@ -268,6 +271,17 @@ def decode(data: bytes) -> Iterator[tuple[int, Suffix]]:
         behind += left[i]
 
 
+def coalesced(spans: np.ndarray) -> np.ndarray:
+    """(uid, lo, hi) rows with those of one text that overlap or touch as one, in order; lanes, in the high bits, stay apart."""
+    uid, lo, hi = spans[np.lexsort((spans[:, 1], spans[:, 0]))].T
+    if not len(uid):
+        return spans
+    text = np.flatnonzero(np.concatenate([[True], np.diff(uid) != 0]))
+    upto = np.concatenate([np.maximum.accumulate(part) for part in np.split(hi, text[1:])])
+    new = np.concatenate([[True], (np.diff(uid) != 0) | (lo[1:] > upto[:-1] + 1)])
+    return np.stack([uid[new], lo[new], upto[np.concatenate([new[1:], [True]])]], 1)
+
+
 def _runs(ranges: int):
     """Texts with their repeated anchors' hashes to front-coded sorted runs, one for each range of hashes met."""
 
@@ -277,7 +291,7 @@ def _runs(ranges: int):
         for s in held:  # of suffixes equal on both sides one goes on, the rest are known to repeat
             if last and s[:3] == last[:3]:
                 known += [(x[3], x[4] - len(x[1]), x[4] - x[2]) for x in ((s,) if equal else (last, s))]
-                equal = True
+                run[-1], equal = (*last[:3], TOLD, 0), True
             else:
                 run.append(s)
                 last, equal = s, False
@@ -285,7 +299,7 @@ def _runs(ranges: int):
         cut = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(run)]
         pairs = [(to[i], front_code(run[i:j]), False) for i, j in zip(cut, cut[1:]) if i < j]
         if known:
-            pairs.append((partition_id() % ranges, zstandard.ZstdCompressor(level=1).compress(np.array(known, "<i8").tobytes()), True))
+            pairs.append((partition_id() % ranges, zstandard.ZstdCompressor(level=1).compress(coalesced(np.array(known, "<i8")).tobytes()), True))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*pairs), (pa.int32(), pa.binary(), pa.bool_()))], names=["range", "run", "known"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,7 +466,8 @@ def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple[int, int, int]] = []
 
     def flush() -> pa.RecordBatch:
-        cols = np.array(out, np.int64).reshape(-1, 3).T
+        found = np.array(out, np.int64).reshape(-1, 3)
+        cols = coalesced(found[found[:, 0] != TOLD]).T
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["uid", "lo", "hi"])
 

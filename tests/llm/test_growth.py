@@ -49,6 +49,25 @@ def test_contexts_of_a_hot_anchor_meet_only_where_they_are_equal(spark):
     assert max(len(k) for k, _ in split.values()) <= 300
 
 
+def test_spans_that_touch_are_one_and_lanes_stay_apart():
+    lane = 1 << 48
+    spans = [(7, 5, 5), (7, 4, 4), (2, 0, 9), (7, 6, 8), (7, 10, 10), (7, lane, lane), (2, 3, 4), (2, 10, 11), (8, 9, 9)]
+    assert suffixes.coalesced(np.array(spans)).tolist() == [[2, 0, 11], [7, 4, 8], [7, 10, 10], [7, lane, lane], [8, 9, 9]]
+    assert suffixes.coalesced(np.empty((0, 3), np.int64)).shape == (0, 3)
+
+
+def test_strings_of_a_hot_anchor_make_no_row_each(spark):
+    r = random.Random(9)
+    line = "".join(r.choices("abcdefgh ", k=900))
+    rows = [(i, "".join(r.choices("ijklmnop ", k=300)), line + "".join(r.choices("qrstuvw ", k=300))) for i in range(200)]
+    docs = spark.createDataFrame([(i, a + b) for i, a, b in rows], "doc_id long, text string").coalesce(1)
+    texts = docs.selectExpr("doc_id uid", "0 lane", "cast(text as binary) t")
+    spans = [[(x["lo"], x["hi"]) for x in row["spans"]] for row in suffixes.repeated_starts(texts, hot=100).collect()]
+    starts = [{p for lo, hi in s for p in range(lo, hi + 1)} for s in spans]
+    assert len(starts) == 200 and all(set(range(300, 1001)) <= s for s in starts)  # 701 strings a text
+    assert sum(map(len, spans)) < 20 * len(spans)
+
+
 @pytest.mark.parametrize("kw", [{"roll": 1}, {"docs_a_file": 3}])
 def test_token_files_roll(spark, kw):
     path = vocabulary("byte_bpe_50k.json")
