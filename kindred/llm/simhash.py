@@ -6,10 +6,15 @@ the Hamming ball of radius 1 around each. A pair that differs by one bit in a se
 the side whose bit is set, so only downward flips are enumerated: about 34 short rows a fingerprint,
 however many there are. Entries meet by a shuffle on the segment value; complete distances are
 verified there, and each meeting emits a spanning forest of its links, never all pairs.
+
+For similarities well below those of 3 bits (`wide_*`, the pipeline's stage) fingerprints are wider: SKETCH bits whose
+distance is verified, and as many further segments, of a width that the corpus sets, as a pair at the similarity needs to
+agree in one of them. There more segments reach a pair with fewer entries than balls around them, so their radius is 0.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,6 +30,11 @@ RADIUS = 3
 BLOCK = 4096
 #: Hot segment values (16 bytes each) up to which they are broadcast.
 BROADCAST = 1_000_000
+#: Wide fingerprints: verified bits, the distance up to which they link, and the share of bits that differ at a similarity
+#: of 0.8, the highest of all set sizes (0.150 for large sets, 0.157 for 13 and 14 shingles).
+SKETCH, WIDE_RADIUS, FLIP = 128, 39, 0.1575
+#: Share of pairs at that similarity that may agree in no segment, and fingerprints that share a segment's value by chance.
+LOSS, CROWD = 1e-5, 256
 
 
 def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
@@ -158,6 +168,17 @@ def hot_keys(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return total.where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("n"))
 
 
+def _in_parts(e: DataFrame, hot: DataFrame, broadcast: int) -> DataFrame:
+    """Entries with the parts they meet in: 0, or for the `hot` keys, dealt to n blocks, every pair of blocks with their own."""
+    rows = hot.count()
+    if not rows:
+        return e.withColumn("part", F.lit(0))
+    e = e.join(F.broadcast(hot) if rows <= broadcast else hot, "key", "left")
+    own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least(j, own) * F.col("n") + F.greatest(j, own))
+    return e.withColumn("part", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(pairs)))
+
+
 def link(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, broadcast: int = BROADCAST) -> DataFrame:
     """Links (a, b) that connect distinct fingerprints (column fp) as all pairs within `radius` bits (at most 3) would.
 
@@ -168,18 +189,126 @@ def link(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, broadcast: in
         raise ValueError("two segments with balls of radius 1 cover at most 3 bits")
     e = fps.select("fp").mapInArrow(_entries, "key long, fp long, filed boolean")
     hot = written(hot_keys(fps, block), "hot")
-    rows = hot.count()
-    if not rows:
-        e = e.select("key", F.lit(0).alias("part"), "fp", "filed")
-    else:
-        e = e.join(F.broadcast(hot) if rows <= broadcast else hot, "key", "left")
-        own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least(j, own) * F.col("n") + F.greatest(j, own))
-        e = e.select("key", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("part"), "fp", "filed")
+    e = _in_parts(e, hot, broadcast).select("key", "part", "fp", "filed")
     n = partitions(fps.sparkSession)
     return e.repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(_meet(radius), "a long, b long")
 
 
+def wide_plan(n: int) -> tuple[int, int]:
+    """(width, number) of the segments for n fingerprints: wide enough that at most CROWD share a value by chance, so many that LOSS holds."""
+    width = max(10, math.ceil(math.log2(max(n, 1) / CROWD)))
+    return width, math.ceil(math.log(1 / LOSS) / (1 - FLIP) ** width)
+
+
+def wide_fingerprint(shingles: np.ndarray, words: int) -> np.ndarray:
+    """The SimHash in `words` * 64 bits, as bytes, of a set of shingles' hashes; a constant shingle is added, so small sets tie less."""
+    seeds = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    s = np.concatenate([np.array([0x5851F42D4C957F2D], np.uint64), shingles])
+    total = np.zeros(words * 64, np.int64)
+    for at in range(0, len(s), 255):  # a byte counts that far
+        h = (s[at : at + 255, None] ^ seeds) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(29)
+        total += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").view(np.uint64), axis=0).view(np.uint8)
+    return np.packbits(2 * total > len(s), bitorder="little")
+
+
+def _wide_entries(width: int, number: int):
+    """File each fingerprint under the values of its segments."""
+    weights, segment = 1 << np.arange(width, dtype=np.int64), np.arange(number, dtype=np.int64) << width
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                bits = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                sketch = bits[:, : SKETCH // 8].copy().view(np.int64)
+                value = np.unpackbits(bits[:, SKETCH // 8 :], axis=1, count=width * number, bitorder="little").reshape(-1, number, width) @ weights
+                cols = ((value | segment).ravel(), *(np.repeat(c, number) for c in (b.column(0).to_numpy(), sketch[:, 0], sketch[:, 1])))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "fp", "s0", "s1"])
+
+    return run
+
+
+def _wide_forest(fp: np.ndarray, sketch: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links that connect the fingerprints as all pairs within the radius would: the pairs while they are few, else stars.
+
+    A star is around its least fingerprint, so the values that one large group meets under name mostly the same few links.
+    """
+    m = len(fp)
+    if m <= 512:
+        near = np.triu(np.bitwise_count(sketch[:, None] ^ sketch).sum(axis=2, dtype=np.uint16) <= radius, 1)
+        x, y = np.nonzero(near)
+        if len(x) < m:
+            return list(zip(fp[x].tolist(), fp[y].tolist()))
+    out, group, todo = [], [], []
+    while len(fp) or todo:
+        if not todo:
+            group, todo = [int(fp[0])], [sketch[0]]
+            fp, sketch = fp[1:], sketch[1:]
+        near = np.bitwise_count(sketch ^ todo.pop()).sum(axis=1) <= radius
+        if near.any():
+            group += fp[near].tolist()
+            todo += list(sketch[near])
+            fp, sketch = fp[~near], sketch[~near]
+        if not todo and len(group) > 1:
+            low = min(group)
+            out += [(low, x) for x in group if x != low]
+    return out
+
+
+def _wide_meet(radius: int):
+    """Groups of equal (key, part), sorted, to links; a group may run over batches."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        pairs: list[tuple[int, int]] = []
+
+        def close() -> None:
+            fp, sketch = (np.concatenate(c) for c in zip(*held))
+            if len(fp) > 1:
+                pairs.extend(_wide_forest(fp, sketch, radius))
+            held.clear()
+
+        def out() -> pa.RecordBatch:
+            p = np.unique(np.sort(np.array(pairs, np.int64).reshape(-1, 2), axis=1), axis=0)
+            pairs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, part, fp, s0, s1 = (c.to_numpy() for c in b.columns)
+            sketch = np.stack([s0, s1], 1).view(np.uint64)
+            cut = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(part) != 0)) + 1).tolist(), len(key)]
+            if held and last != (key[0], part[0]):
+                close()
+            for i, j in zip(cut, cut[1:]):
+                held.append((fp[i:j], sketch[i:j]))
+                if j < len(key):
+                    close()
+            last = (key[-1], part[-1])
+            if len(pairs) > 1 << 16:
+                yield out()
+        if held:
+            close()
+        yield out()
+
+    return run
+
+
+def wide_links(fps: DataFrame, width: int, number: int, radius: int = WIDE_RADIUS, block: int = BLOCK, broadcast: int = BROADCAST) -> DataFrame:
+    """Links (a, b) between distinct `fp` whose wide fingerprints (`bits`) agree in a segment and differ by `radius` bits of SKETCH at most.
+
+    They connect as all such pairs would. A value of over `block` fingerprints is split into blocks that meet in pairs.
+    """
+    e = fps.select("fp", "bits").mapInArrow(_wide_entries(width, number), "key long, fp long, s0 long, s1 long")
+    hot = written(e.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("n")), "hot")
+    e = _in_parts(e, hot, broadcast).select("key", "part", "fp", "s0", "s1")
+    return e.repartition(partitions(fps.sparkSession), "key", "part").sortWithinPartitions("key", "part").mapInArrow(_wide_meet(radius), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, radius: int = RADIUS) -> DataFrame:
     """(id, fp long, component, digest long): the group each row falls in, as the smallest id that links reach.
 

@@ -5,7 +5,8 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from kindred.llm import nearcopies
+from kindred.llm import nearcopies, simhash
+from kindred.llm.common import components
 
 WORDS = [f"wort{i}" for i in range(900)]
 
@@ -76,3 +77,54 @@ def test_band_keys_meet_as_often_as_expected():
         s = r.integers(0, 1 << 63, 110, np.uint64)
         met += len(set(nearcopies.keys(s[:99])) & set(nearcopies.keys(s[11:])))  # similarity 88/110 = 0.8
     assert abs(met / 300 / nearcopies.BANDS - 0.8**nearcopies.ROWS) < 0.03
+
+
+def test_wide_fingerprints_differ_and_meet_as_often_as_expected():
+    r = np.random.default_rng(3)
+    width, number = simhash.wide_plan(10_000)
+    words = -(-(simhash.SKETCH + width * number) // 64)
+    for common, own in ((400, 50), (12, 1)):  # similarity 400/500 and 12/14
+        apart, met, n = [], [], 300
+        for _ in range(n):
+            s = r.integers(0, 1 << 63, common + 2 * own, np.uint64)
+            a, b = (np.unpackbits(simhash.wide_fingerprint(x, words), bitorder="little") for x in (s[: common + own], s[own:]))
+            apart.append(int((a != b)[: simhash.SKETCH].sum()))
+            met.append(int((a == b)[simhash.SKETCH : simhash.SKETCH + width * number].reshape(number, width).all(axis=1).sum()))
+        share = np.mean(apart) / simhash.SKETCH
+        assert 0.09 < share < simhash.FLIP + 0.005 and max(apart) <= simhash.WIDE_RADIUS and min(met) > 0
+        assert abs(np.mean(met) / number - (1 - share) ** width) < 0.03
+    unlike = [simhash.wide_fingerprint(r.integers(0, 1 << 63, 300, np.uint64), 2).view(np.uint64) for _ in range(300)]
+    apart = [int(np.bitwise_count(a ^ b).sum()) for i, a in enumerate(unlike) for b in unlike[:i]]
+    assert abs(np.mean(apart) - 64) < 1.5 and min(apart) > simhash.WIDE_RADIUS - 3
+
+
+def test_segments_widen_with_the_corpus():
+    for n in (0, 1, 10**5, 10**7, 10**10):
+        width, number = simhash.wide_plan(n)
+        assert n / 2**width <= simhash.CROWD and (1 - (1 - simhash.FLIP) ** width) ** number <= simhash.LOSS * 1.1
+
+
+def test_pipeline_stage_finds_candidates_by_simhash(spark, monkeypatch):
+    called = []
+    links = nearcopies.wide_links
+    monkeypatch.setattr(nearcopies, "wide_links", lambda *a, **kw: called.append(a) or links(*a, **kw))
+    docs = spark.createDataFrame([(i, " ".join(WORDS[i // 2 * 100 : i // 2 * 100 + 90 + i % 2]), "en", "s", 1) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2, 4] and called
+
+
+def test_simhash_and_minhash_candidates_give_the_same_groups(spark):
+    rows = texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["id"]: r["component"] for r in nearcopies.near_copies(docs, find=nearcopies.by_minhash).collect()} == brute(rows)
+
+
+def test_wide_links_of_a_hot_value_are_the_same_in_blocks(spark):
+    r = random.Random(2)
+    base = r.choices(WORDS, k=150)
+    sets = [nearcopies.shingles(" ".join([*base[: i % 40], f"x{i}", *base[i % 40 :]]).encode()) for i in range(700)]
+    width, number = simhash.wide_plan(700)
+    words = -(-(simhash.SKETCH + width * number) // 64)
+    fps = spark.createDataFrame([(nearcopies.digest(s), bytearray(simhash.wide_fingerprint(s, words).tobytes())) for s in sets], "fp long, bits binary").repartition(3)
+    for block in (simhash.BLOCK, 100):
+        links = simhash.wide_links(fps, width, number, block=block)
+        assert {x["root"] for x in components(links).collect()} == {min(nearcopies.digest(s) for s in sets)}
