@@ -10,6 +10,8 @@ verified there, and each meeting emits a spanning forest of its links, never all
 For similarities well below those of 3 bits (`wide_*`, the pipeline's stage) fingerprints are wider: SKETCH bits whose
 distance is verified, and as many further segments, of a width that the corpus sets, as a pair at the similarity needs to
 agree in one of them. There more segments reach a pair with fewer entries than balls around them, so their radius is 0.
+The members of a large group share values of many segments, so links are taken from the first EARLY segments, and the others
+only tell links between what those leave apart: a text has a few links, however many segments there are and however large its group.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.common import components, partitions, settled, table, written
@@ -35,6 +37,8 @@ BROADCAST = 1_000_000
 SKETCH, WIDE_RADIUS, FLIP = 128, 39, 0.1575
 #: Share of pairs at that similarity that may agree in no segment, and fingerprints that share a segment's value by chance.
 LOSS, CROWD = 1e-5, 256
+#: Segments from which links are taken first; see wide_links().
+EARLY = 8
 
 
 def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
@@ -169,14 +173,25 @@ def hot_keys(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _in_parts(e: DataFrame, hot: DataFrame, broadcast: int) -> DataFrame:
-    """Entries with the parts they meet in: 0, or for the `hot` keys, dealt to n blocks, every pair of blocks with their own."""
+    """Entries with the parts they meet in: 0, or for the `hot` keys, dealt to n blocks, every pair of blocks with their own; and sides()."""
     rows = hot.count()
     if not rows:
-        return e.withColumn("part", F.lit(0))
+        return e.withColumn("part", F.lit(0)).withColumn("side", F.lit(0))
     e = e.join(F.broadcast(hot) if rows <= broadcast else hot, "key", "left")
     own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least(j, own) * F.col("n") + F.greatest(j, own))
-    return e.withColumn("part", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(pairs)))
+    e = e.withColumn("part", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(parts(own, F.col("n")))))
+    return e.withColumn("side", F.when(F.col("n").isNull(), 0).otherwise(sides(F.col("part"), own, F.col("n"))))
+
+
+def parts(own: Column, n: Column) -> Column:
+    """The parts in which block `own` of n meets each block, itself included."""
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.least(j, own) * n + F.greatest(j, own))
+
+
+def sides(part: Column, own: Column, n: Column) -> Column:
+    """1 or 2 for the two blocks that meet in a part, 0 where a block meets itself."""
+    low, high = F.floor(part / n), part % n
+    return F.when(low == high, 0).when(own == high, 2).otherwise(1)
 
 
 def link(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, broadcast: int = BROADCAST) -> DataFrame:
@@ -214,48 +229,67 @@ def wide_fingerprint(shingles: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(2 * total > len(s), bitorder="little")
 
 
-def _wide_entries(width: int, number: int):
-    """File each fingerprint under the values of its segments."""
-    weights, segment = 1 << np.arange(width, dtype=np.int64), np.arange(number, dtype=np.int64) << width
+def _wide_entries(width: int, first: int, last: int):
+    """File each fingerprint under the values of its segments from `first` to before `last`."""
+    number = last - first
+    weights, segment = 1 << np.arange(width, dtype=np.int64), np.arange(first, last, dtype=np.int64) << width
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                bits = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                bits = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
                 sketch = bits[:, : SKETCH // 8].copy().view(np.int64)
-                value = np.unpackbits(bits[:, SKETCH // 8 :], axis=1, count=width * number, bitorder="little").reshape(-1, number, width) @ weights
-                cols = ((value | segment).ravel(), *(np.repeat(c, number) for c in (b.column(0).to_numpy(), sketch[:, 0], sketch[:, 1])))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "fp", "s0", "s1"])
+                value = np.unpackbits(bits[:, SKETCH // 8 :], axis=1, count=width * last, bitorder="little").reshape(-1, last, width)[:, first:] @ weights
+                cols = ((value | segment).ravel(), *(np.repeat(c, number) for c in (b.column(0).to_numpy(), b.column(1).to_numpy(), sketch[:, 0], sketch[:, 1])))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "fp", "name", "s0", "s1"])
 
     return run
 
 
-def _wide_forest(fp: np.ndarray, sketch: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that connect the fingerprints as all pairs within the radius would: the pairs while they are few, else stars.
-
-    A star is around its least fingerprint, so the values that one large group meets under name mostly the same few links.
-    """
-    m = len(fp)
-    if m <= 512:
-        near = np.triu(np.bitwise_count(sketch[:, None] ^ sketch).sum(axis=2, dtype=np.uint16) <= radius, 1)
-        x, y = np.nonzero(near)
-        if len(x) < m:
-            return list(zip(fp[x].tolist(), fp[y].tolist()))
-    out, group, todo = [], [], []
-    while len(fp) or todo:
+def _groups(sketch: np.ndarray, radius: int) -> np.ndarray:
+    """The number of the group of each sketch, as links within the radius make them, by breadth-first search."""
+    group, rest, todo, n = np.zeros(len(sketch), np.int64), np.arange(len(sketch)), [], -1
+    while len(rest):
         if not todo:
-            group, todo = [int(fp[0])], [sketch[0]]
-            fp, sketch = fp[1:], sketch[1:]
+            n += 1
+            group[rest[0]], todo = n, [sketch[0]]
+            rest, sketch = rest[1:], sketch[1:]
         near = np.bitwise_count(sketch ^ todo.pop()).sum(axis=1) <= radius
         if near.any():
-            group += fp[near].tolist()
+            group[rest[near]] = n
             todo += list(sketch[near])
-            fp, sketch = fp[~near], sketch[~near]
-        if not todo and len(group) > 1:
-            low = min(group)
-            out += [(low, x) for x in group if x != low]
-    return out
+            rest, sketch = rest[~near], sketch[~near]
+    return group
+
+
+def _least(name: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The least name of each row's group."""
+    low = np.full(group.max(initial=-1) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(low, group, name)
+    return low[group]
+
+
+def _wide_forest(name: np.ndarray, sketch: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links between different names that connect them as all pairs within the radius would: the pairs while they are few, else stars.
+
+    A star is around its least name, so the values that one large group meets under tell mostly the same few links. Where two
+    blocks meet, each has its own links from the part where it meets itself, and only links between their groups are told.
+    """
+    if (name == name[0]).all():
+        return []
+    across = bool(side.any())
+    if len(name) <= 512:
+        near = np.triu(np.bitwise_count(sketch[:, None] ^ sketch).sum(axis=2, dtype=np.uint16) <= radius, 1) & (name[:, None] != name)
+        x, y = np.nonzero(near & (side[:, None] != side) if across else near)
+        if len(x) < len(name):
+            return list(zip(name[x].tolist(), name[y].tolist()))
+    if across:
+        name = name.copy()
+        for own in (side == 1, side == 2):
+            name[own] = _least(name[own], _groups(sketch[own], radius))
+    low = _least(name, _groups(sketch, radius))
+    return [(a, b) for a, b in np.unique(np.stack([low, name], 1), axis=0).tolist() if a != b]
 
 
 def _wide_meet(radius: int):
@@ -266,9 +300,9 @@ def _wide_meet(radius: int):
         pairs: list[tuple[int, int]] = []
 
         def close() -> None:
-            fp, sketch = (np.concatenate(c) for c in zip(*held))
-            if len(fp) > 1:
-                pairs.extend(_wide_forest(fp, sketch, radius))
+            name, sketch, side = (np.concatenate(c) for c in zip(*held))
+            if len(name) > 1:
+                pairs.extend(_wide_forest(name, sketch, side, radius))
             held.clear()
 
         def out() -> pa.RecordBatch:
@@ -279,13 +313,13 @@ def _wide_meet(radius: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            key, part, fp, s0, s1 = (c.to_numpy() for c in b.columns)
+            key, part, name, side, s0, s1 = (c.to_numpy() for c in b.columns)
             sketch = np.stack([s0, s1], 1).view(np.uint64)
             cut = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(part) != 0)) + 1).tolist(), len(key)]
             if held and last != (key[0], part[0]):
                 close()
             for i, j in zip(cut, cut[1:]):
-                held.append((fp[i:j], sketch[i:j]))
+                held.append((name[i:j], sketch[i:j], side[i:j]))
                 if j < len(key):
                     close()
             last = (key[-1], part[-1])
@@ -298,15 +332,29 @@ def _wide_meet(radius: int):
     return run
 
 
-def wide_links(fps: DataFrame, width: int, number: int, radius: int = WIDE_RADIUS, block: int = BLOCK, broadcast: int = BROADCAST) -> DataFrame:
-    """Links (a, b) between distinct `fp` whose wide fingerprints (`bits`) agree in a segment and differ by `radius` bits of SKETCH at most.
+def wide_links(fps: DataFrame, width: int, number: int, radius: int = WIDE_RADIUS, block: int = BLOCK, broadcast: int = BROADCAST, early: int = EARLY) -> DataFrame:
+    """Links (a, b) between distinct `fp` that connect them as all pairs would whose wide fingerprints (`bits`) agree in a segment
+    and differ by `radius` bits of SKETCH at most.
 
-    They connect as all such pairs would. A value of over `block` fingerprints is split into blocks that meet in pairs.
+    The first `early` segments' links make components; under the others' values fingerprints go by their component's name, so
+    only links between components are told. A value of over `block` fingerprints is split into blocks that meet in pairs.
     """
-    e = fps.select("fp", "bits").mapInArrow(_wide_entries(width, number), "key long, fp long, s0 long, s1 long")
-    hot = written(e.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("n")), "hot")
-    e = _in_parts(e, hot, broadcast).select("key", "part", "fp", "s0", "s1")
-    return e.repartition(partitions(fps.sparkSession), "key", "part").sortWithinPartitions("key", "part").mapInArrow(_wide_meet(radius), "a long, b long")
+    early = min(early, number)
+    fps = written(fps.select("fp", F.col("fp").alias("name"), "bits"), "wide")
+
+    def entries(rows: DataFrame, first: int, last: int) -> DataFrame:
+        return rows.mapInArrow(_wide_entries(width, first, last), "key long, fp long, name long, s0 long, s1 long")
+
+    counts = entries(fps, 0, number).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    hot = written(counts.select("key", F.ceil(F.col("n") / block).cast("int").alias("n")), "hot")
+
+    def met(rows: DataFrame, first: int, last: int) -> DataFrame:
+        e = _in_parts(entries(rows, first, last), hot, broadcast).select("key", "part", "name", "side", "s0", "s1")
+        return e.repartition(partitions(fps.sparkSession), "key", "part").sortWithinPartitions("key", "part").mapInArrow(_wide_meet(radius), "a long, b long")
+
+    known = written(components(written(met(fps, 0, early), "early")), "known")
+    named = fps.drop("name").join(known, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("name"), "bits")
+    return known.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(met(named, early, number))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, radius: int = RADIUS) -> DataFrame:

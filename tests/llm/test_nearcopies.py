@@ -128,3 +128,55 @@ def test_wide_links_of_a_hot_value_are_the_same_in_blocks(spark):
     for block in (simhash.BLOCK, 100):
         links = simhash.wide_links(fps, width, number, block=block)
         assert {x["root"] for x in components(links).collect()} == {min(nearcopies.digest(s) for s in sets)}
+
+
+def joined(links: list[tuple]) -> dict:
+    """The least name that links reach, of each name."""
+    low = {x: x for link in links for x in link}
+    while any(low[a] != low[b] for a, b in links):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    return low
+
+
+def test_links_of_a_large_group_do_not_grow_with_segments_or_blocks(spark):
+    """Texts of one template, alike by 128 bits and less alike than 0.8: they meet under many values of all segments."""
+    r = random.Random(6)
+    base = r.choices(WORDS, k=120)
+    sets = [nearcopies.shingles(" ".join(f"x{i}y{j}" if r.random() < 0.05 else w for j, w in enumerate(base)).encode()) for i in range(1500)]
+    width, number = simhash.wide_plan(1500)
+    words = -(-(simhash.SKETCH + width * number) // 64)
+    bits = [simhash.wide_fingerprint(s, words) for s in sets]
+    fps = spark.createDataFrame([(nearcopies.digest(s), bytearray(b.tobytes())) for s, b in zip(sets, bits)], "fp long, bits binary").repartition(3)
+    flat = np.unpackbits(np.stack(bits)[:, simhash.SKETCH // 8 :], axis=1, count=width * number, bitorder="little").reshape(1500, number, width) @ (1 << np.arange(width))
+    sketch = np.stack([b[: simhash.SKETCH // 8].view(np.uint64) for b in bits])
+    names = [nearcopies.digest(s) for s in sets]
+    pairs = []
+    for i in range(1500):
+        near = (np.bitwise_count(sketch[i] ^ sketch[:i]).sum(axis=1) <= simhash.WIDE_RADIUS) & (flat[i] == flat[:i]).any(axis=1)
+        pairs += [(names[i], names[j]) for j in np.flatnonzero(near)]
+    assert len(pairs) > 40 * 1500
+    want = joined(pairs)
+    for block in (simhash.BLOCK, 60):
+        links = [tuple(x) for x in simhash.wide_links(fps, width, number, block=block).distinct().collect()]
+        early = [tuple(x) for x in simhash.wide_links(fps, width, simhash.EARLY, block=block).distinct().collect()]
+        assert joined(links) == want and len(links) < 1.2 * 1500 and len(early) < 1500
+
+
+def test_blocks_tell_only_links_between_their_groups():
+    r = np.random.default_rng(8)
+    bases = [r.integers(0, 1 << 63, 100, np.uint64) for _ in range(4)]
+    sets = [np.unique(np.concatenate([bases[i % 4][: 100 - i % 7], r.integers(0, 1 << 63, i % 5, np.uint64)])) for i in range(120)]
+    names, side = list(range(120)), [1 + i % 3 % 2 for i in range(120)]
+    told = nearcopies.across(names, sets, side)
+    own = [link for k in (1, 2) for link in nearcopies.forest([i for i in names if side[i] == k], [sets[i] for i in names if side[i] == k])]
+    assert len(told) == 4 and all(side[a] != side[b] and nearcopies.similar(sets[a], sets[b]) for a, b in told)
+    assert joined(own + told) == joined([(i, j) for i in names for j in names[:i] if nearcopies.similar(sets[i], sets[j])])
+    assert nearcopies.across(names[:3], sets[:3], [1, 1, 1]) == []
+    sketch = np.stack([simhash.wide_fingerprint(s, 2).view(np.uint64) for s in sets])
+    name, sides = np.array(names), np.array(side)
+    parts = [simhash._wide_forest(name[m], sketch[m], sides[m] * 0, 25) for m in (sides == 1, sides == 2)]
+    whole = simhash._wide_forest(name, sketch, sides * 0, 25)
+    cross = simhash._wide_forest(name, sketch, sides, 25)
+    assert joined([*parts[0], *parts[1], *cross]) == joined(whole) and len(cross) < 10
+    assert simhash._wide_forest(name // 4 * 0, sketch, sides, 25) == []
