@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kindred.config import Thresholds
 from kindred.functions.scalars import idf
-from kindred.sources.shared import written
+from kindred.operators import termblocks
 
 # Tag namespaces that count, and those that never do.
 KEEP = ("Survey/", "Method/", "Concept/", "Dataset/", "FoS/Primary/", "FoS/Second/", "FoS/Secondary/", "Venue/")
@@ -65,55 +66,27 @@ def pair_dots(weights: DataFrame, limits: Thresholds = Thresholds()) -> DataFram
     return both.select("i", "j", (F.col("dot") + F.when(F.col("mi").isNotNull() & F.col("mj").isNotNull(), more).otherwise(F.lit(0.0))).alias("dot"))
 
 
-#: Bounds are sums of doubles; this much more than they say covers their rounding.
-SLACK = 1 + 1e-9
+def postings(weights: DataFrame, limits: Thresholds = Thresholds()) -> termblocks.Postings:
+    return termblocks.postings(weights)
 
 
-def postings(weights: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
-    """weights with the note's `norm`, with `head`, and with `tail`: what the note's terms after its heads weigh, squared.
-
-    Terms stand in order from rare to frequent; those of one note alone can't be shared and count for nothing but the norm.
-    A term is a head if it is specific, and it and the later terms weigh `a_min` times the squared norm or more.
-    """
-    own, w2, t = Window.partitionBy("idx"), F.col("w") * F.col("w"), max(limits.a_min, 0.0)
-    shared = F.when(F.col("df") > 1, w2)
-    rest = F.coalesce(F.sum(shared).over(own.orderBy(F.col("df").desc(), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    p = weights.withColumn("norm", F.sqrt(F.sum(w2).over(own))).withColumn("_rest", rest)
-    head = (F.col("df") > 1) & (F.col("df") <= limits.a_specific_df) & ((w2 + F.col("_rest")) * SLACK >= t * F.col("norm") * F.col("norm"))
-    p = p.withColumn("head", head)
-    return p.withColumn("tail", F.min(F.when(F.col("head"), F.col("_rest"))).over(own)).drop("_rest")
+def scored_pairs(posted: termblocks.Postings, limits: Thresholds = Thresholds()) -> DataFrame:
+    """(s, l, dot, need) of pairs that meet: s the note with the smaller norm, dot over its heads, which must reach `need`."""
+    return termblocks.met(posted, limits, lambda block, notes: block.scored(*notes), "s long, l long, dot double, need double")
 
 
-def scored_pairs(posted: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
-    """(s, l, dot, need) of pairs that meet: s the note with the smaller norm, dot over its heads, which must reach `need`.
+def candidates(weights: DataFrame, limits: Thresholds = Thresholds(), block: int | None = None) -> DataFrame:
+    """(i, j, cos), i < j, at the threshold or above, of notes that share a specific term.
 
-    A term weighs the same in every note, and the larger norm is at least the smaller one. So at the threshold a pair shares
-    terms of at least `a_min` times the smaller squared norm, and its rarest shared term is a head of that note: only
-    heads are joined, with the specific terms of notes of larger norm. What the heads leave open is at most `tail`.
+    Notes meet in blocks, of `block` terms each if given. There pairs that can reach the threshold meet their other terms.
     """
-    t, w2 = max(limits.a_min, 0.0), F.col("w") * F.col("w")
-    x = posted.where("head").select("term", F.col("idx").alias("s"), F.col("norm").alias("ns"), "tail", w2.alias("w2"))
-    y = posted.where((F.col("df") > 1) & (F.col("df") <= limits.a_specific_df)).select("term", F.col("idx").alias("l"), F.col("norm").alias("nl"))
-    smaller = (F.col("ns") < F.col("nl")) | ((F.col("ns") == F.col("nl")) & (F.col("s") < F.col("l")))
-    met = x.join(y, "term").where(smaller).select("s", "l", "w2", (t * F.col("ns") * F.col("nl") - F.col("tail") * SLACK).alias("need"))
-    return met.groupBy("s", "l").agg(F.sum("w2").alias("dot"), F.max("need").alias("need"))
+    both = termblocks.met(postings(weights, limits), limits, lambda block, notes: _at_least(limits.a_min, block.cosines(*notes)), "s long, l long, cos double", block)
+    return both.select(F.least("s", "l").alias("i"), F.greatest("s", "l").alias("j"), "cos")
 
 
-def candidates(weights: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
-    """(i, j, cos), i < j, at the threshold or above, of notes that share a specific term.
-
-    Of scored_pairs() those go on that can reach the threshold; they meet the other terms of the one note and the terms of the other once.
-    """
-    posted = written(postings(weights, limits), "postings")
-    left = F.sort_array(F.collect_list(F.when((F.col("df") > 1) & ~F.col("head"), F.struct("term", "w"))))
-    notes = posted.groupBy("idx").agg(F.max("norm").alias("norm"), left.alias("e"), F.collect_list(F.when(F.col("df") > 1, F.col("term"))).alias("terms"))
-    short = notes.select(F.col("idx").alias("s"), F.col("norm").alias("ns"), F.col("e.term").alias("t"), F.col("e.w").alias("w"))
-    long = notes.select(F.col("idx").alias("l"), F.col("norm").alias("nl"), "terms")
-    both = scored_pairs(posted, limits).where(F.col("dot") * SLACK >= F.col("need")).join(short, "s").join(long, "l")
-    own = lambda t: F.get("w", F.array_position("t", t).cast("int") - 1)
-    dot = F.aggregate(F.array_intersect("t", "terms"), F.col("dot"), lambda s, t: s + own(t) * own(t))
-    cos = (dot / (F.col("ns") * F.col("nl"))).alias("cos")
-    return both.select(F.least("s", "l").alias("i"), F.greatest("s", "l").alias("j"), cos).where((F.col("cos") >= limits.a_min) & ~F.isnan("cos"))
+def _at_least(floor: float, pairs: Iterator[tuple]) -> Iterator[tuple]:
+    for s, l, cos in pairs:
+        yield tuple(x[cos >= floor] for x in (s, l, cos))
 
 
 def directed(pairs: DataFrame) -> DataFrame:
