@@ -21,6 +21,8 @@ SLACK = 1 + EXTRA
 BLOCK, BLOCKS, LEAST, GROUPS = 6_000_000, 6, 1 << 15, 8
 #: Notes whose bounds are summed together, shared terms that are held at once, and steps of norm by a factor of e.
 ROWS, HITS, STEPS = 512, 1 << 19, 64
+#: Notes and frequent terms of a table that says which note has which; the part of what a pair must reach that may still be open when it is judged again.
+TABLE, OPEN = 1 << 22, 1.0
 
 
 @dataclass
@@ -76,13 +78,16 @@ class Block:
         specific = int(np.searchsorted(steps.df, limits.a_specific_df, "right"))
         self.common = steps.first[specific] if specific < len(steps.first) else np.iinfo(np.int64).max
         n = len(idx)
-        self.heads, self.tail = np.zeros(n, np.int64), np.zeros(n)
+        self.heads, self.tail, self.halt, self.left = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64), np.zeros(n)
+        self.frequent = max(0, int(self.terms.max(initial=0)) + 1 - self.common)  # different ones, from `common` on
+        self.rare = self.specifics(self.terms, self.at)
         self.codes, self.rows = (max(1, int(x).bit_length()) for x in (len(self.first), n))
-        packed = []
+        packed, self.coded = [], np.zeros(len(self.terms), np.int32)
         for low in range(0, n, ROWS):
             at = self.at[low : low + ROWS + 1]
             count, some = np.diff(at), self.terms[at[0] : at[-1]].astype(np.int64)
-            row, code = np.repeat(np.arange(len(count)), count), self.code(some)
+            row, code = np.repeat(np.arange(len(count)), count), np.searchsorted(self.first, some, "right") - 1
+            self.coded[at[0] : at[-1]] = code
             total = np.cumsum(self.w2[code])
             extra = EXTRA * total[-1]
             rest = total[np.cumsum(count) - 1][row] - total
@@ -91,6 +96,9 @@ class Block:
             self.heads[low : low + ROWS] = heads = np.bincount(row[head], minlength=len(count))
             there = heads > 0
             self.tail[low : low + ROWS][there] = rest[(at[:-1] - at[0] + heads - 1)[there]] * SLACK + extra
+            halt = np.maximum(np.bincount(row[rest > OPEN * (self.t * own * own)[row]], minlength=len(count)) + 1, self.rare[low : low + ROWS])
+            self.halt[low : low + ROWS] = halt = np.minimum(halt, count)
+            self.left[low : low + ROWS] = rest[at[:-1] - at[0] + halt - 1] * SLACK + extra
             packed.append((some[head] << (self.rows + self.codes)) | ((row[head] + low) << self.codes) | code[head])
         packed = np.sort(np.concatenate(packed))
         term = packed >> (self.rows + self.codes)
@@ -99,9 +107,6 @@ class Block:
         packed &= (1 << (self.rows + self.codes)) - 1
         self.posted = packed
 
-    def code(self, terms: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.first, terms, "right") - 1
-
     def scored(self, idx: np.ndarray, norm: np.ndarray, terms: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
         """(row here, row of the larger note, dot over heads, what it must reach) of pairs that meet."""
         if not len(self.head_terms):
@@ -130,25 +135,54 @@ class Block:
             yield s, l, dot, self.t * self.norm[s] * norm[l] - self.tail[s]
             low = high
 
+    def specifics(self, terms: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How many of each note's terms are specific; they stand first."""
+        upto = np.concatenate([[0], np.cumsum(terms < self.common)])
+        return upto[at[1:]] - upto[at[:-1]]
+
     def cosines(self, idx: np.ndarray, norm: np.ndarray, terms: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
         """(row here, row of the larger note, cosine): pairs that can reach the threshold meet the smaller note's other terms."""
         width = int(max(self.terms.max(initial=0), terms.max(initial=0))).bit_length()
-        held = (np.repeat(np.arange(len(idx)), np.diff(at)) << width) | terms
+        held, rare = (np.repeat(np.arange(len(idx)), np.diff(at)) << width) | terms, self.specifics(terms, at)
+
+        def has_rare(l: np.ndarray, count: np.ndarray, some: np.ndarray) -> np.ndarray:
+            want = np.repeat(l << width, count) | some
+            return held[np.minimum(np.searchsorted(held, want), len(held) - 1)] == want
+
+        def has_frequent(l: np.ndarray, count: np.ndarray, some: np.ndarray) -> np.ndarray:
+            first, last = l[0], l[-1] + 1
+            own = _spread(at[first:last] + rare[first:last], np.diff(at[first : last + 1]) - rare[first:last])
+            row = np.repeat(np.arange(last - first), np.diff(at[first : last + 1]) - rare[first:last])
+            there = terms[own] - self.common < self.frequent
+            table = np.zeros((last - first) * self.frequent, bool)
+            table[row[there] * self.frequent + terms[own[there]] - self.common] = True
+            return table[np.repeat((l - first) * self.frequent - self.common, count) + some]
+
         for s, l, dot, need in self.scored(idx, norm, terms, at):
             go = dot * SLACK >= need
             s, l, dot = s[go], l[go], dot[go]
-            start, count = self.at[s] + self.heads[s], self.at[s + 1] - self.at[s] - self.heads[s]
-            upto = np.cumsum(count)
-            for low in range(0, int(upto[-1]) + 1 if len(s) else 0, HITS):
-                part = slice(*np.searchsorted(upto, [low, low + HITS], "left"))
-                if part.stop > part.start:
-                    pair = np.repeat(np.arange(part.stop - part.start), count[part])
-                    rest = self.terms[_spread(start[part], count[part])].astype(np.int64)
-                    want = (l[part][pair] << width) | rest
-                    both = held[np.minimum(np.searchsorted(held, want), len(held) - 1)] == want
-                    dot[part] += np.bincount(pair[both], self.w2[self.code(rest[both])], part.stop - part.start)
+            start, rows = self.at[s], max(1, TABLE // max(1, self.frequent))
+            self.more(l, dot, start + self.heads[s], self.rare[s] - self.heads[s], has_rare, len(idx))
+            self.more(l, dot, start + self.rare[s], self.halt[s] - self.rare[s], has_frequent, rows)
+            go = (dot + self.left[s]) * SLACK >= self.t * self.norm[s] * norm[l]
+            s, l, dot = s[go], l[go], dot[go]
+            self.more(l, dot, self.at[s] + self.halt[s], self.at[s + 1] - self.at[s] - self.halt[s], has_frequent, rows)
             yield s, l, dot / (self.norm[s] * norm[l])
 
+    def more(self, l: np.ndarray, dot: np.ndarray, start: np.ndarray, count: np.ndarray, has: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], rows: int) -> None:
+        """Add to `dot` the terms at start, start + 1, ... that the larger notes have too; HITS terms and `rows` larger notes at once, about."""
+        upto, low = np.cumsum(count), 0
+        while low < len(l) and upto[-1] > (upto[low - 1] if low else 0):
+            done = upto[low - 1] if low else 0
+            high = max(low + 1, min(np.searchsorted(upto, done + HITS, "right"), np.searchsorted(l, l[low] + rows, "left")))
+            some = count[low:high]
+            if upto[high - 1] > done:
+                at = np.repeat((start - upto + count)[low:high], some) + np.arange(done, upto[high - 1])
+                both = np.flatnonzero(has(l[low:high], some, self.terms[at]))
+                pair = np.repeat(np.arange(high - low, dtype=np.int32), some)[both]
+                dot[low:high] += np.bincount(pair, self.w2[self.coded[at[both]]], high - low)
+            low = high
+
 
 def _slots(bins: list, t: float, block: int | None) -> tuple[list, int]:
     """([(bin, parts, part, [(slot, whether as the smaller note)])], slots): where notes of each step of norm meet.
