@@ -101,6 +101,38 @@ def _nearest(i: np.ndarray, a: np.ndarray, j: np.ndarray, b: np.ndarray, k: int,
         yield i[at + r], j[s], c[r, s]
 
 
+def _best(src: np.ndarray, dst: np.ndarray, cos: np.ndarray, k: int) -> tuple:
+    """The k largest of each src; of equal ones the smaller dst."""
+    order = np.lexsort((dst, -cos, src))
+    s = src[order]
+    begins = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    keep = order[np.arange(len(s)) - np.repeat(begins, np.diff([*begins, len(s)])) < k]
+    return src[keep], dst[keep], cos[keep]
+
+
+def _above(c: np.ndarray, k: int, floor: np.ndarray) -> np.ndarray:
+    """Where rows have entries that may be among their k largest at their floor: few, or else these k alone."""
+    keep = c >= np.asarray(floor, np.float32)[:, None]
+    return keep if np.count_nonzero(keep) <= 8 * k * len(c) else _largest(c, k, floor)
+
+
+def _nearest_both(i: np.ndarray, a: np.ndarray, low: np.ndarray, j: np.ndarray, b: np.ndarray, high: np.ndarray, k: int) -> Iterator[tuple]:
+    """(src, dst, cos): the best in b of each row of a at its floor `low`, and those in a of each row of b at `high`, from one product."""
+    width = max(a.shape[1], b.shape[1])
+    a, b, back = _wide(a, width), _wide(b, width), []
+    for at in range(0, len(i), ROWS):
+        c = (a[at : at + ROWS] @ b.T).astype(np.float32)
+        x = np.flatnonzero(_above(c, k, low[at : at + ROWS]))
+        yield _best(i[at + x // len(j)], j[x % len(j)], c.ravel()[x], k)
+        keep = c >= np.asarray(high, np.float32)
+        if np.count_nonzero(keep) > 8 * k * len(j):
+            keep = _largest(c.T, k, high).T
+        x = np.flatnonzero(keep)
+        back.append((j[x % len(j)], i[at + x // len(j)], c.ravel()[x]))
+    if back:
+        yield _best(*map(np.concatenate, zip(*back)), k)
+
+
 class Cells:
     """Centres of cells of vectors, and what is known of each cell: how far its vectors are from its centre, and how long."""
 
@@ -230,9 +262,8 @@ def ranked_b_edges(vectors: DataFrame, limits: Thresholds = Thresholds(), limit:
     def together(t: pa.Table) -> pa.Table:
         t = t.sort_by("idx")
         i, m, floor, low = t["idx"].to_numpy(), _matrix(t["vec"]), t["floor"].to_numpy(), t["block"].to_numpy() == t["pair"][0].as_py() // total
-        found = []
-        for x, y in ((low, ~low), (~low, low)) if low.any() and not low.all() else ():
-            found += [pa.table(dict(zip(("src", "dst", "cos"), e))) for e in _nearest(i[x], m[x], i[y], m[y], k, floor[x])]
+        both = _nearest_both(i[low], m[low], floor[low], i[~low], m[~low], floor[~low], k) if low.any() and not low.all() else ()
+        found = [pa.table(dict(zip(("src", "dst", "cos"), e))) for e in both]
         return pa.concat_tables([_NONE.rename_columns(["src", "dst", "cos"]), *found])
 
     copies = met.select("idx", "vec", "block", "floor").mapInArrow(sent, "pair long, idx long, vec array<float>, block long, floor double")

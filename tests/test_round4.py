@@ -3,12 +3,13 @@
 import random
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from kindred.config import Thresholds
 from kindred.functions.scalars import round4
-from kindred.operators import termblocks, terms
+from kindred.operators import termblocks, terms, vectors
 from kindred.plans import queries
 
 
@@ -53,3 +54,15 @@ def test_blocks_of_tag_pairs_meet_each_other_once():
                 assert len(shared) <= 1
                 if norm[s][0] <= norm[l][1] and norm[s][1] >= t * norm[l][0]:
                     assert shared, (t, s, ps, l, pl)
+
+
+def test_both_ways_from_one_product():
+    r = np.random.default_rng(29)
+    a, b = r.normal(size=(40, 6)), r.normal(size=(50, 6))
+    a[3:20], b[5:30] = a[2], a[2]  # more equal cosines than are kept
+    a[30] = np.nan
+    i, j, k = np.arange(0, 80, 2), np.arange(1, 101, 2), 3
+    key = lambda found: sorted((x, y) for s, d, _ in found for x, y in zip(s.tolist(), d.tolist()))
+    for low, high in ((np.full(40, -9.0), np.full(50, -9.0)), (r.normal(size=40), r.normal(size=50) + 1)):
+        got = key(vectors._nearest_both(i, a, low, j, b, high, k))
+        assert got == key([*vectors._nearest(i, a, j, b, k, low), *vectors._nearest(j, b, i, a, k, high)])
