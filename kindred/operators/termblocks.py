@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.config import Thresholds
+from kindred.operators.blocks import against
 from kindred.sources.shared import importable, numbered, written
 
 #: Bounds are sums of doubles; this much more than they say covers their rounding.
@@ -234,26 +235,13 @@ def met(posted: Postings, limits: Thresholds, found: Callable[[Block, tuple], It
     steps = Postings(None, posted.first, posted.df, posted.w)
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, own, index = None, [], None
-        for b in batches:
-            at, smaller = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero((at[1:] != at[:-1]) | (smaller[1:] != smaller[:-1])) + 1
-            for low, high in zip([0, *edges], [*edges, len(at)]) if len(at) else ():
-                piece = b.slice(low, high - low)
-                if at[low] != slot:
-                    slot, own, index = at[low], [], None
-                if smaller[low]:
-                    own.append(piece)
-                    continue
-                if index is None and own:
-                    t = pa.Table.from_batches(own).combine_chunks()
-                    index = Block(t["idx"].to_numpy(), t["norm"].to_numpy(), t["terms"].combine_chunks(), steps, limits)
-                    own, t = [], None
-                if index is not None:
-                    idx, norm, (terms, ends) = piece.column(2).to_numpy(), piece.column(3).to_numpy(), _flat(piece.column(4))
-                    for s, l, *more in found(index, (idx, norm, terms.astype(np.int64), ends)):
-                        if len(s):
-                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (index.idx[s], idx[l], *more)], names)
-
-    return dealt.repartitionById(max(1, slots), F.col("slot")).sortWithinPartitions("slot", F.col("block").desc()).mapInArrow(run, schema)
+    def build(t: pa.Table) -> Block:
+        return Block(t["idx"].to_numpy(), t["norm"].to_numpy(), t["terms"].combine_chunks(), steps, limits)
+
+    def meet(index: Block, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        idx, norm, (terms, ends) = b.column(2).to_numpy(), b.column(3).to_numpy(), _flat(b.column(4))
+        for s, l, *more in found(index, (idx, norm, terms.astype(np.int64), ends)):
+            if len(s):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (index.idx[s], idx[l], *more)], names)
+
+    return dealt.repartitionById(max(1, slots), F.col("slot")).sortWithinPartitions("slot", F.col("block").desc()).mapInArrow(lambda batches: against(batches, build, meet), schema)

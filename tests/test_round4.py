@@ -56,6 +56,22 @@ def test_blocks_of_tag_pairs_meet_each_other_once():
                     assert shared, (t, s, ps, l, pl)
 
 
+def test_all_vector_pairs_pass_by_blocks(spark):
+    r = np.random.default_rng(23)
+    rows = [(i, None if i % 11 == 0 else r.normal(size=5 - i % 2).astype(np.float32).tolist()) for i in range(90)]
+    rows[7] = (7, [float("nan")] * 5)
+    v = spark.createDataFrame(rows, "idx long, vec array<float>").repartition(3)
+    m = {i: np.pad(np.array(x, np.float64), (0, 5 - len(x))) for i, x in rows if x is not None}
+    every = {(i, j): np.float32(m[i] @ m[j]) for i in m for j in m if i < j}
+    for block in (4, 13, None):
+        for floor in (None, 0.5):
+            found = vectors.pair_cosines(v, floor, block=block)
+            got = [(x.i, x.j, x.cos) for x in found.collect()]
+            want = {p: c for p, c in every.items() if floor is None or c >= floor}
+            assert len(got) == len(want) and all(np.isclose(want[i, j], c, rtol=1e-5, equal_nan=True) for i, j, c in got)
+        assert "FlatMapGroups" not in found._jdf.queryExecution().toString()  # no task gathers all pairs of two blocks before it gives one
+
+
 def test_both_ways_from_one_product():
     r = np.random.default_rng(29)
     a, b = r.normal(size=(40, 6)), r.normal(size=(50, 6))
