@@ -19,7 +19,7 @@ from kindred.sources.shared import importable, numbered, written
 EXTRA = 1e-9
 SLACK = 1 + EXTRA
 #: Terms of a block of notes at most, and blocks that smaller corpora are dealt into, of so many terms at least; groups that all blocks form, about.
-BLOCK, BLOCKS, LEAST, GROUPS = 6_000_000, 6, 1 << 15, 8
+BLOCK, BLOCKS, LEAST, GROUPS = 6_000_000, 6, 1 << 15, 4
 #: Notes whose bounds are summed together, shared terms that are held at once, and steps of norm by a factor of e.
 ROWS, HITS, STEPS = 512, 1 << 19, 64
 #: Notes and frequent terms of a table that says which note has which; the part of what a pair must reach that may still be open when it is judged again.
@@ -200,7 +200,7 @@ def _slots(bins: list, t: float, block: int | None) -> tuple[list, int]:
         c = cells[-1]
         c[0], c[1], c[2], c[4] = [*c[0], b[0]], max(1, -(-(c[2] + b[1]) // room)), c[2] + b[1], b[3]
     starts = np.concatenate([[0], np.cumsum([c[1] for c in cells])]).astype(int).tolist()
-    each = max(1, starts[-1] // GROUPS)
+    each = max(1, round(starts[-1] / GROUPS))
     least, greatest = np.array([c[3] for c in cells]), np.array([c[4] for c in cells])
     last = [int(np.searchsorted(least * t, c[4] * SLACK, "right")) - 1 for c in cells]  # cells of the largest notes it can meet
     base, slots = {}, 0

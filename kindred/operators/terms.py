@@ -90,7 +90,9 @@ def _at_least(floor: float, pairs: Iterator[tuple]) -> Iterator[tuple]:
 
 
 def directed(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("i").alias("src"), F.col("j").alias("dst"), "cos").union(pairs.select("j", "i", "cos"))
+    """Both directions of each pair, from one reading of them: a union would find all pairs twice."""
+    ways = (F.struct(F.col(x).alias("src"), F.col(y).alias("dst")) for x, y in ("ij", "ji"))
+    return pairs.select(F.explode(F.array(*ways)).alias("e"), "cos").select("e.src", "e.dst", "cos")
 
 
 def ranked(edges: DataFrame, rank: Column, k: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,8 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written now: read several times without being computed again, whichever executor is lost."""
+    """df as a table written now: read several times without being computed again, whichever executor is lost.
+
+    Spark removes shuffle files once the driver's JVM has collected the plan that made them, so that is asked for before each step;
+    else all steps' files add up until its heap happens to be full.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for _ in range(2):  # once for the plan, once for what it held
+        df.sparkSession._jvm.System.gc()
+        time.sleep(0.3)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
